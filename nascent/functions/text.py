@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from nascent.functions.vectors import let
+
 # Masking patterns of the complaint corpus.
 MASKED_TOKENS = r"(?i)\b(x{2,}|xx/\d{2}/\d{4}|\$[\d\.,]+)\b"
 REDACTED_RUN = r"X{2,}"
@@ -19,11 +19,6 @@ WORD = r"[\p{L}\p{N}_]+"
 LATIN_WORD = r"^[a-zA-Z]{3,}$"
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Bind ``value`` once and use it several times inside ``body``."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def strip(text: Column) -> Column:
     """Trim every kind of white space, not only blanks."""
     return F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -35,6 +30,13 @@ def word_count(text: Column, unicode_spaces: bool = False) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("int")
 
 
+def has_words(text: Column, at_least: int) -> Column:
+    """``word_count(text) >= at_least``, reading no further than the word that decides."""
+    if at_least <= 0:
+        return text.isNotNull()
+    return text.rlike(r"^\s*+(?:\S++\s++){%d}\S" % (at_least - 1))
+
+
 def is_present(text: Column, strict: bool = False) -> Column:
     """Not null and not blank; ``strict`` also rejects the literal ``nan``."""
     present = text.isNotNull() & text.rlike(r"\S")
@@ -152,4 +154,6 @@ def term_counts(tokens: Column) -> Column:
         )
 
     empty = F.lit(None).cast("array<struct<term:string,tf:bigint>>")
-    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), measure)).otherwise(empty)
+    return let(
+        F.sort_array(tokens), lambda ordered: F.when(F.size(ordered) > 0, measure(ordered)).otherwise(empty)
+    )

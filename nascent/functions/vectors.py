@@ -46,52 +46,68 @@ def argmax(a: Column) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once, so that a lambda in ``body`` does not compute it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def fold(a: Column, steps: int) -> Column:
     """Reshape a vector into ``steps`` consecutive rows; its length must divide evenly."""
-    width = (F.size(a) / steps).cast("int")
+
+    def rows(v: Column) -> Column:
+        width = (F.size(v) / steps).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.slice(v, i * width + 1, width)
+        )
+
     checked = F.when(F.size(a) % steps == 0, a).otherwise(
         F.raise_error(F.lit(f"vector length is not a multiple of {steps}"))
     )
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(steps - 1)), lambda i: F.slice(checked, i * width + 1, width)
-    )
+    return let(checked, rows)
 
 
 def pool_over_steps(steps: Column) -> Column:
     """Average over the steps followed by maximum over the steps, per position."""
-    positions = F.sequence(F.lit(0), F.size(F.get(steps, F.lit(0))) - 1)
-    average = F.transform(
-        positions,
-        lambda p: F.aggregate(steps, F.lit(0.0), lambda acc, row: acc + F.get(row, p))
-        / F.size(steps),
-    )
-    largest = F.transform(positions, lambda p: F.array_max(F.transform(steps, lambda row: F.get(row, p))))
-    return F.concat(average, largest)
+
+    def pooled(rows: Column) -> Column:
+        first = F.get(rows, F.lit(0))
+        rest = F.slice(rows, 2, F.size(rows))
+        sums = F.aggregate(rest, first, lambda acc, row: F.zip_with(acc, row, lambda x, y: x + y))
+        largest = F.aggregate(
+            rest, first, lambda acc, row: F.zip_with(acc, row, lambda x, y: F.greatest(x, y))
+        )
+        return F.concat(F.transform(sums, lambda x: x / F.size(rows)), largest)
+
+    return let(steps, pooled)
 
 
 def moving_average(a: Column, width: int) -> Column:
     """Centred moving average with zero padding, same length as the input."""
     half = width // 2
-    return F.transform(
-        F.sequence(F.lit(0), F.size(a) - 1),
-        lambda i: F.aggregate(
-            F.slice(a, F.greatest(i - half, F.lit(0)) + 1, F.least(i, F.lit(half)) + half + 1),
-            F.lit(0.0),
-            lambda acc, x: acc + x,
+
+    def smooth(v: Column) -> Column:
+        padded = F.concat(F.array_repeat(F.lit(0.0), half), v, F.array_repeat(F.lit(0.0), half))
+        return let(
+            padded,
+            lambda p: F.transform(
+                F.sequence(F.lit(1), F.size(p) - 2 * half), lambda i: total(F.slice(p, i, width)) / width
+            ),
         )
-        / width,
-    )
+
+    return let(a, smooth)
 
 
 def adaptive_average(a: Column, cells: int) -> Column:
     """Average pooling to a fixed number of cells; cell borders follow the input length."""
-    size = F.size(a)
 
-    def cell(i: Column) -> Column:
-        start = F.floor(i * size / cells).cast("int")
-        stop = F.ceil((i + 1) * size / cells).cast("int")
-        return F.aggregate(
-            F.slice(a, start + 1, stop - start), F.lit(0.0), lambda acc, x: acc + x
-        ) / (stop - start)
+    def pool(v: Column) -> Column:
+        size = F.size(v)
+
+        def cell(i: Column) -> Column:
+            start = F.floor(i * size / cells).cast("int")
+            stop = F.ceil((i + 1) * size / cells).cast("int")
+            return total(F.slice(v, start + 1, stop - start)) / (stop - start)
+
+        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
 
-    return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
+    return let(a, pool)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nascent.functions import dates
+from nascent.functions.rows import explode_once
 from nascent.operators.clusters import GLOBAL
 from nascent.operators.panel import DATE, ID, NARRATIVE
 from nascent.operators.topk import top_per_group
@@ -84,13 +85,13 @@ def match_cases(
     probes = known.select("name", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     bounds = probes.agg(F.max(F.length("term")).alias("longest"), F.lit(1).alias("_one"))
     runs = (
-        narratives.select(
-            cluster,
-            F.explode(
-                F.array_distinct(
-                    F.regexp_extract_all(F.lower(NARRATIVE), F.lit(f"[a-z]{{{MIN_TERM},}}"), F.lit(0))
-                )
-            ).alias("run"),
+        explode_once(
+            narratives,
+            [cluster],
+            F.array_distinct(
+                F.regexp_extract_all(F.lower(NARRATIVE), F.lit(f"[a-z]{{{MIN_TERM},}}"), F.lit(0))
+            ),
+            "run",
         )
         .distinct()
         .withColumn("_one", F.lit(1))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nascent.functions.hashing import blake_buckets, signed_buckets
+from nascent.functions.rows import explode_once
 from nascent.functions.text import space_tokens
 from nascent.operators.panel import ID
 
@@ -33,7 +34,8 @@ def _dense_from_codes(dim: int):
         offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
         return pa.ListArray.from_arrays(offsets, sums.reshape(-1))
 
-    return dense
+    # Keeps filters on the vector above this call instead of repeating it below them.
+    return dense.asNondeterministic()
 
 
 def hashed_vector(text: Column, dim: int = 256, blake: bool = False) -> Column:
@@ -49,7 +51,7 @@ def hashed_vector(text: Column, dim: int = 256, blake: bool = False) -> Column:
 
 def hashed_buckets(df: DataFrame, text: Column, dim: int = 256, id_column: str = ID) -> DataFrame:
     """The same sums in sparse long form ``(id, bucket, weight)``, before normalising."""
-    coded = df.select(id_column, F.explode(signed_buckets(space_tokens(text), dim)).alias("code"))
+    coded = explode_once(df, [id_column], signed_buckets(space_tokens(text), dim), "code")
     return coded.groupBy(id_column, F.expr("code div 2").cast("int").alias("bucket")).agg(
         F.sum(1 - 2 * (F.col("code") % 2)).alias("weight")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nascent.functions import vectors
@@ -13,22 +13,22 @@ CELLS = 16
 
 def sequence_fold_features(df: DataFrame, steps: int = 12, vector: str = "vector") -> DataFrame:
     """Add ``fused``: the vector followed by average and maximum over its folded steps."""
-    folded = df.withColumn("_steps", vectors.fold(F.col(vector), steps))
-    return folded.withColumn("fused", F.concat(vector, vectors.pool_over_steps(F.col("_steps")))).drop(
-        "_steps"
+    return df.withColumn(
+        "fused",
+        vectors.let(
+            F.col(vector), lambda v: F.concat(v, vectors.pool_over_steps(vectors.fold(v, steps)))
+        ),
     )
 
 
 def filter_features(df: DataFrame, vector: str = "vector") -> DataFrame:
     """Add ``filtered``: moving averages of three widths, pooled to 16 cells each, then
     averaged and maximised over the cells."""
-    channels = [
-        vectors.adaptive_average(vectors.moving_average(F.col(vector), kernel), CELLS)
-        for kernel in KERNELS
-    ]
-    pooled = df.withColumn("_channels", F.array(*channels))
-    average = F.transform("_channels", lambda c: vectors.total(c) / CELLS)
-    largest = F.transform("_channels", F.array_max)
-    return pooled.withColumn(
-        "filtered", F.concat(F.flatten("_channels"), average, largest)
-    ).drop("_channels")
+    def bank(v: Column) -> Column:
+        return F.array(*[vectors.adaptive_average(vectors.moving_average(v, k), CELLS) for k in KERNELS])
+
+    def assemble(channels: Column) -> Column:
+        average = F.transform(channels, lambda c: vectors.total(c) / CELLS)
+        return F.concat(F.flatten(channels), average, F.transform(channels, F.array_max))
+
+    return df.withColumn("filtered", vectors.let(F.col(vector), lambda v: vectors.let(bank(v), assemble)))

@@ -21,13 +21,15 @@ def with_narratives(raw: DataFrame, min_words: int = 10, strict: bool = False) -
     """Rows whose narrative is present and long enough, with its word count.
 
     A date that arrives as text is parsed leniently; rows without a usable date go.
+    The length test reads only the first ``min_words`` words, so a plan that never
+    uses the count never counts.
     """
-    counted = raw.where(text.is_present(F.col(NARRATIVE), strict)).withColumn(
-        WORDS, text.word_count(F.col(NARRATIVE))
-    )
-    if dict(counted.dtypes)[DATE] == "string":
-        counted = counted.withColumn(DATE, dates.lenient_timestamp(F.col(DATE)))
-    return counted.where((F.col(WORDS) >= min_words) & F.col(DATE).isNotNull())
+    kept = raw.where(text.has_words(F.col(NARRATIVE), max(min_words, 1)))
+    if strict:
+        kept = kept.where(text.is_present(F.col(NARRATIVE), strict=True))
+    if dict(kept.dtypes)[DATE] == "string":
+        kept = kept.withColumn(DATE, dates.lenient_timestamp(F.col(DATE)))
+    return kept.where(F.col(DATE).isNotNull()).withColumn(WORDS, text.word_count(F.col(NARRATIVE)))
 
 
 def build_panel(raw: DataFrame, window: str = "M", min_words: int = 10) -> DataFrame:

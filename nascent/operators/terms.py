@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from nascent.functions import text
+from nascent.functions.rows import explode_once
 from nascent.operators.panel import ID
 from nascent.operators.topk import top_per_group
 from nascent.session import attach_small
@@ -40,10 +40,8 @@ DEFAULT_KEYWORDS = ["dispute", "account", "inquiry"]
 
 def counted_terms(docs: DataFrame, tokens: Column, carry: list[str], id_column: str = ID) -> DataFrame:
     """``(id, carry..., term, tf)``: counted inside each row, so no shuffle."""
-    return (
-        docs.select(id_column, *carry, F.explode(text.term_counts(tokens)).alias("_t"))
-        .select(id_column, *carry, "_t.term", "_t.tf")
-    )
+    exploded = explode_once(docs, [id_column, *carry], text.term_counts(tokens), "_t")
+    return exploded.select(id_column, *carry, "_t.term", "_t.tf")
 
 
 def tfidf_scores(
@@ -166,7 +164,7 @@ def npmi(
         .select(topic, F.explode(_pairs(F.col("terms"))).alias("p"))
         .select(topic, "p.a", "p.b")
     )
-    present = docs.select(id_column, F.explode(F.array_distinct(tokens)).alias("term"))
+    present = explode_once(docs, [id_column], F.array_distinct(tokens), "term")
     hits = attach_small(present, topics.select(topic, "term"), ["term"], spread=id_column)
     singles = hits.groupBy("term").agg(F.countDistinct(id_column).alias("n"))
     together = (

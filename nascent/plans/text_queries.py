@@ -30,7 +30,7 @@ def _encoder_text():
 
 @register("hashed_buckets", using("bucketed", select="SELECT * FROM bucketed"))
 def hashed_buckets(spark, sf_dir):
-    return encoding.hashed_buckets(views.panel(spark, sf_dir), _encoder_text(), DIM)
+    return encoding.hashed_buckets(views.panel(spark, sf_dir, spread=True), _encoder_text(), DIM)
 
 
 @register(
@@ -42,7 +42,7 @@ def hashed_buckets(spark, sf_dir):
     ),
 )
 def hashed_vectors(spark, sf_dir):
-    dense = encoding.encode_hashed(views.panel(spark, sf_dir), _encoder_text(), DIM)
+    dense = encoding.encode_hashed(views.panel(spark, sf_dir, spread=True), _encoder_text(), DIM)
     return (
         dense.select(ID, F.posexplode("vector").alias("bucket", "value"))
         .where(F.col("value") != 0)
@@ -55,7 +55,7 @@ def hashed_vectors(spark, sf_dir):
     using("panel", select=f"SELECT 'hashed-bow' AS backend, {DIM} AS dim, count(*) AS n FROM panel"),
 )
 def vector_facts(spark, sf_dir):
-    dense = encoding.encode_hashed(views.panel(spark, sf_dir), _encoder_text(), DIM)
+    dense = encoding.encode_hashed(views.panel(spark, sf_dir, spread=True), _encoder_text(), DIM)
     return encoding.describe_vectors(dense, "hashed-bow")
 
 
@@ -95,7 +95,7 @@ views.define(
     using("label_terms", select="SELECT grp AS product, term, score, CAST(rank AS INTEGER) AS rank FROM label_terms"),
 )
 def tfidf_sum_terms(spark, sf_dir):
-    return terms.top_terms(views.panel(spark, sf_dir), "product", F.col(NARRATIVE))
+    return terms.top_terms(views.panel(spark, sf_dir, spread=True), "product", F.col(NARRATIVE))
 
 
 # --- TF-IDF over words and pairs, vocabulary over the corpus -----------------------------
@@ -140,7 +140,7 @@ WHERE place <= 5 AND term NOT IN ({quoted(terms.DOMAIN_STOP_WORDS)})""",
     ),
 )
 def tfidf_mean_ngrams(spark, sf_dir):
-    labelled = dashboard.labelled_by_product(views.panel(spark, sf_dir))
+    labelled = dashboard.labelled_by_product(views.panel(spark, sf_dir, spread=True))
     return terms.export_keywords(labelled, "label", F.col(NARRATIVE))
 
 
@@ -155,7 +155,7 @@ def tfidf_mean_ngrams(spark, sf_dir):
     ),
 )
 def fallback_terms(spark, sf_dir):
-    return terms.frequent_words(views.panel(spark, sf_dir), "product", F.col(NARRATIVE))
+    return terms.frequent_words(views.panel(spark, sf_dir, spread=True), "product", F.col(NARRATIVE))
 
 
 @register(
@@ -168,16 +168,16 @@ def fallback_terms(spark, sf_dir):
 hits AS (SELECT complaint_id, term FROM present WHERE term IN (SELECT term FROM label_terms)),
 singles AS (SELECT term, count(*) AS n FROM hits GROUP BY 1),
 pairs AS (SELECT x.grp, x.term AS a, y.term AS b FROM label_terms x JOIN label_terms y ON x.grp = y.grp AND x.term < y.term),
-both AS (SELECT h.term AS a, g.term AS b, count(*) AS n_ab FROM hits h JOIN hits g ON h.complaint_id = g.complaint_id AND h.term < g.term
+joint AS (SELECT h.term AS a, g.term AS b, count(*) AS n_ab FROM hits h JOIN hits g ON h.complaint_id = g.complaint_id AND h.term < g.term
   GROUP BY 1, 2)
 SELECT grp AS product, count(*) AS pairs, round(avg(CASE WHEN n_ab IS NULL THEN -1.0 WHEN n_ab = n_docs THEN 1.0
     ELSE ln(n_ab * n_docs / (sa.n * sb.n)) / -ln(n_ab / n_docs) END), 6) AS coherence
-FROM pairs LEFT JOIN both USING (a, b) JOIN singles sa ON sa.term = a JOIN singles sb ON sb.term = b,
+FROM pairs LEFT JOIN joint USING (a, b) JOIN singles sa ON sa.term = a JOIN singles sb ON sb.term = b,
   (SELECT count(*) AS n_docs FROM panel) GROUP BY 1""".lstrip(", "),
     ).replace("\npresent AS", ",\npresent AS", 1),
 )
 def npmi(spark, sf_dir):
-    docs = views.panel(spark, sf_dir)
+    docs = views.panel(spark, sf_dir, spread=True)
     topics = terms.top_terms(docs, "product", F.col(NARRATIVE)).select("product", "term")
     tokens = text.terms(F.col(NARRATIVE), terms.ENGLISH_STOP_WORDS)
     return terms.npmi(docs, topics, "product", tokens)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nascent.operators import panel as panels
+from nascent.session import spread_scan
 
 # Public complaint product names, one per document source.
 PRODUCT_NAMES = [
@@ -44,10 +45,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def complaints(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    if spread:
+        documents = spread_scan(documents)
     names = F.array(*[F.lit(n) for n in PRODUCT_NAMES])
     source = F.substring("source", 4, 9).cast("int") % len(PRODUCT_NAMES)
-    return table(spark, sf_dir, "documents").select(
+    return documents.select(
         F.col("doc_id").alias("complaint_id"),
         F.date_add(F.lit(FIRST_DAY).cast("date"), (F.col("doc_id") % DAYS).cast("int")).alias("date_received"),
         F.get(names, source).alias("product"),
@@ -57,8 +61,9 @@ def complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def panel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return panels.build_panel(complaints(spark, sf_dir))
+def panel(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """``spread`` is for queries that work hard on every text."""
+    return panels.build_panel(complaints(spark, sf_dir, spread))
 
 
 def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
