@@ -1,6 +1,14 @@
 """All registered queries."""
 
-from nascent.plans import cluster_queries, panel_queries, text_queries  # noqa: F401
+from nascent.plans import (  # noqa: F401
+    board_queries,
+    cluster_queries,
+    panel_queries,
+    score_queries,
+    stream_queries,
+    text_queries,
+    training_queries,
+)
 from nascent.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from nascent.functions import text
 from nascent.operators import dashboard, encoding, panel, terms
-from nascent.plans import views
+from nascent.plans import panel_queries, views  # noqa: F401  (defines shared views)
 from nascent.plans.registry import r6, register
 from nascent.plans.views import quoted, using
 
