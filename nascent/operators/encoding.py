@@ -28,7 +28,7 @@ def _dense_from_codes(dim: int):
         row_of = np.repeat(np.arange(rows, dtype=np.int64), lengths)
         weights = 1.0 - 2.0 * (flat & 1)
         sums = np.bincount(row_of * dim + (flat >> 1), weights=weights, minlength=rows * dim)
-        sums = sums.reshape(rows, dim)
+        sums = sums.astype(np.float64, copy=False).reshape(rows, dim)
         norms = np.linalg.norm(sums, axis=1, keepdims=True)
         np.divide(sums, norms, out=sums, where=norms > 0)
         offsets = np.arange(0, (rows + 1) * dim, dim, dtype=np.int32)
