@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """Bind ``value`` once, so that a lambda in ``body`` does not compute it per element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
@@ -37,8 +42,14 @@ def scale(a: Column, factor: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """Divide by the norm; a zero vector stays zero."""
-    length = norm(a)
-    return F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    return let(
+        norm(a), lambda length: F.when(length > 0, F.transform(a, lambda x: x / length)).otherwise(a)
+    )
+
+
+def normalised(a: Column) -> Column:
+    """Divide by the sum."""
+    return let(total(a), lambda whole: F.transform(a, lambda x: x / whole))
 
 
 def argmax(a: Column) -> Column:
@@ -46,11 +57,6 @@ def argmax(a: Column) -> Column:
     return (F.array_position(a, F.array_max(a)) - 1).cast("int")
 
 
-def let(value: Column, body) -> Column:
-    """Bind ``value`` once, so that a lambda in ``body`` does not compute it per element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def fold(a: Column, steps: int) -> Column:
     """Reshape a vector into ``steps`` consecutive rows; its length must divide evenly."""
 

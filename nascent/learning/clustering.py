@@ -308,9 +308,9 @@ def window_summary(assignments: DataFrame, links: DataFrame, stored: DataFrame)
     slots = links.select(WINDOW, LOCAL, GLOBAL).join(counts, [WINDOW, LOCAL], "left")
     rows = slots.groupBy(WINDOW).agg(
         F.sum(F.coalesce("n", F.lit(0))).alias("n_points"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct(LOCAL, GLOBAL)))).alias("local_to_global"),
+        F.map_from_entries(F.sort_array(F.collect_list(F.struct(LOCAL, GLOBAL)))).alias("local_to_global"),
         F.transform(
-            F.array_sort(F.collect_list(F.struct(LOCAL, F.coalesce("n", F.lit(0)).alias("n")))), lambda s: s["n"]
+            F.sort_array(F.collect_list(F.struct(LOCAL, F.coalesce("n", F.lit(0)).alias("n")))), lambda s: s["n"]
         ).alias("cluster_sizes"),
         (F.sum("e") / F.sum("n")).alias("recon_loss"),
     )

@@ -17,7 +17,7 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from nascent.session import settle
+from nascent.session import fix_partitions
 
 FAN_IN = 64
 
@@ -25,7 +25,7 @@ FAN_IN = 64
 def make_shards(df: DataFrame, id_column: str, shards: int | None = None) -> DataFrame:
     """Spread the rows evenly by the hash of the id and fix them in the shared folder."""
     shards = shards or df.sparkSession.sparkContext.defaultParallelism
-    return settle(df.repartition(shards, id_column))
+    return fix_partitions(df.repartition(shards, id_column))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -36,20 +36,18 @@ def matrix(column: pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), dtype=np.float64).reshape(rows, -1) if rows else np.empty((0, 0))
 
 
-def average(rows: DataFrame) -> tuple[np.ndarray, float, float]:
+def average(rows: DataFrame, shards: int) -> tuple[np.ndarray, float, float]:
     """Weighted mean of ``(shard, n, loss, w)`` rows: weights, loss and total ``n``."""
-    summary = Summarizer.metrics("mean").summary(array_to_vector("w"), F.col("n"))
-    halfway = rows.groupBy(F.pmod("shard", F.lit(FAN_IN)).alias("shard")).agg(
+    mean = Summarizer.metrics("mean").summary(F.col("w"), F.col("n")).getField("mean")
+    parts = [
         F.sum("n").alias("n"),
         (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"),
-        summary.getField("mean").alias("w"),
-    )
-    again = Summarizer.metrics("mean").summary(F.col("w"), F.col("n"))
-    result = halfway.agg(
-        F.sum("n").alias("n"),
-        (F.sum(F.col("loss") * F.col("n")) / F.sum("n")).alias("loss"),
-        again.getField("mean").alias("w"),
-    ).first()
+        mean.alias("w"),
+    ]
+    level = rows.withColumn("w", array_to_vector("w"))
+    if shards > FAN_IN:
+        level = level.groupBy(F.pmod("shard", F.lit(FAN_IN)).alias("shard")).agg(*parts)
+    result = level.agg(*parts).first()
     if result is None or not result["n"]:
         raise ValueError("no rows to train on")
     return result["w"].toArray(), float(result["loss"]), float(result["n"])
@@ -84,7 +82,7 @@ def train_round(
             )
 
     rows = shards.mapInArrow(work, "shard int, n double, loss double, w array<double>")
-    result = average(rows)
+    result = average(rows, shards.rdd.getNumPartitions())
     sent.unpersist()
     return result
 

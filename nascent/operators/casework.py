@@ -10,6 +10,7 @@ from nascent.functions.rows import explode_once
 from nascent.operators.clusters import GLOBAL
 from nascent.operators.panel import DATE, ID, NARRATIVE
 from nascent.operators.topk import top_per_group
+from nascent.session import settle
 
 # Words that say nothing about a case.
 CASE_STOP_WORDS = ["with", "other", "loan", "consumer"]
@@ -84,23 +85,23 @@ def match_cases(
     known = case_terms(cases).select("name", "terms")
     probes = known.select("name", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
     bounds = probes.agg(F.max(F.length("term")).alias("longest"), F.lit(1).alias("_one"))
-    runs = (
-        explode_once(
-            narratives,
-            [cluster],
-            F.array_distinct(
-                F.regexp_extract_all(F.lower(NARRATIVE), F.lit(f"[a-z]{{{MIN_TERM},}}"), F.lit(0))
-            ),
-            "run",
-        )
+    runs = explode_once(
+        narratives,
+        [cluster],
+        F.array_distinct(
+            F.regexp_extract_all(F.lower(NARRATIVE), F.lit(f"[a-z]{{{MIN_TERM},}}"), F.lit(0))
+        ),
+        "run",
+    ).distinct()
+    runs = settle(runs)
+    # Every distinct run is cut up once, however many clusters it occurs in.
+    pieces = (
+        runs.select("run")
         .distinct()
         .withColumn("_one", F.lit(1))
         .join(F.broadcast(bounds), "_one")
         .where(F.col("longest").isNotNull())
-    )
-    pieces = (
-        runs.select(
-            cluster,
+        .select(
             "run",
             F.explode(
                 F.sequence(
@@ -109,7 +110,7 @@ def match_cases(
             ).alias("size"),
         )
         .select(
-            cluster,
+            "run",
             F.explode(
                 F.transform(
                     F.sequence(F.lit(1), F.length("run") - F.col("size") + 1),
@@ -120,6 +121,7 @@ def match_cases(
         .join(probes.select("term").distinct(), "term", "left_semi")
         .distinct()
     )
+    pieces = runs.join(pieces, "run").select(cluster, "term").distinct()
     hits = (
         probes.join(pieces, "term")
         .groupBy("name", "n_terms", cluster)

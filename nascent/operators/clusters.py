@@ -81,7 +81,7 @@ def centroid_matrices(found: DataFrame) -> DataFrame:
     """``(window, matrix)``: the centroids of a window as one array in cluster order."""
     return found.groupBy(WINDOW).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct(LOCAL, "centroid"))), lambda c: c["centroid"]
+            F.sort_array(F.collect_list(F.struct(LOCAL, "centroid"))), lambda c: c["centroid"]
         ).alias("matrix")
     )
 
@@ -93,13 +93,11 @@ def soft_assign(points: DataFrame, found: DataFrame, alpha: float = 1.0) -> Data
         F.col("matrix"),
         lambda c: 1.0 / (1.0 + vectors.squared_distance(F.col("vector"), c) / alpha),
     )
-    weighted = joined.withColumn("_w", weights).drop("matrix")
-    whole = vectors.total(F.col("_w"))
+    shares = vectors.let(weights, vectors.normalised)
     exponent = (alpha + 1.0) / 2.0
-    scaled = F.transform("_w", lambda w: w / F.col("_sum"))
     if exponent != 1.0:
-        scaled = F.transform("_w", lambda w: F.pow(w / F.col("_sum"), F.lit(exponent)))
-    return weighted.withColumn("_sum", whole).withColumn("q", scaled).drop("_w", "_sum")
+        shares = F.transform(shares, lambda q: F.pow(q, F.lit(exponent)))
+    return joined.withColumn("q", shares).drop("matrix")
 
 
 def hard_assign(soft: DataFrame) -> DataFrame:
@@ -115,10 +113,8 @@ def target_distribution(soft: DataFrame) -> DataFrame:
         vector_to_array(Summarizer.sum(array_to_vector(F.col("q")))).alias("_f")
     )
     joined = attach_small(soft, frequency, [WINDOW], spread=ID, row_bytes=4096)
-    raw = joined.withColumn("_p", F.zip_with("q", "_f", lambda q, f: q * q / f)).withColumn(
-        "_sum", vectors.total(F.col("_p"))
-    )
-    return raw.withColumn("p", F.transform("_p", lambda x: x / F.col("_sum"))).drop("_p", "_sum", "_f")
+    raw = F.zip_with("q", "_f", lambda q, f: q * q / f)
+    return joined.withColumn("p", vectors.let(raw, vectors.normalised)).drop("_f")
 
 
 def label_change(before: DataFrame, after: DataFrame, id_column: str = ID) -> DataFrame:

@@ -79,7 +79,7 @@ def cluster_table(panel: DataFrame, label: str = "label") -> DataFrame:
     keywords = (
         export_keywords(panel, label, F.col(NARRATIVE))
         .groupBy(label)
-        .agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("_k"))
+        .agg(F.sort_array(F.collect_list(F.struct("rank", "term"))).alias("_k"))
         .select(label, F.transform("_k", lambda k: k["term"]).alias("keywords"))
     )
     palette = F.array(*[F.lit(c) for c in PALETTE])

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nascent.functions import text
+from nascent.functions.vectors import let
 from nascent.operators.panel import ID, NARRATIVE
 from nascent.session import attach_small
 
@@ -42,6 +43,7 @@ def score_novelty(
                 )
             )
         ).alias("_clusters"),
+        F.array_distinct(F.flatten(F.collect_list(F.transform("keywords", F.lower)))).alias("_keywords"),
         F.lit(1).alias("_one"),
     )
     prepared = texts.select(
@@ -53,14 +55,17 @@ def score_novelty(
         F.regexp_extract_all(F.lower(NARRATIVE), F.lit(text.WORD), F.lit(0)).alias("_tokens"),
         F.lit(1).alias("_one"),
     )
-    joined = attach_small(prepared, listed, ["_one"], spread=id_column, row_bytes=1_048_576)
+    # One hashed intersection per text; clusters then look only at the words in it.
+    joined = attach_small(
+        prepared, listed, ["_one"], spread=id_column, row_bytes=1_048_576
+    )
 
-    def affinity(cluster: Column) -> Column:
+    def affinity(cluster: Column, known: Column) -> Column:
         keywords = F.aggregate(
             cluster["keywords"],
             F.lit(0.0),
             lambda acc, kw: acc
-            + F.when(F.array_contains(F.col("_words"), kw), 3.0)
+            + F.when(F.array_contains(known, kw), 3.0)
             .when(F.contains(F.col("_low"), kw), 1.5)
             .otherwise(0.0),
         )
@@ -69,20 +74,27 @@ def score_novelty(
         )
         return keywords + F.when(named, 5.0).otherwise(0.0)
 
-    scored = joined.withColumn("_scores", F.transform("_clusters", affinity)).withColumn(
+    scores = let(
+        F.array_intersect("_words", "_keywords"),
+        lambda known: F.transform("_clusters", lambda cluster: affinity(cluster, known)),
+    )
+    scored = joined.withColumn("_scores", scores).withColumn(
         "_weights", F.transform("_scores", lambda s: F.exp(F.least(F.lit(8.0), s * 0.7)))
     )
     whole = F.aggregate("_weights", F.lit(0.0), lambda acc, w: acc + w)
-    probable = F.transform(
-        F.arrays_zip("_clusters", "_weights"),
-        lambda c, i: F.struct(
-            (-F.round(c["_weights"] / F.col("_whole"), 3)).alias("minus"),
-            i.alias("place"),
-            c["_clusters"]["id"].alias("id"),
-            c["_clusters"]["label"].alias("label"),
+    probable = let(
+        whole,
+        lambda all_weights: F.transform(
+            F.arrays_zip("_clusters", "_weights"),
+            lambda c, i: F.struct(
+                (-F.round(c["_weights"] / all_weights, 3)).alias("minus"),
+                i.alias("place"),
+                c["_clusters"]["id"].alias("id"),
+                c["_clusters"]["label"].alias("label"),
+            ),
         ),
     )
-    assigned = scored.withColumn("_whole", whole).withColumn("_sorted", F.array_sort(probable))
+    assigned = scored.withColumn("_sorted", F.sort_array(probable))
     best = F.get("_sorted", F.lit(0))
     best_score = F.array_max("_scores")
     emerging = F.arrays_overlap("_tokens", F.array(*[F.lit(t) for t in EMERGING_TERMS]))

@@ -113,12 +113,15 @@ def silhouette(assigned: DataFrame) -> DataFrame:
     )
     joined = attach_small(assigned, per_window, [WINDOW], spread=ID, row_bytes=262_144)
     square = vectors.dot(F.col("vector"), F.col("vector"))
-    away = F.transform(
-        "_clusters",
-        lambda c: F.struct(
-            c[LOCAL].alias("cluster"),
-            c["n"].alias("n"),
-            (square + c["mean_square"] - 2 * vectors.dot(F.col("vector"), c["centroid"])).alias("d"),
+    away = vectors.let(
+        square,
+        lambda own_square: F.transform(
+            "_clusters",
+            lambda c: F.struct(
+                c[LOCAL].alias("cluster"),
+                c["n"].alias("n"),
+                (own_square + c["mean_square"] - 2 * vectors.dot(F.col("vector"), c["centroid"])).alias("d"),
+            ),
         ),
     )
     measured = joined.select(WINDOW, LOCAL, away.alias("_away"))

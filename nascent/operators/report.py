@@ -16,7 +16,7 @@ NO_LABEL = "(no narratives available)"
 def joined_terms(labels: DataFrame, cluster: str = GLOBAL) -> DataFrame:
     """``(cluster, label)``: the ranked terms of a cluster as one text."""
     gathered = F.transform(
-        F.array_sort(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]
+        F.sort_array(F.collect_list(F.struct("rank", "term"))), lambda t: t["term"]
     )
     return labels.groupBy(cluster).agg(F.array_join(gathered, ", ").alias("label"))
 
@@ -27,7 +27,7 @@ def report_table(
     """``narratives`` holds the few examples per cluster chosen before."""
     examples = narratives.groupBy(cluster).agg(
         F.transform(
-            F.array_sort(F.collect_list(F.struct("place", text.snippet(F.col(NARRATIVE), EXAMPLE_LENGTH).alias("x")))),
+            F.sort_array(F.collect_list(F.struct("place", text.snippet(F.col(NARRATIVE), EXAMPLE_LENGTH).alias("x")))),
             lambda e: e["x"],
         ).alias("examples")
     )

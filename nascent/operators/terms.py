@@ -160,7 +160,7 @@ def npmi(
     """
     pairs = (
         topics.groupBy(topic)
-        .agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        .agg(F.sort_array(F.collect_set("term")).alias("terms"))
         .select(topic, F.explode(_pairs(F.col("terms"))).alias("p"))
         .select(topic, "p.a", "p.b")
     )
@@ -169,7 +169,7 @@ def npmi(
     singles = hits.groupBy("term").agg(F.countDistinct(id_column).alias("n"))
     together = (
         hits.groupBy(id_column, topic)
-        .agg(F.array_sort(F.collect_set("term")).alias("terms"))
+        .agg(F.sort_array(F.collect_set("term")).alias("terms"))
         .select(topic, F.explode(_pairs(F.col("terms"))).alias("p"))
         .groupBy(topic, "p.a", "p.b")
         .agg(F.count("*").alias("n_ab"))

@@ -59,7 +59,7 @@ def padded_sequences(trajectories: DataFrame) -> DataFrame:
     )
     row = F.struct(F.col("step"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"))
     gathered = recent.groupBy(GLOBAL, "first_window", "length").agg(
-        F.transform(F.array_sort(F.collect_list(row)), lambda s: s["x"]).alias("_steps")
+        F.transform(F.sort_array(F.collect_list(row)), lambda s: s["x"]).alias("_steps")
     )
     missing = F.greatest(F.lit(MIN_STEPS) - F.size("_steps"), F.lit(0))
     return gathered.select(

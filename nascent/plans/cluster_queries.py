@@ -70,7 +70,7 @@ def soft_assign(spark, sf_dir):
 
 def _long(df, found, column):
     """Array position back to the cluster id of the window."""
-    ids = found.groupBy(WINDOW).agg(F.array_sort(F.collect_list(LOCAL)).alias("ids"))
+    ids = found.groupBy(WINDOW).agg(F.sort_array(F.collect_list(LOCAL)).alias("ids"))
     return df.join(ids, WINDOW).select(
         ID, WINDOW, F.posexplode(F.arrays_zip("ids", column)).alias("pos", "z")
     ).select(ID, WINDOW, F.col("z.ids").alias("cluster"), r6(f"z.{column}").alias(column))
@@ -99,7 +99,7 @@ views.define(
 
 def _hard(spark, sf_dir):
     soft, found = _soft(spark, sf_dir)
-    ids = found.groupBy(WINDOW).agg(F.array_sort(F.collect_list(LOCAL)).alias("ids"))
+    ids = found.groupBy(WINDOW).agg(F.sort_array(F.collect_list(LOCAL)).alias("ids"))
     placed = clusters.hard_assign(soft)
     return placed.join(ids, WINDOW).select(
         ID, WINDOW, "label", F.get("ids", F.col(LOCAL)).alias(LOCAL)

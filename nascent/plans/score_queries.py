@@ -245,7 +245,7 @@ def _assigned(spark, sf_dir):
 
 def _matches(spark, sf_dir, n, ranked=None):
     ranked = ranked if ranked is not None else _ranked(spark, sf_dir)
-    narratives = casework.cluster_narratives(_assigned(spark, sf_dir), views.panel(spark, sf_dir), n)
+    narratives = casework.cluster_narratives(_assigned(spark, sf_dir), views.panel(spark, sf_dir, spread=True), n)
     return casework.match_cases(views.cases(spark, sf_dir), ranked, narratives)
 
 
@@ -328,7 +328,7 @@ views.define("member_terms", ["member_scores"], views.SQL["label_terms"].replace
 
 def _labels(spark, sf_dir):
     docs = _assigned(spark, sf_dir).select(ID, GLOBAL).join(
-        views.panel(spark, sf_dir).select(ID, NARRATIVE), ID
+        views.panel(spark, sf_dir, spread=True).select(ID, NARRATIVE), ID
     )
     return terms.top_terms(docs, GLOBAL, F.col(NARRATIVE))
 
@@ -357,7 +357,7 @@ FROM members WHERE place <= 5""",
     ),
 )
 def cluster_examples(spark, sf_dir):
-    return casework.cluster_narratives(_assigned(spark, sf_dir), views.panel(spark, sf_dir), 5)
+    return casework.cluster_narratives(_assigned(spark, sf_dir), views.panel(spark, sf_dir, spread=True), 5)
 
 
 @register(
@@ -375,7 +375,7 @@ LEFT JOIN (SELECT global_cluster, string_agg(CASE WHEN length(consumer_complaint
     ),
 )
 def report_table(spark, sf_dir):
-    examples = casework.cluster_narratives(_assigned(spark, sf_dir), views.panel(spark, sf_dir), 5)
+    examples = casework.cluster_narratives(_assigned(spark, sf_dir), views.panel(spark, sf_dir, spread=True), 5)
     table = report.report_table(_ranked(spark, sf_dir), _labels(spark, sf_dir), examples)
     return table.select(
         "rank",

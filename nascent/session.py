@@ -55,10 +55,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder once and read it back from there.
+    """Write ``df`` as a table below the shared folder once and read it back from there.
 
-    Used for tables that several later steps read; survives the loss of executors.
+    Used for tables that several later steps read. It is computed exactly once, survives
+    the loss of executors, and its true size is known to the joins that follow.
     """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fix_partitions(df: DataFrame) -> DataFrame:
+    """Cut the lineage and keep the partitions as they are."""
     checkpoint_root(df.sparkSession)
     return df.checkpoint(eager=True)
 

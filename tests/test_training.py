@@ -52,7 +52,9 @@ SETTINGS = clustering.ClusterSettings(
 def test_averaging_is_weighted_and_two_level(spark):
     rows = [(i, float(1 + i % 3), float(i), [float(i), 1.0]) for i in range(150)]
     df = spark.createDataFrame(rows, "shard int, n double, loss double, w array<double>")
-    weights, loss, n = average(df)
+    weights, loss, n = average(df, 150)
+    flat = average(df, 1)
+    assert np.allclose(weights, flat[0]) and np.isclose(loss, flat[1])
     share = np.array([r[1] for r in rows])
     want = (share * np.arange(150)).sum() / share.sum()
     assert np.allclose(weights, [want, 1.0]) and abs(loss - want) < 1e-9 and n == share.sum()
