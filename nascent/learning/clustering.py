@@ -285,7 +285,7 @@ def cluster_windows(vectors: DataFrame, settings: ClusterSettings = ClusterSetti
     found = spark.createDataFrame(centres, f"{WINDOW} string, {LOCAL} int, centroid array<double>")
     links = link_clusters(found, settings.link_threshold)
     assigned = spark.read.schema(f"{ID} {_type_of(vectors, ID)}, {WINDOW} string, {LOCAL} int, recon_error double").parquet(path)
-    linked = assigned.join(F.broadcast(links.select(WINDOW, LOCAL, GLOBAL)), [WINDOW, LOCAL])
+    linked = assigned.join(links.select(WINDOW, LOCAL, GLOBAL), [WINDOW, LOCAL])
     assignments = linked.select(ID, WINDOW, LOCAL, GLOBAL, "recon_error")
     return WindowClusters(assignments, links, window_summary(assignments, links, stored), rounds)
 

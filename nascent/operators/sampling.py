@@ -56,14 +56,19 @@ def cut_keys(
 
 
 def flag_smallest(
-    df: DataFrame, groups: list[str], key: str, quota: Column, flag: str
+    df: DataFrame, groups: list[str], key: str, quota: Column, flag: str, slim: bool = False
 ) -> DataFrame:
-    """Mark the rows that are among the ``quota`` smallest keys of their group."""
+    """Mark the rows that are among the ``quota`` smallest keys of their group.
+
+    Finding the cut reads the groups and keys twice, so these are written out once and
+    the wide rows are read only for the result. ``slim`` says that ``df`` is such a
+    table already.
+    """
     if not groups:
         df, groups, added = df.withColumn("_all", F.lit(1)), ["_all"], ["_all"]
     else:
         added = []
-    cuts = cut_keys(df, groups, key, quota)
+    cuts = cut_keys(df if slim else settle(df.select(*groups, key)), groups, key, quota)
     joined = attach_small(df, cuts, groups, spread=key, how="left")
     return joined.withColumn(
         flag, F.coalesce(F.col(key) <= F.col("cut_key"), F.lit(False))
@@ -89,30 +94,32 @@ def stratified_flags(
     seed: int = 42,
     id_column: str = ID,
 ) -> DataFrame:
-    """Mark an exact-size sample spread over ``strata`` in the column ``sampled``.
+    """``(id, strata..., sampled)``: an exact-size sample spread over ``strata``.
 
-    Each stratum first gets the larger of an even share and its proportional share.
+    Works on ids and strata only, written out once; the candidates themselves are read a
+    single time. Each stratum first gets the larger of an even share and its proportional share.
     If that is more than the target, a random part of it stays; if it is less, random
     rows from the remainder join.
     """
-    keyed = candidates.withColumn("_key", rank_key(seed, F.col(id_column)))
-    sizes = settle(keyed.groupBy(*strata).agg(F.count("*").alias("n")))
+    keyed = settle(candidates.select(id_column, *strata, rank_key(seed, F.col(id_column)).alias("_key")))
+    sizes = keyed.groupBy(*strata).agg(F.count("*").alias("n"))
     available, n_groups = sizes.agg(F.sum("n"), F.count("*")).first()
     if not available or available <= target:
-        return candidates.withColumn("sampled", F.lit(True))
+        return keyed.drop("_key").withColumn("sampled", F.lit(True))
     even = max(1, target // n_groups)
     share = F.expr(f"group_rows * {target} div {available}")
-    first = flag_smallest(keyed, strata, "_key", F.greatest(F.lit(even), share), "_first")
+    first = flag_smallest(keyed, strata, "_key", F.greatest(F.lit(even), share), "_first", slim=True)
     # Rows of the first pass sort before all others; the target cuts that one order.
-    first = first.withColumn(
-        "_order",
-        F.concat(
-            F.when(F.col("_first"), "0").otherwise("1"), rank_key(f"{seed}:fill", F.col(id_column))
-        ),
-    )
-    return flag_smallest(first, [], "_order", F.lit(target), "sampled").drop(
-        "_key", "_first", "_order"
+    first = settle(
+        first.select(
+            id_column,
+            *strata,
+            F.concat(
+                F.when(F.col("_first"), "0").otherwise("1"), rank_key(f"{seed}:fill", F.col(id_column))
+            ).alias("_order"),
+        )
     )
+    return flag_smallest(first, [], "_order", F.lit(target), "sampled", slim=True).drop("_order")
 
 
 def sample_raw(
@@ -128,8 +135,8 @@ def sample_raw(
     pool = pool.withColumn("_month", dates.window_label(F.col(DATE), "M")).withColumn(
         "_product", text.strip(F.coalesce(F.col("product"), F.lit("Unknown")))
     )
-    flagged = stratified_flags(pool, ["_month", "_product"], target, seed)
-    return flagged.where("sampled").drop("_month", "_product", "sampled")
+    chosen = settle(stratified_flags(pool, ["_month", "_product"], target, seed).where("sampled").select(ID))
+    return pool.join(chosen, ID, "left_semi").drop("_month", "_product")
 
 
 def complement(df: DataFrame, sample: DataFrame, id_column: str = ID) -> DataFrame:

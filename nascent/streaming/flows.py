@@ -208,7 +208,9 @@ def _advance(spark, folder, model, settings, number, flush) -> None:
     stored = spark.read.parquet(f"{folder}/vectors")
     done = _weights(spark, folder, number)
     after = done[0] if done else ""
-    sizes = stored.groupBy(WINDOW).agg(F.count("*").alias("n")).orderBy(WINDOW).collect()
+    # Windows finished before are not read again; rows that come later for them are kept
+    # but not clustered.
+    sizes = stored.where(F.col(WINDOW) > after).groupBy(WINDOW).agg(F.count("*").alias("n")).orderBy(WINDOW).collect()
     names = [r[WINDOW] for r in sizes]
     weights = done[1] if done else None
     for row in sizes:
