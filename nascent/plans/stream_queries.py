@@ -38,11 +38,12 @@ def stream_daily_volume(spark, sf_dir):
     folder = scratch_path(spark, "volume")
     # The supplied times carry no zone; read as UTC whatever the session says.
     shifted = _stream(spark, sf_dir, "events").select(
-        F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp"))).alias("ts"), "event_type"
+        F.from_utc_timestamp(F.col("ts").cast("timestamp"), F.current_timezone()).alias("ts"), "event_type"
     )
     flows.volume(shifted, folder, "ts", ["event_type"]).awaitTermination()
     counts = flows.current_volume(spark, folder, ["event_type"])
-    return counts.select(F.date_format("window_start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+    start = F.to_utc_timestamp("window_start", F.current_timezone())
+    return counts.select(F.date_format(start, "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @register(
