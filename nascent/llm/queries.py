@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nascent.llm import quality, toxicity
+from nascent.llm import bpe, packing, quality, toxicity
 from nascent.llm.common import clean_text, in_fold, table
 from nascent.session import settle
 
@@ -43,3 +44,24 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         quality.score_column(model, F.col("stats")).alias("score"),
     )
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = bpe.encode(docs, ranks, public_tokenizers.PATTERN)
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(bpe.decode_column(F.col("ids"), ranks), 256).alias("decoded_sha256"),
+    )
+
+
+@query
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs, path, public_tokenizers.PATTERN)

@@ -37,8 +37,8 @@ CACHED_WORDS = 400_000
 class ToxicitySettings:
     """``positives`` and ``unlabelled`` bound the rows the classifier is fitted on."""
 
-    positives: int = 2_000
-    unlabelled: int = 6_000
+    positives: int = 1_500
+    unlabelled: int = 4_500
     features: int = 1_024
     min_rows: int = 3
     min_evidence: float = 4.0
@@ -108,7 +108,7 @@ def training_rows(
     rows = texts.join(F.broadcast(small), id_col).select(
         F.col(id_col).cast("string").alias("id"), "positive", "text"
     )
-    found = rows.mapInPandas(extract, "id string, positive int, slots array<int>").toPandas()
+    found = rows.mapInPandas(extract, "id string, positive int, slots binary").toPandas()
     return found.drop_duplicates(["id", "positive"]).sort_values(["positive", "id"])
 
 
@@ -124,11 +124,11 @@ def fit(rows: pd.DataFrame, prior: float, settings: ToxicitySettings) -> Toxicit
     n_pos, n_unl = int(positive.sum()), int((~positive).sum())
     if n_pos == 0 or n_unl == 0:
         return empty
-    lengths = np.array([len(s) for s in rows["slots"]])
-    flat = np.concatenate([np.asarray(s, dtype=np.int64) for s in rows["slots"]])
-    owner = np.repeat(np.arange(len(lengths)), lengths)
-    in_pos = np.bincount(flat[positive[owner]], minlength=DIMS)
-    in_unl = np.bincount(flat[~positive[owner]], minlength=DIMS)
+    # Row by row, so that nothing beside the rows themselves grows with their words.
+    in_pos, in_unl = np.zeros(DIMS, dtype=np.int32), np.zeros(DIMS, dtype=np.int32)
+    texts = [np.frombuffer(s, dtype=np.int32) for s in rows["slots"]]
+    for known, slots in zip(positive, texts, strict=True):
+        (in_pos if known else in_unl)[slots] += 1
     share = (in_pos + in_unl) / (n_pos + n_unl)
     spread = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n_pos + 1 / n_unl))
     evidence = np.where(in_pos >= settings.min_rows, (in_pos / n_pos - in_unl / n_unl) / spread, 0)
@@ -136,11 +136,12 @@ def fit(rows: pd.DataFrame, prior: float, settings: ToxicitySettings) -> Toxicit
     slots = np.sort(slots[np.argsort(-evidence[slots], kind="stable")[: settings.features]])
     if not len(slots):
         return empty
-    place = np.full(DIMS, -1)
+    place = np.full(DIMS, -1, dtype=np.int32)
     place[slots] = np.arange(len(slots))
-    seen = place[flat] >= 0
-    x = np.zeros((len(lengths), len(slots)), dtype=np.float32)
-    x[owner[seen], place[flat[seen]]] = 1
+    x = np.zeros((len(texts), len(slots)), dtype=np.float32)
+    for row, found in enumerate(texts):
+        columns = place[found]
+        x[row, columns[columns >= 0]] = 1
     weights, bias = _descend(x[positive], x[~positive], prior, base, settings)
     return ToxicityModel(slots.astype(np.int64), weights.astype(np.float64), bias)
 
@@ -157,13 +158,15 @@ def _descend(
     theta, first, second = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
     theta[-1] = bias
     for step in range(1, settings.epochs + 1):
-        g_pos, g_unl = pos @ theta[:-1] + theta[-1], unl @ theta[:-1] + theta[-1]
+        weights = theta[:-1].astype(np.float32)  # else the matrices would be copied as doubles
+        g_pos, g_unl = pos @ weights + theta[-1], unl @ weights + theta[-1]
         negative = np.logaddexp(0, g_unl).mean() - prior * np.logaddexp(0, g_pos).mean()
         d_pos = -prior * _sigmoid(-g_pos) / len(pos)
         d_neg_pos, d_neg_unl = -prior * _sigmoid(g_pos) / len(pos), _sigmoid(g_unl) / len(unl)
         # Where the corrected negative risk is below zero, step away from it.
         a, b = (d_pos + d_neg_pos, d_neg_unl) if negative >= 0 else (-d_neg_pos, -d_neg_unl)
-        gradient = np.append(pos.T @ a + unl.T @ b + settings.ridge * theta[:-1], a.sum() + b.sum())
+        slope = a.astype(np.float32) @ pos + b.astype(np.float32) @ unl
+        gradient = np.append(slope + settings.ridge * theta[:-1], a.sum() + b.sum())
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
         unbiased = np.sqrt(second / (1 - 0.999**step)) + 1e-8
