@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nascent.llm import bpe, packing, quality, toxicity
+from nascent.llm import bpe, packing, quality, simhash, substrings, toxicity
 from nascent.llm.common import clean_text, in_fold, table
 from nascent.session import settle
 
@@ -65,3 +65,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return packing.pack_documents(docs, path, public_tokenizers.PATTERN)
+
+
+@query
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    cut = substrings.repeated_windows(docs)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    groups = simhash.near_duplicates(docs)
+    digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return groups.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))

@@ -100,7 +100,7 @@ def training_rows(
                 {
                     "id": batch["id"],
                     "positive": batch["positive"],
-                    "slots": [text_slots(t) for t in batch["text"]],
+                    "slots": [text_slots(t).tobytes() for t in batch["text"]],
                 }
             )
 
