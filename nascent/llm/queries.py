@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nascent.llm import bpe, packing, quality, simhash, substrings, toxicity
+from nascent.llm import bpe, packing, quality, sanitise, simhash, sketches, substrings, toxicity
 from nascent.llm.common import clean_text, in_fold, table
 from nascent.session import settle
 
@@ -80,3 +80,32 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(docs)
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return groups.select("doc_id", digits.alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = sanitise.find_spans(docs)
+    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint")
+    return spans.select(
+        "doc_id",
+        *(count(i).alias(f"n_{name}") for i, name in enumerate(sanitise.KINDS)),
+        F.sha2(sanitise.named(F.col("base")), 256).alias("base_sha256"),
+        sanitise.named(F.array_sort(F.concat("base", "added"))).alias("spans"),
+    )
+
+
+@query
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    edits = sketches.with_edits(docs)
+    following = F.coalesce(sketches.likeness(F.col("sketch"), F.col("next_sketch")), F.lit(0.0))
+    return edits.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("edited", 256).alias("edited_sha256"),
+        sketches.as_text(F.col("sketch")).alias("fingerprint"),
+        sketches.as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
+        sketches.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
+        following.alias("near_next"),
+    )
