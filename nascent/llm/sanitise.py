@@ -16,7 +16,7 @@ document's pairs are in proportion to its entities, never entities times words.
 terms are counted with partial sums before the shuffle.
 
 Defined results: a null or empty text has no spans; repeated rows have equal spans and
-count as one document; spans of different kinds may overlap, and masking covers their
+count each in the shares, but as one context; spans of different kinds may overlap, and masking covers their
 union; ties are sorted by start, kind and end; extra columns are ignored here and kept by
 ``mask``; an empty table gives an empty result.
 """
@@ -191,8 +191,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, settings: Disclo
     if often.isEmpty():
         return None
     together = pairs.select("entity", "term", "__key").distinct().join(often, ["entity", "term"], "left_semi")
-    together = together.groupBy("entity", "term").agg(F.count("*").alias("together"))
-    entities = near.select("entity", "__key").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
+    weights = rows.where(F.size("near") > 0).groupBy("__key").agg(F.count("*").alias("weight"))
+    together = together.join(weights, "__key").groupBy("entity", "term").agg(F.sum("weight").alias("together"))
+    entities = near.select("entity", "__key").distinct().join(weights, "__key")
+    entities = entities.groupBy("entity").agg(F.sum("weight").alias("with_entity"))
     terms = settle(often.select("term").distinct())
     words = F.array_distinct(F.split(F.lower(clean_text(text_col)), r"[^\p{L}\p{N}]+"))
     single = docs.select(F.explode(words).alias("term"))
