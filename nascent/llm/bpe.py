@@ -17,6 +17,7 @@ empty result; bytes that are no UTF-8 after decoding stay bytes.
 from __future__ import annotations
 
 import base64
+import sys
 from collections.abc import Iterable
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
@@ -103,15 +104,15 @@ class Vocabulary:
             joined[at : at + len(token)] = np.frombuffer(token, dtype=np.uint8)
         self.joined = joined
 
-    def encode_pieces(self, pieces: Iterable[bytes]) -> list[np.ndarray]:
-        """The token ids of every piece; a piece that is a token is that token."""
+    def encode_pieces(self, pieces: Iterable[bytes]) -> list[bytes]:
+        """The token ids of every piece as 32-bit numbers; a piece that is a token is that token."""
         pieces = list(pieces)
-        out: list[np.ndarray] = [np.zeros(0, dtype=np.int32)] * len(pieces)
+        out = [b""] * len(pieces)
         rows = []
         for i, piece in enumerate(pieces):
             whole = self.rank.get(piece)
             if whole is not None:
-                out[i] = np.array([whole], dtype=np.int32)
+                out[i] = whole.to_bytes(4, sys.byteorder)
             elif piece:
                 rows.append(i)
         rows.sort(key=lambda i: len(pieces[i]))
@@ -135,43 +136,47 @@ class Vocabulary:
             at = end
         return out
 
-    def _merge_rows(self, pieces: list[bytes], width: int) -> list[np.ndarray]:
+    def _merge_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
         n = len(pieces)
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8)
         sizes = np.fromiter(map(len, pieces), dtype=np.int64, count=n)
         columns = np.arange(width)
         ids = np.where(columns < sizes[:, None], self.byte_ids[raw.reshape(n, width)], -1)
-        ids = np.hstack([ids, np.full((n, 1), -1)]).astype(np.int32)
-        # ranks[:, j] belongs to the pair (j, j + 1); a last column of NO_RANK is moved in.
-        ranks = np.hstack([self.pairs.find(ids[:, :-1], ids[:, 1:]), np.full((n, 1), NO_RANK)])
-        place, out = np.arange(n), [None] * n
+        ids = np.ascontiguousarray(ids.T, dtype=np.int32)  # a line per column of the rows
+        # ranks[j] belongs to the pair (j, j + 1); the last line has no pair.
+        ranks = np.full(ids.shape, NO_RANK, dtype=np.int32)
+        ranks[:-1] = self.pairs.find(ids[:-1], ids[1:])
+        place, out = np.arange(n), [b""] * n
         while len(place):
-            best = ranks.argmin(axis=1)
-            here = np.arange(len(place))
-            lowest = ranks[here, best]
+            # The first column with the lowest rank; columns lie one after another in memory.
+            lowest = ranks.min(axis=0)
             open_rows = lowest != NO_RANK
-            for row in np.flatnonzero(~open_rows):
-                out[place[row]] = ids[row, : np.argmax(ids[row] < 0)].copy()
             if not open_rows.all():
-                ids, ranks, place = ids[open_rows], ranks[open_rows], place[open_rows]
-                best, lowest, here = best[open_rows], lowest[open_rows], np.arange(len(place))
+                done = ids[:, ~open_rows].T
+                kept = done >= 0
+                flat = done[kept].tobytes()
+                ends = (np.cumsum(kept.sum(axis=1)) * 4).tolist()
+                for row, start, end in zip(place[~open_rows].tolist(), [0, *ends], ends):  # noqa: B905
+                    out[row] = flat[start:end]
+                ids, ranks = ids[:, open_rows], ranks[:, open_rows]
+                place, lowest = place[open_rows], lowest[open_rows]
                 if not len(place):
                     break
+            best = (ranks == lowest).argmax(axis=0)
+            here = np.arange(len(place))
             # Compaction: the columns after the merged pair move one place left.
-            source = np.arange(ids.shape[1]) + (np.arange(ids.shape[1]) > best[:, None])
-            source = np.minimum(source, ids.shape[1] - 1)
-            ids = np.take_along_axis(ids, source, axis=1)
-            ranks = np.take_along_axis(ranks, source, axis=1)
-            ids[here, best] = lowest
-            ranks[here, best] = self.pairs.find(lowest, ids[here, best + 1])
-            inner = best > 0
-            rows, at = here[inner], best[inner]
-            ranks[rows, at - 1] = self.pairs.find(ids[rows, at - 1], ids[rows, at])
-            used = int((ids >= 0).any(axis=0).sum())
-            ids, ranks = ids[:, : used + 1], ranks[:, : used + 1]
+            stays = np.arange(len(ids) - 1)[:, None] <= best
+            ids = np.where(stays, ids[:-1], ids[1:])
+            ranks = np.where(stays, ranks[:-1], ranks[1:])
+            ids[best, here] = lowest
+            after = np.where(best + 1 < len(ids), ids[np.minimum(best + 1, len(ids) - 1), here], -1)
+            ranks[best, here] = self.pairs.find(lowest, after)
+            inner = np.flatnonzero(best > 0)
+            at = best[inner]
+            ranks[at - 1, inner] = self.pairs.find(ids[at - 1, inner], ids[at, inner])
         return out
 
-    def _merge_long(self, piece: bytes) -> np.ndarray:
+    def _merge_long(self, piece: bytes) -> bytes:
         """The same merges for one very long piece: a heap of (rank, place) and links between
         the tokens left, so the time is in proportion to n log n instead of n squared."""
         parts: list[bytes | None] = [piece[i : i + 1] for i in range(len(piece))]
@@ -190,7 +195,7 @@ class Vocabulary:
                     heappush(heap, (r, i, merged + parts[k]))
             if (h := before[i]) >= 0 and (r := rank(parts[h] + merged)) is not None:
                 heappush(heap, (r, h, parts[h] + merged))
-        return np.array([self.rank[p] for p in parts if p is not None], dtype=np.int32)
+        return np.array([self.rank[p] for p in parts if p is not None], dtype=np.int32).tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         lengths = self.lengths[ids]
@@ -220,7 +225,7 @@ def encode_column(text: Column, path: str, pattern: str) -> Column:
         split = [splitter.findall(t) for t in texts]
         new = list(set().union(*map(set, split)).difference(known)) if split else []
         ids = words.encode_pieces(p.encode("utf-8", "surrogatepass") for p in new)
-        known.update((p, i.tobytes()) for p, i in zip(new, ids, strict=True))
+        known.update(zip(new, ids, strict=True))
         joined = (b"".join(map(known.__getitem__, pieces)) for pieces in split)
         return pd.Series([np.frombuffer(j, dtype=np.int32) for j in joined])
 
