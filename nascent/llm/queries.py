@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nascent.llm import bpe, packing, quality, sanitise, simhash, sketches, substrings, toxicity
+from nascent.llm import bpe, packing, quality, sanitise, simhash, sketches, substrings, toxicity, vectors
 from nascent.llm.common import clean_text, in_fold, table
 from nascent.session import settle
 
@@ -109,3 +109,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         sketches.likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         following.alias("near_next"),
     )
+
+
+@query
+def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    return groups.withColumn("kept", F.col("vec_id") == F.col("component_id"))
