@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nascent.llm import bpe, packing, quality, sanitise, simhash, sketches, substrings, toxicity, vectors
+from nascent.llm import bpe, packing, pages, quality, sanitise, simhash, sketches, substrings, toxicity, vectors
 from nascent.llm.common import clean_text, in_fold, table
 from nascent.session import settle
 
@@ -115,3 +115,9 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = vectors.near_vectors(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return groups.withColumn("kept", F.col("vec_id") == F.col("component_id"))
+
+
+@query
+def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
