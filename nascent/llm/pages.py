@@ -67,6 +67,7 @@ MARKS = set(
 )
 OUTER_MARKS = {"header", "footer", "nav", "menu", "masthead", "aside", "top", "bottom", "search", "form"}
 CONTAINERS = {"article", "main"}
+NESTED = {"ul", "ol", "li", "dl", "dd", "table", "tbody", "thead", "tfoot", "tr", "blockquote", "figure"}
 
 
 @dataclass(frozen=True)
@@ -173,15 +174,24 @@ def _ratio(nodes: list[Node]) -> float:
     length = sum(len(n.text) for n in nodes)
     marks = sum(len(PUNCTUATION.findall(n.text)) for n in nodes)
     linked = sum(n.linked for n in nodes)
-    return length / len(nodes) * (1 + min(marks / len(nodes), 5)) * (1 - linked / max(length, 1))
+    free = 1 - linked / max(length, 1)
+    return length / len(nodes) * (1 + min(marks / len(nodes), 5)) * (free if free > 0.2 else 0.0)
 
 
-def _ratios(nodes: list[Node], depth: int | None) -> np.ndarray:
+def _container(path: tuple[str, ...]) -> tuple[str, ...]:
+    """The path of what a node stands in; lists and tables count as part of it."""
+    path = path[:-1]
+    while path and path[-1].split(".")[0] in NESTED:
+        path = path[:-1]
+    return path
+
+
+def _ratios(nodes: list[Node], paths: list[tuple[str, ...]]) -> np.ndarray:
     groups: dict[tuple[str, ...], list[Node]] = {}
-    for node in nodes:
-        groups.setdefault(node.path[:depth], []).append(node)
+    for node, path in zip(nodes, paths, strict=True):
+        groups.setdefault(path, []).append(node)
     known = {path: _ratio(group) for path, group in groups.items()}
-    return np.array([known[node.path[:depth]] for node in nodes])
+    return np.array([known[path] for path in paths])
 
 
 def main_text(page: str | None, settings: PathSettings | None = None) -> str:
@@ -192,9 +202,9 @@ def main_text(page: str | None, settings: PathSettings | None = None) -> str:
         return ""
     reach = max(1, int(3 * settings.sigma))
     window = np.exp(-0.5 * (np.arange(-reach, reach + 1) / settings.sigma) ** 2)
-    own = _ratios(nodes, None)
+    own = _ratios(nodes, [n.path for n in nodes])
     smooth = np.convolve(own, window)[reach:-reach] / np.convolve(np.ones(len(own)), window)[reach:-reach]
-    score = np.maximum(smooth, _ratios(nodes, -1))
+    score = np.maximum(smooth, _ratios(nodes, [_container(n.path) for n in nodes]))
     inside = np.array([n.inside for n in nodes])
     if inside.any():
         score = np.where(inside, score, score * settings.outside)

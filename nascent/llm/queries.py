@@ -121,3 +121,38 @@ def op4_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+CHECKS["op4_embeddings"] = """
+    WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    links AS (
+        SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+        ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95
+    ),
+    reach(a, b) AS (SELECT vec_id, vec_id FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+    groups AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+    counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+    SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+    FROM v JOIN groups USING (vec_id) LEFT JOIN counts USING (vec_id)
+"""
+
+CHECKS["op7_substrings"] = r"""
+    WITH split AS (
+        SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws
+        FROM documents
+    ),
+    windows AS (
+        SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS seq FROM split, unnest(range(1, len(ws) - 11)) AS t(i)
+    ),
+    firsts AS (SELECT seq, min(doc_id) AS first_id FROM windows GROUP BY seq),
+    hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (seq) WHERE first_id < doc_id),
+    gone AS (SELECT DISTINCT doc_id, i + k AS j FROM hits, range(0, 13) AS r(k)),
+    words AS (SELECT doc_id, j, ws[j] AS word FROM split, unnest(range(1, len(ws) + 1)) AS t(j)),
+    kept AS (
+        SELECT doc_id, string_agg(word, ' ' ORDER BY j) AS txt, count(*) AS n
+        FROM words ANTI JOIN gone USING (doc_id, j) GROUP BY doc_id
+    )
+    SELECT doc_id, len(ws)::BIGINT AS n_words, (len(ws) - coalesce(n, 0))::BIGINT AS n_removed,
+           sha256(coalesce(txt, '')) AS kept_sha256
+    FROM split LEFT JOIN kept USING (doc_id)
+"""

@@ -28,7 +28,7 @@ from math import comb
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from nascent.llm.common import (
@@ -69,15 +69,21 @@ def fingerprint(text: str, width: int = 4) -> int:
     return int(np.packbits(ones * 2 > count).view(">i8")[0])
 
 
+def row_key(id_col: str, text_col: str) -> Column:
+    """A hash of id and text: equal rows share it, other rows do not."""
+    return F.xxhash64(F.col(id_col), clean_text(text_col))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """``(id, fp bigint)``, one row per row of ``docs``; no shuffle."""
+    """``(id, row_key, fp)``, one row per row of ``docs``; no shuffle."""
     bounded_batches(docs.sparkSession)
 
     @F.pandas_udf("bigint")
     def hashed(texts: pd.Series) -> pd.Series:
         return pd.Series([fingerprint(t, width) for t in texts], dtype="int64")
 
-    return docs.select(F.col(id_col), hashed(clean_text(text_col)).alias("fp"))
+    keyed = row_key(id_col, text_col).alias("row_key")
+    return docs.select(F.col(id_col), keyed, hashed(clean_text(text_col)).alias("fp"))
 
 
 def bit_counts(nodes: DataFrame) -> tuple[int, np.ndarray]:
@@ -246,7 +252,7 @@ def linked(nodes: DataFrame, plan: Plan, radius: int, count: int) -> DataFrame:
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4
 ) -> DataFrame:
-    """``(id, fp, component)``: the smallest id reachable over links, for every row."""
+    """``(id, row_key, fp, component)``: the smallest id reachable over links, for every row."""
     prints = settle(fingerprints(docs, id_col, text_col, width))
     nodes = settle(prints.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("rep")).where("rep is not null"))
     count = nodes.count()
@@ -257,4 +263,4 @@ def near_duplicates(
         groups = joined.select("fp", F.coalesce("component", "rep").alias("component"))
     else:
         groups = nodes.select("fp", F.col("rep").alias("component"))
-    return prints.join(groups, "fp", "left").select(id_col, "fp", "component")
+    return prints.join(groups, "fp", "left").select(id_col, "row_key", "fp", "component")
