@@ -5,13 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Layouts seen in raw complaint files.
-DATE_LAYOUTS = ("yyyy-MM-dd", "MM/dd/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "MM/dd/yy")
+# Layouts seen in raw complaint files beside ISO dates; parts may have one digit.
+TIME = "[ H:mm[:ss[.SSSSSS]]]"
+DATE_LAYOUTS = (f"M/d/yyyy{TIME}", f"M/d/yy{TIME}", f"yyyy/M/d{TIME}", f"MMM d, yyyy{TIME}", f"d MMM yyyy{TIME}")
+ISO_DATE = r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}"
 
 
 def lenient_timestamp(text: Column, layouts: tuple[str, ...] = DATE_LAYOUTS) -> Column:
-    """Parse with the first layout that fits; null where none does."""
-    return F.coalesce(*[F.try_to_timestamp(text, F.lit(layout)) for layout in layouts])
+    """Parse ISO dates with any time, fraction and zone, else the first layout that fits.
+
+    Null where nothing fits. White space around the date is ignored.
+    """
+    plain = F.regexp_replace(text, r"^\s+|\s+$", "")
+    iso = F.when(plain.rlike(ISO_DATE), plain.try_cast("timestamp"))
+    return F.coalesce(iso, *[F.try_to_timestamp(plain, F.lit(layout)) for layout in layouts])
 
 
 def window_label(when: Column, freq: str = "M") -> Column:

@@ -17,6 +17,23 @@ WORDS = "narrative_word_count"
 PANEL_COLUMNS = (ID, DATE, WINDOW, "product", "issue", "sub_issue", NARRATIVE, WORDS)
 
 
+def with_dates(raw: DataFrame) -> DataFrame:
+    """``raw`` with its date as a timestamp; a date that arrives as text is parsed leniently."""
+    if dict(raw.dtypes)[DATE] != "string":
+        return raw
+    return raw.withColumn(DATE, dates.lenient_timestamp(F.col(DATE)))
+
+
+def unparsed_dates(raw: DataFrame) -> DataFrame:
+    """One row: how many rows there are, have no date, and have one that cannot be read."""
+    read = with_dates(raw.withColumn("_given", F.col(DATE).isNotNull()))
+    return read.agg(
+        F.count("*").alias("complaints"),
+        F.count(F.when(~F.col("_given"), 1)).alias("without_date"),
+        F.count(F.when(F.col("_given") & F.col(DATE).isNull(), 1)).alias("unparsed"),
+    )
+
+
 def with_narratives(raw: DataFrame, min_words: int = 10, strict: bool = False) -> DataFrame:
     """Rows whose narrative is present and long enough, with its word count.
 
@@ -27,8 +44,7 @@ def with_narratives(raw: DataFrame, min_words: int = 10, strict: bool = False) -
     kept = raw.where(text.has_words(F.col(NARRATIVE), max(min_words, 1)))
     if strict:
         kept = kept.where(text.is_present(F.col(NARRATIVE), strict=True))
-    if dict(kept.dtypes)[DATE] == "string":
-        kept = kept.withColumn(DATE, dates.lenient_timestamp(F.col(DATE)))
+    kept = with_dates(kept)
     return kept.where(F.col(DATE).isNotNull()).withColumn(WORDS, text.word_count(F.col(NARRATIVE)))
 
 
@@ -117,11 +133,13 @@ def length_histogram(panel: DataFrame, clip: int = 600, bins: int = 50) -> DataF
 def narrative_rate(raw: DataFrame, freq: str = "M") -> DataFrame:
     """Share of complaints with a narrative, per window and overall.
 
-    Computed before the narrative filter. The overall row has window ``all``.
+    Computed before the narrative filter. The overall row has window ``all``; rows whose
+    date cannot be read are counted under ``undated``.
     """
+    label = F.coalesce(dates.window_label(F.col(DATE), freq), F.lit("undated"))
     counts = (
-        raw.select(
-            dates.window_label(F.col(DATE), freq).alias(WINDOW),
+        with_dates(raw).select(
+            label.alias(WINDOW),
             text.is_present(F.col(NARRATIVE)).cast("int").alias("present"),
         )
         .groupBy(WINDOW)

@@ -14,6 +14,7 @@ from nascent.operators import casework, encoding, panel, scoring, terms, traject
 from nascent.operators.clusters import GLOBAL
 from nascent.operators.panel import ID, NARRATIVE, WINDOW
 from nascent.session import settle
+from nascent.sources.raw import standard_columns
 
 
 @dataclass(frozen=True)
@@ -54,7 +55,7 @@ def run(raw: DataFrame, settings: RunSettings = RunSettings(), make_encoder=None
 
     ``make_encoder`` gives an encoder of one's own; without it texts are hashed.
     """
-    complaints = panel.build_panel(raw, settings.window, settings.min_words)
+    complaints = panel.build_panel(standard_columns(raw), settings.window, settings.min_words)
     issue = F.col("issue") if "issue" in complaints.columns else F.lit(None).cast("string")
     has_issue = "issue" in complaints.columns
     encoder_text = text.enrich(issue, F.col(NARRATIVE)) if has_issue else F.col(NARRATIVE)
@@ -72,27 +73,27 @@ def run(raw: DataFrame, settings: RunSettings = RunSettings(), make_encoder=None
 
 
 def backtest(
-    raw: DataFrame, cases: DataFrame, settings: RunSettings = RunSettings(), examples: int | None = 50
+    raw: DataFrame, cases: DataFrame, settings: RunSettings = RunSettings(), examples: int | None = None
 ) -> DataFrame:
     """One row per case. Cases that share a recognition date share a run.
 
     For each date the input is cut off before anything is computed, so nothing later can
     leak in; only clusters that raised an alert can match.
     """
+    raw = panel.with_dates(standard_columns(raw))
     dates = [r[0] for r in cases.select(F.col("recognition_date").cast("string")).distinct().sort("recognition_date").collect()]
     results = []
     for date in dates:
         own = cases.where(F.col("recognition_date").cast("string") == date)
         before = raw.where(F.to_date(F.col(panel.DATE)) < F.to_date(F.lit(date)))
-        try:
-            done = run(before, settings)
-        except ValueError:
+        if panel.build_panel(before, settings.window, settings.min_words).isEmpty():
             results.append(_no_data(own))
             continue
+        done = run(before, settings)
         narratives = casework.cluster_narratives(done.clusters.assignments, done.panel, examples)
         matches = casework.match_cases(own, done.ranked, narratives, alerts_only=True)
         results.append(settle(casework.lead_times(own, matches, done.ranked)))
-    return reduce(lambda a, b: a.unionByName(b), results)
+    return reduce(lambda a, b: a.unionByName(b), results) if results else _no_data(cases.limit(0))
 
 
 def _no_data(cases: DataFrame) -> DataFrame:

@@ -31,6 +31,33 @@ def find_column(df: DataFrame, *fragments: str) -> str | None:
     return None
 
 
+#: What the operators read, and fragments that find it under another name.
+STANDARD_NAMES = {
+    "complaint_id": ("complaint", "id"),
+    "date_received": ("date", "received"),
+    "consumer_complaint_narrative": ("narrative",),
+    "product": ("product",),
+    "issue": ("issue",),
+    "sub_issue": ("sub", "issue"),
+}
+
+
+def standard_columns(df: DataFrame) -> DataFrame:
+    """Rename columns found by their fragments to the names the operators read.
+
+    A column with the right name is left alone, and no column is taken twice.
+    """
+    taken = {c for c in df.columns if c in STANDARD_NAMES}
+    for name, fragments in STANDARD_NAMES.items():
+        if name in taken:
+            continue
+        found = find_column(df.select(*[c for c in df.columns if c not in taken]), *fragments)
+        if found is not None:
+            df = df.withColumnRenamed(found, name)
+            taken.add(name)
+    return df
+
+
 def read_complaints(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Complaint CSV files (plain, gzip or bzip2; a path, a glob or a list), all text.
 
@@ -39,7 +66,7 @@ def read_complaints(spark: SparkSession, path: str | list[str], multi_line: bool
     inputs as many files, or pass ``multi_line=False`` where there are none.
     """
     raw = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower()).csv(path)
-    return normal_columns(raw)
+    return standard_columns(normal_columns(raw))
 
 
 def read_complaint_stream(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
@@ -65,7 +92,8 @@ def look_up_vectors(df: DataFrame, vectors: DataFrame, id_column: str) -> tuple[
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return bool(spark.read.parquet(path).columns)
-    except Exception:
-        return False
+    """Whether a finished table lies there; a store that cannot be asked raises."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
+    return bool(files.exists(done))

@@ -1,53 +1,55 @@
-"""Small hand-made inputs."""
+"""Small inputs of our own: a year of letters to a fictitious ombudsman."""
 
-import random
 from datetime import date, timedelta
 
-TOPICS = [
-    ("Credit card", "unauthorized charge on my credit card statement"),
-    ("Mortgage", "mortgage escrow payment was miscalculated by the servicer"),
-    ("Debt collection", "collector keeps calling about a debt that is not mine"),
-    ("Buy Now, Pay Later (BNPL)", "the bnpl installment was charged twice and later refused"),
-    ("Virtual currency", "crypto wallet withdrawal is blocked by the exchange"),
-]
 COLUMNS = (
     "complaint_id long, date_received string, product string, issue string, sub_issue string, "
-    "consumer_complaint_narrative string"
+    "consumer_complaint_narrative string, channel string, urgent boolean"
 )
+#: Subject, first day, one letter every so many days, layout of the date, sentence.
+SUBJECTS = [
+    ("Water meter", 0, 5, "%Y-%m-%d", "The meter ran backwards all {season} and nobody from the {office} came to read it"),
+    ("Ferry ticket", 3, 7, "%m/%d/%Y", "We missed the ferry because the {office} had printed a {season} timetable on the ticket"),
+    ("Heat pump grant", 200, 4, "%Y/%m/%d", "My grant for a heat pump was turned down this {season} although the {office} had promised it"),
+]
+OFFICES = ("harbour office", "town hall", "service desk", "inspector")
+SEASONS = ("winter", "spring", "summer", "autumn")
+FIRST_DAY = date(2018, 3, 1)
+SPAN = 364
+BLANK = (None, "", " \t", "Call me")
 
 
-def complaints(per_topic=10, empty=20, seed=7):
-    """Five topics, the last two only in the second half of the time span, plus rows without text."""
-    rng = random.Random(seed)
-    words = "account bank fee letter phone refund report dispute agent branch".split()
-    start, half = date(2021, 1, 1), 365
-    rows = []
-    for topic, (product, opening) in enumerate(TOPICS):
-        for i in range(per_topic):
-            first = half if topic >= 3 else 0
-            day = start + timedelta(days=rng.randrange(first, 2 * half - 1))
-            body = " ".join(rng.choice(words) for _ in range(rng.randrange(8, 30)))
-            rows.append(
-                (10000 + topic * per_topic + i, day.strftime("%m/%d/%Y"), product, f"issue {topic}", None, f"{opening} {body}")
-            )
-    for j in range(empty):
-        day = start + timedelta(days=j)
-        rows.append((99900 + j, day.strftime("%m/%d/%Y"), "Other", "None", None, None if j % 2 else "  "))
+def letters():
+    """All letters in order of subject and day; the third subject begins after half the span.
+
+    Ids count up from 1 with a gap after each subject. No letter has fewer than 14 words.
+    """
+    rows, number = [], 0
+    for subject, (product, start, every, layout, sentence) in enumerate(SUBJECTS):
+        for n, offset in enumerate(range(start, SPAN, every)):
+            number += 1
+            day = FIRST_DAY + timedelta(days=offset)
+            told = sentence.format(season=SEASONS[(day.month - 1) // 3], office=OFFICES[n % len(OFFICES)])
+            issue = None if n % 9 == 4 else f"about {product.split()[0].lower()}"
+            rows.append((number, day.strftime(layout), product, issue, f"part {n % 3}", f"{told}.", ("post", "mail")[n % 2], n % 6 == 0))
+        number += 1_000 * (subject + 1)
     return rows
 
 
-def raw_rows():
-    """One hundred rows as a file has them: ten empty and ten short texts."""
-    header = [
-        "Date received", "Product", "Sub-product", "Issue", "Sub-issue", "Consumer complaint narrative",
-        "Company", "State", "ZIP code", "Complaint ID",
-    ]
-    days = ["2023-01-15", "2023-02-20", "2023-03-10", "2023-04-05"]
-    products = ["Credit reporting", "Debt collection", "Mortgage", "Credit card"]
+def blank_letters():
+    """Letters without a usable text; one for each kind of blank and each month's first day."""
+    return [
+        (-i - 1, FIRST_DAY.replace(month=3 + i).isoformat(), "Other", None, None, BLANK[i % len(BLANK)], "post", False)
+        for i in range(9)
+    ]
+
+
+def file_rows():
+    """Rows of a delivered file with headers of its own; texts hold quotes and line breaks."""
+    header = ["ComplaintID", "date RECEIVED", "Product ", "Issue", "consumer complaint narrative", "Remarks"]
     rows = []
-    for i in range(100):
-        text = "" if i % 10 == 0 else "Too short" if i % 10 == 1 else f'I said "stop",\nthey went on charging fee number {i}'
-        rows.append(
-            [days[i % 4], products[i % 4], "General", "Billing dispute", "None", text, f"Bank {i % 5}", "CA", "90210", str(100000 + i)]
-        )
+    for number, day, product, issue, _, told, channel, _ in letters()[::3]:
+        rows.append([str(number), day, product, issue or "", f'He wrote: "{told}"\nSigned, no. {number}', channel])
+    for number, day, product, _, _, told, channel, _ in blank_letters():
+        rows.append([str(number), day, product, "", told or "", channel])
     return header, rows
