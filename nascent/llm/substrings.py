@@ -22,6 +22,7 @@ output are replaced; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,8 @@ class Windows:
         self.words = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
         self.sizes = np.fromiter(map(len, self.words), dtype=np.int64, count=len(texts))
         total = int(self.sizes.sum())
-        flat = np.fromiter((hashes[w] for doc in self.words for w in doc), dtype=np.uint64, count=total)
+        every = map(hashes.__getitem__, chain.from_iterable(self.words))
+        flat = np.fromiter(every, dtype=np.uint64, count=total)
         known = np.fromiter((i is not None for i in ids), dtype=bool, count=len(ids))
         owner = np.repeat(np.arange(len(ids)), self.sizes)
         ends = np.repeat(np.cumsum(self.sizes), self.sizes)
@@ -106,7 +108,8 @@ def _chunk_of(table: pa.Table, id_col: str, text_col: str, window: int) -> Windo
 def _sketch(chunk: Windows, blocks: int, width: int) -> Iterator[tuple[int, np.ndarray]]:
     """For each row and block, the distinct cells touched, rising; keyed row * blocks + block."""
     for row in range(ROWS):
-        cells = np.unique(chunk.cells(row, blocks, width))
+        cells = np.sort(chunk.cells(row, blocks, width))
+        cells = cells[np.append(True, cells[1:] != cells[:-1])[: len(cells)]]
         borders = np.searchsorted(cells, np.arange(blocks + 1) * width)
         for block in np.flatnonzero(np.diff(borders)):
             yield row * blocks + int(block), cells[borders[block] : borders[block + 1]] - block * width
