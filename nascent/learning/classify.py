@@ -24,7 +24,7 @@ def _with_features(df: DataFrame, vector: str) -> DataFrame:
 def _fit(train: DataFrame, label: str, classifier) -> object:
     """Index the label in name order, fit, and turn predictions back into names."""
     indexer = StringIndexer(
-        inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep"
+        inputCol=label, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="error"
     ).fit(train)
     back = IndexToString(inputCol="_predicted", outputCol="predicted", labels=list(indexer.labels))
     return Pipeline(stages=[indexer, classifier, back]).fit(train)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nascent.learning.kernels import Adam, ClusteringModel, DenseAutoencoder, sharpened
-from nascent.learning.trainer import make_shards, matrix, minibatches, train_round
+from nascent.learning.trainer import make_shards, matrix, minibatches, shards_for, train_round
 from nascent.operators import quality, sampling
 from nascent.operators.clusters import GLOBAL, LOCAL
 from nascent.operators.linking import link_clusters
@@ -43,6 +43,7 @@ class ClusterSettings:
     # Epochs a shard runs on its own before the weights are averaged.
     epochs_per_round: int = 10
     kmeans_starts: int = 3
+    kmeans_iterations: int = 20
     shards: int | None = None
 
 
@@ -94,12 +95,15 @@ def list_column(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, np.ascontiguousarray(values, dtype=np.float64).reshape(-1))
 
 
-def initial_centroids(latents: DataFrame, k: int, starts: int, seed: int, column: str = "latent") -> np.ndarray:
+def initial_centroids(
+    latents: DataFrame, k: int, starts: int, seed: int, column: str = "latent", iterations: int = 20
+) -> np.ndarray:
     """Best of several k-means runs on the latent vectors."""
     features = latents.select(array_to_vector(column).alias("features")).persist()
     try:
         models = [
-            KMeans(k=k, seed=seed + i, maxIter=20, featuresCol="features").fit(features) for i in range(starts)
+            KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="features").fit(features)
+            for i in range(starts)
         ]
     finally:
         features.unpersist()
@@ -242,7 +246,9 @@ def cluster_step(
     if weights is None:
         start, _ = train_autoencoder(training, model.network, settings)
         latents = encode(training, model.network, start)
-        first = initial_centroids(latents, settings.k, settings.kmeans_starts, settings.seed)
+        first = initial_centroids(
+            latents, settings.k, settings.kmeans_starts, settings.seed, iterations=settings.kmeans_iterations
+        )
         return fine_tune(
             training, model, np.concatenate([start, first.ravel()]), settings, settings.max_epochs
         )
@@ -253,53 +259,65 @@ def cluster_step(
 def cluster_windows(vectors: DataFrame, settings: ClusterSettings = ClusterSettings()) -> WindowClusters:
     """Cluster every window in time order, each starting from the one before it.
 
-    ``vectors`` has ``(id, window, vector)``. Windows with fewer rows than clusters are
-    skipped. Assignments go to the shared folder window by window.
+    ``vectors`` has ``(id, window, vector)``. A window with fewer rows than clusters does
+    not train: its rows are assigned with the weights of the window before it, or, if it
+    comes before all trained ones, with the first weights there are. If every window is
+    that small, the largest one trains. Assignments go to the shared folder window by window.
     """
     spark = vectors.sparkSession
     stored = by_window(vectors.select(ID, WINDOW, "vector"))
     sizes = stored.groupBy(WINDOW).agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"))
-    plan = [r for r in sizes.orderBy(WINDOW).collect() if r["n"] >= settings.k]
+    plan = sizes.where(F.col(WINDOW).isNotNull()).orderBy(WINDOW).collect()
     if not plan:
-        raise ValueError("no window holds as many rows as there are clusters")
+        raise ValueError("no rows to cluster")
+    enough = min(settings.k, max(r["n"] for r in plan))
     network = DenseAutoencoder(plan[0]["d"], settings.hidden, settings.latent)
     model = ClusteringModel(network, settings.k)
     path = scratch_path(spark, "assignments")
-    weights, centres, rounds, seen = None, [], [], []
+    weights, centres, rounds, seen, waiting = None, [], [], [], []
+
+    def place(window: str, rows: DataFrame, facts: dict) -> None:
+        assign_rows(rows, model, weights).write.mode("append").parquet(path)
+        rounds.append({WINDOW: window, **facts})
+        centres.extend(
+            (window, local, [float(v) for v in centre]) for local, centre in enumerate(model.split(weights)[1])
+        )
+
     for row in plan:
         window, n = row[WINDOW], row["n"]
-        shards = shards_for(n, settings, spark)
+        shards = shards_for(n, settings.shards)
         own = make_shards(stored.where(F.col(WINDOW) == window), ID, shards)
+        if n < enough:
+            if weights is None:
+                waiting.append((window, own))
+            else:
+                place(window, own, {"trained": False})
+            continue
         training = own
         if settings.replay and seen:
             earlier = stored.where(F.col(WINDOW).isin(seen))
             kept = sampling.random_sample(earlier, settings.replay, settings.seed)
             training = make_shards(own.unionByName(kept), ID, shards)
         weights, facts = cluster_step(training, n, model, weights, settings)
-        assign_rows(own, model, weights).write.mode("append").parquet(path)
-        rounds.append({WINDOW: window, **facts})
+        for earlier_window, rows in waiting:
+            place(earlier_window, rows, {"trained": False})
+        waiting = []
+        place(window, own, {"trained": True, **facts})
         seen.append(window)
-        centres += [
-            (window, local, [float(v) for v in centre]) for local, centre in enumerate(model.split(weights)[1])
-        ]
     found = spark.createDataFrame(centres, f"{WINDOW} string, {LOCAL} int, centroid array<double>")
     links = link_clusters(found, settings.link_threshold)
     assigned = spark.read.schema(f"{ID} {_type_of(vectors, ID)}, {WINDOW} string, {LOCAL} int, recon_error double").parquet(path)
     linked = assigned.join(links.select(WINDOW, LOCAL, GLOBAL), [WINDOW, LOCAL])
     assignments = linked.select(ID, WINDOW, LOCAL, GLOBAL, "recon_error")
-    return WindowClusters(assignments, links, window_summary(assignments, links, stored), rounds)
+    trained = spark.createDataFrame([(r[WINDOW], r["trained"]) for r in rounds], f"{WINDOW} string, trained boolean")
+    summary = window_summary(assignments, links, stored).join(trained, WINDOW)
+    return WindowClusters(assignments, links, summary, rounds)
 
 
 def _type_of(df: DataFrame, column: str) -> str:
     return dict(df.dtypes)[column]
 
 
-def shards_for(rows: int, settings: ClusterSettings, spark) -> int:
-    """At least one minibatch per shard; no more shards than asked for or than cores."""
-    limit = settings.shards or spark.sparkContext.defaultParallelism
-    return max(1, min(limit, rows // settings.batch))
-
-
 def window_summary(assignments: DataFrame, links: DataFrame, stored: DataFrame) -> DataFrame:
     """One row per window: size, map of ids, cluster sizes, silhouette, reconstruction loss."""
     counts = assignments.groupBy(WINDOW, LOCAL).agg(

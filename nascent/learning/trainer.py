@@ -1,8 +1,10 @@
 """The one training mechanism: local steps on every shard, then a weighted average.
 
-A round is one Spark job. Every task streams its shard through minibatch steps from
-the broadcast weights and returns one row; the rows are averaged by a Spark aggregate
-in two levels, so neither the driver nor a single task receives all of them.
+A round is one Spark job. A shard is sized by rows, so that it fits a task whatever the
+input. Every task joins its shard, in order of ids, takes the broadcast weights through
+the round's epochs and returns one row; the rows are averaged by a Spark aggregate in two
+levels, so neither the driver nor a single task receives all of them. The result does not
+depend on how Arrow cuts the rows into batches.
 """
 
 from __future__ import annotations
@@ -20,12 +22,22 @@ from pyspark.sql import functions as F
 from nascent.session import fix_partitions
 
 FAN_IN = 64
+SHARD_ROWS = 50_000
+
+
+def shards_for(rows: int, shards: int | None = None) -> int:
+    """As many shards as asked for, else one for each ``SHARD_ROWS`` rows."""
+    return shards or max(1, -(-rows // SHARD_ROWS))
 
 
 def make_shards(df: DataFrame, id_column: str, shards: int | None = None) -> DataFrame:
-    """Spread the rows evenly by the hash of the id and fix them in the shared folder."""
-    shards = shards or df.sparkSession.sparkContext.defaultParallelism
-    return fix_partitions(df.repartition(shards, id_column))
+    """Spread the rows evenly by the hash of the id and fix them in the shared folder.
+
+    The id becomes the first column, by which ``train_round`` orders a shard.
+    """
+    shards = shards or shards_for(df.count())
+    rest = [c for c in df.columns if c != id_column]
+    return fix_partitions(df.select(id_column, *rest).repartition(shards, id_column))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -59,24 +71,22 @@ def train_round(
     learn: Callable[[np.ndarray, pa.RecordBatch, np.random.Generator], tuple[np.ndarray, float, int]],
     seed: int,
 ) -> tuple[np.ndarray, float, float]:
-    """One round. ``learn`` takes the local weights through one Arrow batch."""
+    """One round. ``learn`` takes the local weights through all rows of a shard."""
     sent = shards.sparkSession.sparkContext.broadcast(weights)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = TaskContext.get().partitionId()
         rng = np.random.default_rng([seed, shard])
-        local, seen, total = sent.value.copy(), 0, 0.0
-        for batch in batches:
-            if batch.num_rows:
-                local, loss, n = learn(local, batch, rng)
-                seen += n
-                total += loss * n
-        if seen:
+        parts = [batch for batch in batches if batch.num_rows]
+        if parts:
+            table = pa.Table.from_batches(parts)
+            table = table.sort_by(table.column_names[0]).combine_chunks()
+            local, loss, seen = learn(sent.value.copy(), table.to_batches()[0], rng)
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([shard], pa.int32()),
                     "n": pa.array([float(seen)]),
-                    "loss": pa.array([total / seen]),
+                    "loss": pa.array([loss]),
                     "w": pa.array([local.tolist()], pa.list_(pa.float64())),
                 }
             )

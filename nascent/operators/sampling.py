@@ -48,6 +48,7 @@ def cut_keys(
         split,
         [*groups, "_cell"],
         spread=key,
+        null_safe=True,
     ).withColumn(
         "_rank", F.row_number().over(Window.partitionBy(*groups, "_cell").orderBy(key))
     )
@@ -69,7 +70,7 @@ def flag_smallest(
     else:
         added = []
     cuts = cut_keys(df if slim else settle(df.select(*groups, key)), groups, key, quota)
-    joined = attach_small(df, cuts, groups, spread=key, how="left")
+    joined = attach_small(df, cuts, groups, spread=key, how="left", null_safe=True)
     return joined.withColumn(
         flag, F.coalesce(F.col(key) <= F.col("cut_key"), F.lit(False))
     ).drop("cut_key", *added)
@@ -81,9 +82,18 @@ def systematic_sample(df: DataFrame, step: int = 10, seed: int = 42, id_column:
     return df.where(position % step == 0)
 
 
-def random_sample(df: DataFrame, n: int, seed: int = 42, id_column: str = ID) -> DataFrame:
-    """Exactly ``min(n, rows)`` rows."""
-    keyed = df.withColumn("_key", rank_key(seed, F.col(id_column)))
+def random_sample(
+    df: DataFrame, n: int, seed: int = 42, id_column: str = ID, unique_ids: bool = True
+) -> DataFrame:
+    """Exactly ``min(n, rows)`` rows.
+
+    Where ids repeat, pass ``unique_ids=False``: a hash of the whole row then decides among
+    rows of one id, at the price of reading all columns for the cut.
+    """
+    key = rank_key(seed, F.col(id_column))
+    if not unique_ids:
+        key = F.concat(key, F.lower(F.lpad(F.hex(F.xxhash64(*df.columns)), 16, "0")))
+    keyed = df.withColumn("_key", key)
     return flag_smallest(keyed, [], "_key", F.lit(n), "_in").where("_in").drop("_key", "_in")
 
 
@@ -101,11 +111,17 @@ def stratified_flags(
     If that is more than the target, a random part of it stays; if it is less, random
     rows from the remainder join.
     """
-    keyed = settle(candidates.select(id_column, *strata, rank_key(seed, F.col(id_column)).alias("_key")))
+    # The number of the row decides among rows of one id; it is fixed by being written.
+    number = F.lower(F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0"))
+    keyed = settle(
+        candidates.select(
+            id_column, *strata, number.alias("_number"), F.concat(rank_key(seed, F.col(id_column)), number).alias("_key")
+        )
+    )
     sizes = keyed.groupBy(*strata).agg(F.count("*").alias("n"))
     available, n_groups = sizes.agg(F.sum("n"), F.count("*")).first()
     if not available or available <= target:
-        return keyed.drop("_key").withColumn("sampled", F.lit(True))
+        return keyed.drop("_key", "_number").withColumn("sampled", F.lit(True))
     even = max(1, target // n_groups)
     share = F.expr(f"group_rows * {target} div {available}")
     first = flag_smallest(keyed, strata, "_key", F.greatest(F.lit(even), share), "_first", slim=True)
@@ -115,7 +131,7 @@ def stratified_flags(
             id_column,
             *strata,
             F.concat(
-                F.when(F.col("_first"), "0").otherwise("1"), rank_key(f"{seed}:fill", F.col(id_column))
+                F.when(F.col("_first"), "0").otherwise("1"), rank_key(f"{seed}:fill", F.col(id_column)), F.col("_number")
             ).alias("_order"),
         )
     )

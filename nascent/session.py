@@ -54,6 +54,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether something lies at ``path``, in whatever store; a store that cannot be asked raises."""
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(place.getFileSystem(context._jsc.hadoopConfiguration()).exists(place))
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table below the shared folder once and read it back from there.
 
@@ -90,17 +97,26 @@ def attach_small(
     row_bytes: int = 256,
     limit_bytes: int = BROADCAST_LIMIT_BYTES,
     salts: int = 64,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join a per-key summary onto the rows it was made from.
 
     ``small`` is settled and counted first. Below ``limit_bytes`` it is broadcast,
     so the big side is not shuffled. Beyond it both sides are salted: the rows of a
     hot key are spread over ``salts`` partitions by the hash of ``spread``, and the
-    summary row is repeated once per salt.
+    summary row is repeated once per salt. With ``null_safe``, null keys are keys.
     """
     small = settle(small)
     if small.count() * row_bytes <= limit_bytes:
-        return big.join(F.broadcast(small), on, how)
+        return _join(big, F.broadcast(small), on, how, null_safe)
     salt = F.pmod(F.xxhash64(F.col(spread)), F.lit(salts)).cast("int")
     repeated = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return big.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how).drop("_salt")
+    return _join(big.withColumn("_salt", salt), repeated, [*on, "_salt"], how, null_safe).drop("_salt")
+
+
+def _join(big: DataFrame, small: DataFrame, on: list[str], how: str, null_safe: bool) -> DataFrame:
+    if not null_safe:
+        return big.join(small, on, how)
+    renamed = small.toDF(*[f"_on_{c}" if c in on else c for c in small.columns])
+    same = [F.col(c).eqNullSafe(F.col(f"_on_{c}")) for c in on]
+    return big.join(renamed, same, how).drop(*[f"_on_{c}" for c in on])

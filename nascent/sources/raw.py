@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from nascent.session import path_exists
+
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
 
@@ -79,7 +81,7 @@ def load_vectors(
     spark: SparkSession, path: str, make: Callable[[], DataFrame], refresh: bool = False
 ) -> DataFrame:
     """Stored vectors, computed with ``make`` and written first where they are missing."""
-    if refresh or not _exists(spark, path):
+    if refresh or not path_exists(spark, f"{path}/_SUCCESS"):
         make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
@@ -89,11 +91,3 @@ def look_up_vectors(df: DataFrame, vectors: DataFrame, id_column: str) -> tuple[
     found = df.join(vectors, id_column)
     missing = df.join(vectors, id_column, "left_anti").agg(F.count("*").alias("missing"))
     return found, missing
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    """Whether a finished table lies there; a store that cannot be asked raises."""
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    done = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, "_SUCCESS")
-    return bool(files.exists(done))

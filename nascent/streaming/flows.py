@@ -23,7 +23,7 @@ from nascent.operators.clusters import LOCAL
 from nascent.operators.linking import link_clusters
 from nascent.operators.numbering import number_rows
 from nascent.operators.panel import ID, NARRATIVE, WINDOW
-from nascent.session import settle
+from nascent.session import path_exists, settle
 
 BATCH = "batch"
 
@@ -205,39 +205,65 @@ def flush_windows(
 
 
 def _advance(spark, folder, model, settings, number, flush) -> None:
+    """Cluster the windows closed by this batch, and place its late rows.
+
+    A window with fewer rows than clusters takes the weights of the one before it, or waits
+    for the first weights; at the end of a stream the largest window that waits trains.
+    Rows that come for a finished window are placed with that window's own weights.
+    """
     stored = spark.read.parquet(f"{folder}/vectors")
-    done = _weights(spark, folder, number)
-    after = done[0] if done else ""
-    # Windows finished before are not read again; rows that come later for them are kept
-    # but not clustered.
-    sizes = stored.where(F.col(WINDOW) > after).groupBy(WINDOW).agg(F.count("*").alias("n")).orderBy(WINDOW).collect()
-    names = [r[WINDOW] for r in sizes]
-    weights = done[1] if done else None
-    for row in sizes:
+    finished = _finished(spark, folder, number)
+    weights = _weights(spark, folder, finished[-1]) if finished else None
+    late = stored.where((F.col(BATCH) == number) & F.col(WINDOW).isin(finished)) if finished else stored.limit(0)
+    for (window,) in late.select(WINDOW).distinct().orderBy(WINDOW).collect():
+        rows = late.where(F.col(WINDOW) == window).select(ID, WINDOW, "vector")
+        _place(rows, model, _weights(spark, folder, window), folder, window, number)
+    sizes = stored.where(~F.col(WINDOW).isin(finished)).groupBy(WINDOW).agg(F.count("*").alias("n"))
+    sizes = sizes.orderBy(WINDOW).collect()
+    if not sizes:
+        return
+    latest = max([sizes[-1][WINDOW], *finished])
+    closed = [r for r in sizes if flush or r[WINDOW] < latest]
+    enough = settings.k
+    if flush and weights is None and closed:
+        enough = min(enough, max(r["n"] for r in closed))
+    waiting = []
+    for row in closed:
         window, n = row[WINDOW], row["n"]
-        closed = flush or window < names[-1]
-        if not closed or window <= after or n < settings.k:
-            continue
         rows = stored.where(F.col(WINDOW) == window).select(ID, WINDOW, "vector")
-        shards = make_shards(rows, ID, clustering.shards_for(n, settings, spark))
-        weights, _ = clustering.cluster_step(shards, n, model, weights, settings)
-        clustering.assign_rows(shards, model, weights).drop(WINDOW).write.mode("overwrite").parquet(
-            f"{folder}/assigned/{WINDOW}={window}"
-        )
-        state = spark.createDataFrame(
-            [(window, number, weights.tolist())], f"{WINDOW} string, number long, w array<double>"
-        )
-        state.write.mode("overwrite").parquet(f"{folder}/weights/of={window}")
+        if n < enough:
+            waiting.append((window, rows))
+        else:
+            shards = make_shards(rows, ID, clustering.shards_for(n, settings.shards))
+            weights, _ = clustering.cluster_step(shards, n, model, weights, settings)
+            waiting.append((window, shards))
+        if weights is not None:
+            for name, own in waiting:
+                _place(own, model, weights, folder, name, number)
+                state = [(name, number, weights.tolist())]
+                spark.createDataFrame(state, f"{WINDOW} string, number long, w array<double>").write.mode(
+                    "overwrite"
+                ).parquet(f"{folder}/weights/of={name}")
+            waiting = []
+
+
+def _place(rows, model, weights, folder, window, number) -> None:
+    """The clusters of a window's rows; a batch that is run again replaces its own part."""
+    clustering.assign_rows(rows, model, weights).drop(WINDOW).write.mode("overwrite").parquet(
+        f"{folder}/assigned/{WINDOW}={window}/part={number}"
+    )
+
+
+def _finished(spark: SparkSession, folder: str, number: int) -> list[str]:
+    """Windows finished by earlier batches, in order."""
+    if not path_exists(spark, f"{folder}/weights"):
+        return []
+    stored = spark.read.parquet(f"{folder}/weights").where(F.col("number") < number)
+    return [r[0] for r in stored.select(WINDOW).orderBy(WINDOW).collect()]
 
 
-def _weights(spark: SparkSession, folder: str, number: int) -> tuple[str, np.ndarray] | None:
-    """Weights after the last window finished by an earlier batch."""
-    try:
-        stored = spark.read.parquet(f"{folder}/weights")
-    except Exception:
-        return None
-    row = stored.where(F.col("number") < number).orderBy(F.desc(WINDOW)).select(WINDOW, "w").first()
-    return None if row is None else (row[0], np.array(row[1]))
+def _weights(spark: SparkSession, folder: str, window: str) -> np.ndarray:
+    return np.array(spark.read.parquet(f"{folder}/weights").where(F.col(WINDOW) == window).select("w").first()[0])
 
 
 def streamed_assignments(

@@ -1,20 +1,20 @@
-import re
-
-from fixtures import COLUMNS, complaints
+from fixtures import COLUMNS, blank_letters, letters
 from pyspark.sql import functions as F
 
 from nascent.functions import dates, text
 from nascent.operators import panel, products
 
 
-def test_rows_without_text_go_and_windows_are_labelled(spark):
-    raw = spark.createDataFrame(complaints(10), COLUMNS)
-    built = panel.build_panel(raw).persist()
-    assert built.count() == 50
-    assert built.columns == list(panel.PANEL_COLUMNS)
-    assert all(re.fullmatch(r"\d{4}-\d{2}", r.window_id) for r in built.collect())
-    weekly = panel.build_panel(raw, "W")
-    assert weekly.select("window_id").distinct().count() >= built.select("window_id").distinct().count()
+def test_blank_letters_leave_the_panel_and_months_follow_the_days(spark):
+    given = letters() + blank_letters()
+    built = panel.build_panel(spark.createDataFrame(given, COLUMNS), min_words=6).collect()
+    assert {r.complaint_id for r in built} == {row[0] for row in letters()}
+    assert set(built[0].asDict()) == set(panel.PANEL_COLUMNS)
+    ferry = [r for r in built if r.product == "Ferry ticket"]
+    assert all(r.window_id == r.date_received.strftime("%Y-%m") for r in ferry)
+    assert min(r.window_id for r in built if r.product == "Heat pump grant") == "2018-09"
+    quarters = panel.build_panel(spark.createDataFrame(given, COLUMNS), "Q", min_words=6)
+    assert {r.window_id for r in quarters.collect()} == {"2018Q1", "2018Q2", "2018Q3", "2018Q4", "2019Q1"}
 
 
 def test_word_filter_equals_word_count(spark):
@@ -33,13 +33,18 @@ def test_unicode_spaces_are_optional(spark):
     assert (row.a, row.u) == (2, 3)
 
 
-def test_dates_that_do_not_parse_go(spark):
-    rows = [(1, "2021-03-04"), (2, "12/31/2021"), (3, "soon"), (4, None)]
-    raw = spark.createDataFrame(
-        [(i, d, "p", "i", "s", "one two three") for i, d in rows], COLUMNS
-    )
-    built = panel.build_panel(raw, min_words=3)
-    assert {(r.complaint_id, r.window_id) for r in built.collect()} == {(1, "2021-03"), (2, "2021-12")}
+def test_many_layouts_of_one_day(spark):
+    written = [
+        "2021-03-01", " 2021-03-01\t", "2021-3-1", "3/1/2021", "03/01/2021", "3/1/21", "2021/03/01", "Mar 1, 2021", "1 Mar 2021",
+        "2021-03-01T00:00:00Z", "2021-03-01T00:00:00-05:00", "2021-03-01 00:00:00.000", "2021-03-01T07:08:09.123456",
+        "03/01/2021 10:00:00", "3/1/2021 9:05",
+    ]
+    bad = ["soon", "", "2021", "31/31/2021", "2021-02-30", "10:00"]
+    rows = [(i, d, "p", "i", "s", "one two three", "post", False) for i, d in enumerate([*written, *bad, None])]
+    raw = spark.createDataFrame(rows, COLUMNS)
+    built = panel.build_panel(raw, "D", min_words=3).collect()
+    assert {(r.complaint_id, r.window_id) for r in built} == {(i, "2021-03-01") for i in range(len(written))}
+    assert tuple(panel.unparsed_dates(raw).first()) == (len(rows), 1, len(bad))
 
 
 def test_window_labels(spark):
@@ -49,12 +54,15 @@ def test_window_labels(spark):
     assert tuple(row) == ("2021-01-03", "2020-12-28/2021-01-03", "2021-01", "2021Q1", "2021")
 
 
-def test_rate_is_taken_before_the_filter(spark):
-    raw = spark.createDataFrame(complaints(10), COLUMNS).withColumn(
-        "date_received", dates.lenient_timestamp(F.col("date_received"))
-    )
-    row = panel.narrative_rate(raw).where("window_id = 'all'").first()
-    assert (row.complaints, row.with_narrative) == (70, 50)
+def test_rate_counts_every_letter_with_its_date_as_written(spark):
+    undated = (7_777, "some day", "Other", None, None, "Written without a date", "post", False)
+    raw = spark.createDataFrame([*letters(), *blank_letters(), undated], COLUMNS)
+    rows = {r.window_id: r for r in panel.narrative_rate(raw).collect()}
+    blank = sum(1 for row in blank_letters() if not (row[5] or "").strip())
+    total = len(letters()) + len(blank_letters()) + 1
+    assert (rows["all"].complaints, rows["all"].with_narrative) == (total, total - blank)
+    assert (rows["undated"].complaints, rows["undated"].with_narrative) == (1, 1)
+    assert len(rows) == 2 + 12
 
 
 def test_histogram_with_a_single_length(spark):

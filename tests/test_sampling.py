@@ -1,7 +1,7 @@
 import hashlib
 
 import pytest
-from fixtures import raw_rows
+from fixtures import file_rows
 from pyspark.sql import functions as F
 
 from nascent import session
@@ -61,26 +61,50 @@ def test_split_is_stratified(spark, skewed):
     assert {r.part for r in parts} == {"train", "validation", "test"} and sum(r["count"] for r in parts) == 3000
 
 
-def test_raw_sample_from_files(spark, tmp_path):
+def test_sample_of_a_delivered_file(spark, tmp_path):
     import csv
 
-    header, rows = raw_rows()
-    path = tmp_path / "complaints.csv"
+    header, rows = file_rows()
+    path = tmp_path / "letters.csv"
     with open(path, "w", newline="") as f:
         csv.writer(f).writerows([header, *rows])
     df = raw.read_complaints(spark, str(path))
-    assert df.count() == 100 and "consumer_complaint_narrative" in df.columns
-    assert raw.find_column(df, "complaint", "id") == "complaint_id"
-    assert raw.find_column(df, "narrative") == "consumer_complaint_narrative"
-    sample = sampling.sample_raw(df, target=20, min_words=5)
-    first, second = sample.collect(), sampling.sample_raw(df, target=20, min_words=5).collect()
-    assert len(first) == 20 and sorted(first) == sorted(second)
-    assert all(len(r.consumer_complaint_narrative.split()) >= 5 for r in first)
-    assert "narrative_word_count" not in sample.columns
+    assert df.count() == len(rows)
+    assert df.columns == ["complaint_id", "date_received", "product", "issue", "consumer_complaint_narrative", "remarks"]
+    long = sum(len(r[4].split()) >= 8 for r in rows)
+    sample = sampling.sample_raw(df, target=31, min_words=8)
+    ids = sorted(r.complaint_id for r in sample.collect())
+    assert len(ids) == len(set(ids)) == 31 < long
+    assert ids == sorted(r.complaint_id for r in sampling.sample_raw(df.repartition(5), target=31, min_words=8).collect())
+    assert {r.product for r in sample.collect()} == {"Water meter", "Ferry ticket", "Heat pump grant"}
+    assert sampling.sample_raw(df, target=10_000, min_words=8).count() == long
     out = str(tmp_path / "sample.csv")
     sinks.write_csv(sample, out, ["date_received", "complaint_id"])
-    again = raw.read_complaints(spark, out)
-    assert {r.consumer_complaint_narrative for r in again.collect()} == {r.consumer_complaint_narrative for r in first}
+    told = {r[0]: r[4] for r in rows}
+    again = raw.read_complaints(spark, out).collect()
+    assert {r.complaint_id: r.consumer_complaint_narrative for r in again} == {i: told[i] for i in ids}
+
+
+def test_columns_under_other_names(spark):
+    df = spark.createDataFrame([("t", "n", "1", "d")], "`Narrative text` string, issue string, `Complaint No id` string, `Date it was received` string")
+    assert raw.standard_columns(df).columns == ["consumer_complaint_narrative", "issue", "complaint_id", "date_received"]
+    assert raw.find_column(df, "issue") == "issue" and raw.find_column(df, "company") is None
+
+
+def test_null_strata_are_strata(spark):
+    rows = [(i, None if i % 4 == 0 else "a") for i in range(200)]
+    df = spark.createDataFrame(rows, "complaint_id long, g string")
+    split = sampling.stratified_split(df, "g").collect()
+    assert len(split) == 200
+    assert sum(r.is_test for r in split if r.g is None) == 10 and sum(r.is_test for r in split if r.g) == 30
+
+
+def test_repeated_ids_do_not_swell_a_sample(spark):
+    rows = [(i % 8, f"text {i}") for i in range(40)]
+    df = spark.createDataFrame(rows, "complaint_id long, t string")
+    assert sampling.random_sample(df, 11, unique_ids=False).count() == 11
+    flags = sampling.stratified_flags(df.withColumn("g", F.lit("x")), ["g"], 11)
+    assert flags.where("sampled").count() == 11 and flags.count() == 40
 
 
 def test_top_per_group_under_skew(spark, skewed):

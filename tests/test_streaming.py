@@ -77,3 +77,26 @@ def test_closed_windows_are_clustered_once(spark, tmp_path):
     flows.flush_windows(spark, folder, 6, settings)
     done = flows.streamed_assignments(spark, folder, 6, settings)
     assert done.count() == 90 and done.select("complaint_id").distinct().count() == 90
+
+
+def test_small_and_late_windows_lose_no_row(spark, tmp_path):
+    columns = "complaint_id long, window_id string, vector array<double>"
+    point = lambda i: [float((i * k) % 7) for k in range(1, 6)]
+    batches = [
+        [(1, "2024-01", point(1))],  # too small, and before any weights
+        [(100 + i, "2024-02", point(i)) for i in range(24)],
+        [(200 + i, "2024-03", point(3 * i)) for i in range(24)] + [(2, "2024-01", point(2))],
+        [(300, "2024-04", point(5)), (150, "2024-02", point(50)), (3, "2024-01", point(3))],
+    ]
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    settings = clustering.ClusterSettings(
+        k=3, latent=2, hidden=(6,), pretrain_epochs=4, max_epochs=4, refresh_every=4, kmeans_starts=1
+    )
+    for rows in batches:
+        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(columns).parquet(source)
+        flows.cluster_closed_windows(stream, folder, 5, settings).awaitTermination()
+    flows.flush_windows(spark, folder, 5, settings)
+    done = flows.streamed_assignments(spark, folder, 5, settings).collect()
+    assert sorted(r.complaint_id for r in done) == sorted(row[0] for rows in batches for row in rows)
+    assert {r.complaint_id: r.window_id for r in done} == {row[0]: row[1] for rows in batches for row in rows}

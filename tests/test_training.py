@@ -1,6 +1,6 @@
 import numpy as np
 import pytest
-from fixtures import COLUMNS, complaints
+from fixtures import COLUMNS, blank_letters, letters
 from pyspark.sql import functions as F
 
 from nascent.learning import classify, clustering, sequences
@@ -35,12 +35,20 @@ def test_gradients_match_finite_differences():
     check_gradient(lambda w: recurrent.loss_and_gradient(w, seq), recurrent.initial(2), rng, 150)
 
 
-def blobs(spark, centres=4, each=40, dim=20):
-    rng = np.random.default_rng(5)
-    middle = rng.normal(scale=5.0, size=(centres, dim))
-    x = np.repeat(middle, each, axis=0) + rng.normal(size=(centres * each, dim))
-    rows = [(i, "w1" if i % 2 else "w2", x[i].tolist(), i // each) for i in range(len(x))]
-    return spark.createDataFrame(rows, "complaint_id long, window_id string, vector array<double>, blob int")
+CORNERS = [(0, 3), (2, 7), (5, 9), (1, 11)]
+
+
+def bundles(spark, each=36, dim=12, height=6.0):
+    """Bundles of vectors: each has two coordinates of its own, the rest is jitter by a chirp."""
+    rows = []
+    for bundle, corner in enumerate(CORNERS):
+        for n in range(each):
+            i = bundle * each + n
+            point = [0.8 * np.sin(0.37 * i * (c + 1) + c * c) for c in range(dim)]
+            for c in corner:
+                point[c] += height
+            rows.append((7 * i + 1, "early" if n < each // 2 else "late", [float(v) for v in point], bundle))
+    return spark.createDataFrame(rows, "complaint_id long, window_id string, vector array<double>, bundle int")
 
 
 SETTINGS = clustering.ClusterSettings(
@@ -60,13 +68,13 @@ def test_averaging_is_weighted_and_two_level(spark):
     assert np.allclose(weights, [want, 1.0]) and abs(loss - want) < 1e-9 and n == share.sum()
 
 
-def test_blobs_are_found(spark):
-    df = blobs(spark)
+def test_bundles_are_found(spark):
+    df = bundles(spark)
     shards = make_shards(df, "complaint_id", 2)
-    network = DenseAutoencoder(20, SETTINGS.hidden, SETTINGS.latent)
+    network = DenseAutoencoder(12, SETTINGS.hidden, SETTINGS.latent)
     weights, losses = clustering.train_autoencoder(shards, network, SETTINGS)
     x = np.array([r.vector for r in df.collect()])
-    assert network.row_errors(weights, x).mean() < ((x - x.mean(axis=0)) ** 2).mean()
+    assert network.row_errors(weights, x).mean() < 0.9 * ((x - x.mean(axis=0)) ** 2).mean()
     assert losses[-1] < losses[0]
     model = ClusteringModel(network, 4)
     centres = clustering.initial_centroids(clustering.encode(shards, network, weights), 4, 3, 23)
@@ -74,50 +82,72 @@ def test_blobs_are_found(spark):
         shards, model, np.concatenate([weights, centres.ravel()]), SETTINGS, SETTINGS.max_epochs
     )
     placed = clustering.assign_rows(shards, model, tuned)
-    pairs = placed.select("blob", "local_cluster").distinct().collect()
+    pairs = placed.select("bundle", "local_cluster").distinct().collect()
     assert len(pairs) == 4 and len({p.local_cluster for p in pairs}) == 4
     assert facts["epochs"] <= SETTINGS.max_epochs
 
 
-def test_windows_are_warm_started_and_small_ones_skipped(spark):
-    df = blobs(spark).drop("blob").unionByName(
-        spark.createDataFrame([(9999, "w3", [0.0] * 20)], "complaint_id long, window_id string, vector array<double>")
-    )
+@pytest.mark.parametrize("size", [7, 10_000])
+def test_training_does_not_depend_on_arrow_batches(spark, size):
+    network = DenseAutoencoder(12, (8,), 3)
+    quick = clustering.ClusterSettings(k=4, latent=3, hidden=(8,), pretrain_epochs=4, epochs_per_round=2, batch=16)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, "10000")
+    try:
+        results = []
+        for records in (str(size), "50"):
+            spark.conf.set(key, records)
+            shards = make_shards(bundles(spark).drop("bundle"), "complaint_id", 2)
+            results.append(clustering.train_autoencoder(shards, network, quick)[0])
+    finally:
+        spark.conf.set(key, before)
+    assert np.array_equal(*results)
+
+
+def test_every_row_of_every_window_is_assigned(spark):
+    columns = "complaint_id long, window_id string, vector array<double>"
+    few = [(90_001, "a before", [1.0] * 12), (90_002, "z after", [0.0] * 12), (90_003, "z after", [6.0] * 12)]
+    df = bundles(spark).drop("bundle").unionByName(spark.createDataFrame(few, columns))
     found = clustering.cluster_windows(df, SETTINGS)
-    assert [r["window_id"] for r in found.rounds] == ["w1", "w2"]
-    assert found.assignments.count() == 160
-    assert found.assignments.select("global_cluster").distinct().count() == 4
+    placed = found.assignments.collect()
+    assert sorted(r.complaint_id for r in placed) == sorted(r.complaint_id for r in df.collect())
+    assert len({r.global_cluster for r in placed}) == 4
     summary = {r.window_id: r for r in found.summary.collect()}
-    assert sum(summary["w1"].cluster_sizes) == summary["w1"].n_points == 80
-    assert set(summary["w2"].local_to_global) == {0, 1, 2, 3} and summary["w2"].recon_loss > 0
-    replayed = clustering.cluster_windows(df, clustering.ClusterSettings(**{**SETTINGS.__dict__, "replay": 30}))
-    assert replayed.assignments.count() == 160
-
-
-def test_planted_anomaly_scores_highest(spark):
-    rng = np.random.default_rng(11)
-    time = np.linspace(0, 1, 6)
-    rows = []
-    for c in range(12):
-        wave = 0.5 + 0.05 * np.sin(2 * np.pi * time + rng.uniform(0, 6))
-        seq = np.stack([wave + rng.normal(scale=0.01, size=6) for _ in range(4)], axis=1)
-        rows.append((c, "w", 6, seq.tolist()))
-    rows.append((12, "w", 6, np.repeat(np.linspace(0.9, 9.0, 6)[:, None], 4, axis=1).tolist()))
-    df = spark.createDataFrame(rows, "global_cluster int, first_window string, length int, sequence array<array<double>>")
-    model, weights, losses = sequences.train_sequences(df.where("global_cluster < 12"), sequences.SMALL)
+    assert {w: r.trained for w, r in summary.items()} == {"a before": False, "early": True, "late": True, "z after": False}
+    assert {w: r.n_points for w, r in summary.items()} == {"a before": 1, "early": 72, "late": 72, "z after": 2}
+    assert all(sum(r.cluster_sizes) == r.n_points for r in summary.values())
+    assert set(summary["late"].local_to_global) == {0, 1, 2, 3} and summary["late"].recon_loss > 0
+    again = clustering.cluster_windows(df, clustering.ClusterSettings(**{**SETTINGS.__dict__, "replay": 25}))
+    assert again.assignments.count() == len(placed)
+    alone = clustering.cluster_windows(spark.createDataFrame(few, columns), SETTINGS)
+    assert alone.assignments.count() == 3 and [r["trained"] for r in alone.rounds] == [False, True]
+
+
+def test_shifts_and_bursts_stand_out(spark):
+    """Steady series train; a level shift and a burst of variance score above all of them."""
+    steps, usual = 9, 10
+    series = []
+    for c in range(usual + 2):
+        line = [[0.4 + 0.02 * ((3 * t + 5 * c + f) % 4) for f in range(4)] for t in range(steps)]
+        if c == usual:
+            line = [[v + (1.5 if t >= 5 else 0.0) for v in step] for t, step in enumerate(line)]
+        if c == usual + 1:
+            line = [[v + (0.9 if (t + f) % 2 else -0.9) for f, v in enumerate(step)] for t, step in enumerate(line)]
+        series.append((c, "w", steps, line))
+    df = spark.createDataFrame(series, "global_cluster int, first_window string, length int, sequence array<array<double>>")
+    model, weights, losses = sequences.train_sequences(df.where(f"global_cluster < {usual}"), sequences.SMALL)
     errors = {r.global_cluster: r.error for r in scoring.sequence_errors(sequences.rebuild(df, model, weights)).collect()}
-    assert errors[12] > 3 * max(v for k, v in errors.items() if k < 12)
-    by_hand = ((np.array(rows[0][3]) - model.rebuild(weights, np.array([rows[0][3]]))[0]) ** 2).mean()
-    assert abs(errors[0] - by_hand) < 1e-12
+    highest = max(errors[c] for c in range(usual))
+    assert errors[usual] > 5 * highest and errors[usual + 1] > 10 * highest
+    own = np.array(series[2][3])
+    assert errors[2] == pytest.approx(((own - model.rebuild(weights, own[None])[0]) ** 2).mean())
 
 
 @pytest.fixture(scope="module")
 def classes(spark):
-    rng = np.random.default_rng(2)
-    centres = rng.normal(scale=4.0, size=(3, 16))
-    x = np.repeat(centres, 60, axis=0) + rng.normal(size=(180, 16))
-    rows = [(i, f"class {i // 60}", x[i].tolist()) for i in range(180)]
-    return classify.split(spark.createDataFrame(rows, "complaint_id long, label string, vector array<double>"), "label")
+    """The bundles under names, of which three are kept."""
+    named = bundles(spark, each=60, dim=16, height=3.0).where("bundle < 3")
+    return classify.split(named.select("complaint_id", F.concat(F.lit("kind "), "bundle").alias("label"), "vector"), "label")
 
 
 def test_classifiers_beat_chance(classes):
@@ -130,13 +160,23 @@ def test_classifiers_beat_chance(classes):
         },
     ).collect()
     assert {r.model for r in table} == {"mlp", "trees"}
-    assert all(r.accuracy > 1 / 3 + 0.3 and r.n_test == 36 for r in table)
+    assert all(r.accuracy >= 0.75 and r.n_test == 36 for r in table)
 
 
-def test_whole_run_and_backtest(spark):
-    raw = spark.createDataFrame(complaints(25), COLUMNS).withColumn(
-        "date_received", F.date_format(F.to_date("date_received", "MM/dd/yyyy"), "yyyy-MM-dd")
+def test_classes_are_only_those_seen(classes):
+    indexed = classify._fit(
+        classify._with_features(classes, "vector").where("part = 'train'"),
+        "label",
+        classify.MultilayerPerceptronClassifier(layers=[16, 3], maxIter=2, labelCol="_y", predictionCol="_predicted"),
     )
+    assert indexed.stages[0].labels == ["kind 0", "kind 1", "kind 2"] and indexed.stages[0].getHandleInvalid() == "error"
+
+
+def test_whole_run_and_backtest(spark):
+    """Dates stay as they were written, in three layouts, with one that cannot be read."""
+    unread = (99_999, "once", "Water meter", None, None, "A letter whose day nobody can read at all", "post", False)
+    raw = spark.createDataFrame([*letters(), *blank_letters(), unread], COLUMNS)
+    raw = raw.withColumnRenamed("consumer_complaint_narrative", "narrative text")
     small = clustering.ClusterSettings(
         k=3, latent=4, hidden=(16,), pretrain_epochs=10, max_epochs=10, refresh_every=5, kmeans_starts=1
     )
@@ -150,14 +190,15 @@ def test_whole_run_and_backtest(spark):
     assert end_to_end.label_clusters(done).count() > 0
     cases = spark.createDataFrame(
         [
-            ("bnpl", "Buy Now, Pay Later (BNPL)", None, "2022-10-01", "given"),
-            ("early", "Earned Wage Access", None, "2020-01-01", "before all data"),
-            ("absent", "zzzz qqqq", None, "2022-10-01", "given"),
+            ("pumps", "Heat pump grant", None, "2019-01-01", "given"),
+            ("early", "Water meter", None, "2017-01-01", "before all data"),
+            ("absent", "zzzz qqqq", None, "2019-01-01", "given"),
         ],
         "name string, product string, sub_issue string, recognition_date string, recognition_basis string",
     )
     results = {r["name"]: r for r in end_to_end.backtest(raw, cases, settings).collect()}
     assert results["early"].notes.startswith("no pre-recognition")
     assert not results["absent"].matched
-    if results["bnpl"].matched:
-        assert results["bnpl"].first_alert_window < "2022Q4"
+    if results["pumps"].matched:
+        assert results["pumps"].first_alert_window < "2019Q1"
+    assert end_to_end.backtest(raw, cases.limit(0), settings).count() == 0
