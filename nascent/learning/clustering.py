@@ -99,10 +99,19 @@ def initial_centroids(
     latents: DataFrame, k: int, starts: int, seed: int, column: str = "latent", iterations: int = 20
 ) -> np.ndarray:
     """Best of several k-means runs on the latent vectors."""
-    features = latents.select(array_to_vector(column).alias("features")).persist()
+    latents_key = F.col(column)
+    features = latents.select(column, array_to_vector(column).alias("features")).persist()
     try:
+        # The library cannot seed more centres than there are different points.
+        different = features.select(F.approx_count_distinct(F.xxhash64(latents_key))).first()[0]
+        if different < 2 * k:
+            different = features.select(latents_key).distinct().count()
+        most = max(1, min(k, different))
+        if most == 1:
+            centre = features.select(Summarizer.mean(F.col("features"))).first()[0].toArray()
+            return np.tile(centre, (k, 1))
         models = [
-            KMeans(k=k, seed=seed + i, maxIter=iterations, featuresCol="features").fit(features)
+            KMeans(k=most, seed=seed + i, maxIter=iterations, featuresCol="features").fit(features)
             for i in range(starts)
         ]
     finally:
