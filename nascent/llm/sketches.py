@@ -108,7 +108,9 @@ def with_edits(
     document. Texts are shuffled once, by id; from the next document only as much travels
     as is used, and its sketch.
     """
-    texts = docs.select(F.col(id_col), clean_text(text_col).alias("__text"))
+    every = docs.select(F.col(id_col), clean_text(text_col).alias("__text"))
+    # Both joins read this very table, so that its shuffle is made once.
+    texts = every.where(F.col(id_col).isNotNull())
     order = next_ids(docs, id_col)
     needed = texts.groupBy(id_col).agg(F.max(F.floor(F.length("__text") / 3)).alias("__need"))
     wanted = order.join(needed, id_col).select(F.col("next_id").alias(id_col), F.col(id_col).alias("__for"), "__need")
@@ -123,6 +125,8 @@ def with_edits(
     first = Window.partitionBy(id_col).orderBy("__hash")
     sent = sent.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(id_col, "__next")
     joined = texts.join(sent, id_col, "left")
+    single = every.where(F.col(id_col).isNull())
+    joined = joined.unionByName(single.withColumn("__next", F.lit(None).cast(sent.schema["__next"].dataType)))
     length = F.length("__text")
     third = F.floor(length / 3).cast("int")
     begin = F.coalesce(F.substring("__next.begin", F.lit(1), third), F.lit(""))
