@@ -51,6 +51,7 @@ def score_novelty(
         NARRATIVE,
         F.lower(NARRATIVE).alias("_low"),
         F.lower(F.coalesce(category, F.lit(""))).alias("_category"),
+        F.coalesce(category, F.lit("")).alias("category"),
         text.latin_words(F.col(NARRATIVE)).alias("_words"),
         F.regexp_extract_all(F.lower(NARRATIVE), F.lit(text.WORD), F.lit(0)).alias("_tokens"),
         F.lit(1).alias("_one"),
@@ -120,6 +121,7 @@ def score_novelty(
         F.round(F.least(F.lit(0.98), -best["minus"] + 0.45), 2).alias("familiar_confidence"),
         emerging.alias("has_emerging_term"),
         spawn.alias("spawn_keywords"),
+        "category",
         F.transform(
             "_sorted",
             lambda s: F.struct(s["id"].alias("id"), s["label"].alias("label"), (-s["minus"]).alias("probability")),

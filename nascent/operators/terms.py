@@ -9,7 +9,7 @@ from nascent.functions import text
 from nascent.functions.rows import explode_once
 from nascent.operators.panel import ID
 from nascent.operators.topk import top_per_group
-from nascent.session import attach_small
+from nascent.session import attach_small, settle
 
 # Common English function words; replace through the parameter.
 ENGLISH_STOP_WORDS = [
@@ -48,38 +48,44 @@ def tfidf_scores(
     docs: DataFrame,
     group: str,
     tokens: Column,
-    features: int,
+    features: int | None = None,
     idf_over: str = "corpus",
     combine: str = "sum",
     id_column: str = ID,
 ) -> DataFrame:
     """``(group, term, score)``: smoothed TF-IDF, each document scaled to unit length.
 
-    The vocabulary is the ``features`` most frequent terms and the document
+    The vocabulary is every term, or the ``features`` most frequent ones. The document
     frequencies are taken over the whole corpus or over each group, as ``idf_over``
     says. ``combine`` adds the weights up per group or averages them over all of the
     group's documents.
     """
     scope = [group] if idf_over == "group" else []
-    counted = counted_terms(docs, tokens, [group], id_column)
+    # Read twice, so that texts are cut into terms once.
+    counted = settle(counted_terms(docs, tokens, [group], id_column))
     frequency = counted.groupBy(*scope, "term").agg(
         F.sum("tf").alias("total"), F.count("*").alias("df")
     )
     order = [F.desc("total"), F.col("term")]
     if scope:
-        vocabulary = top_per_group(frequency, scope, order, features, spread="term").drop("rank")
+        vocabulary = frequency
+        if features is not None:
+            vocabulary = top_per_group(frequency, scope, order, features, spread="term").drop("rank")
         vocabulary = vocabulary.join(docs.groupBy(group).agg(F.count("*").alias("n")), group)
     else:
-        # At most ``features`` rows by construction; the one-row document count joins
-        # on a constant.
+        # The one-row document count joins on a constant.
         n_docs = docs.agg(F.count("*").alias("n"), F.lit(1).alias("_one"))
-        vocabulary = (
-            frequency.orderBy(*order).limit(features).withColumn("_one", F.lit(1)).join(n_docs, "_one")
-        )
+        vocabulary = frequency if features is None else frequency.orderBy(*order).limit(features)
+        vocabulary = vocabulary.withColumn("_one", F.lit(1)).join(F.broadcast(n_docs), "_one")
     vocabulary = vocabulary.select(
         *scope, "term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
-    weighted = attach_small(counted, vocabulary, [*scope, "term"], spread=id_column).select(
+    if features is None:
+        # As many rows as there are terms: an ordinary join, in which hot terms are split at run time.
+        joined = counted.join(vocabulary, [*scope, "term"])
+    else:
+        joined = attach_small(counted, vocabulary, [*scope, "term"], spread=id_column)
+    weighted = joined.select(
         id_column, group, "term", (F.col("tf") * F.col("idf")).alias("w")
     )
     of_doc = Window.partitionBy(id_column)
@@ -99,7 +105,7 @@ def top_terms(
     narrative: Column,
     k: int = 6,
     stop_words: list[str] | None = None,
-    features: int = 2000,
+    features: int | None = None,
     id_column: str = ID,
 ) -> DataFrame:
     """``(group, term, score, rank)``: the ``k`` terms with the largest TF-IDF sum."""
@@ -115,24 +121,20 @@ def export_keywords(
     group: str,
     narrative: Column,
     k: int = 4,
-    candidates: int = 5,
-    features: int = 2500,
+    features: int | None = None,
     id_column: str = ID,
 ) -> DataFrame:
     """``(group, term, score, rank)`` over words and word pairs, by mean TF-IDF.
 
-    The best ``candidates`` are looked at, domain stop words dropped and the first
-    ``k`` kept. A group left without any term is absent.
+    Domain stop words are dropped before the ranking. A group left without any term is
+    absent.
     """
     tokens = text.with_bigrams(text.latin_words(text.drop_masked(narrative), DOMAIN_STOP_WORDS))
     scores = tfidf_scores(docs, group, tokens, features, "corpus", "mean", id_column).withColumn(
         "score", F.round("score", 6)
     )
-    best = top_per_group(
-        scores, [group], [F.desc("score"), F.col("term")], candidates, spread="term", rank="_place"
-    ).where(~F.col("term").isin(*DOMAIN_STOP_WORDS))
-    within = Window.partitionBy(group).orderBy("_place")
-    return best.withColumn("rank", F.row_number().over(within)).where(F.col("rank") <= k).drop("_place")
+    scores = scores.where(~F.col("term").isin(*DOMAIN_STOP_WORDS))
+    return top_per_group(scores, [group], [F.desc("score"), F.col("term")], k, spread="term")
 
 
 def frequent_words(
@@ -158,6 +160,7 @@ def npmi(
     Co-occurrence is counted over all documents. ``topics`` holds ``(topic, term)``,
     a handful of terms each, so the pairs of one document stay a handful too.
     """
+    topics = settle(topics.select(topic, "term"))
     pairs = (
         topics.groupBy(topic)
         .agg(F.sort_array(F.collect_set("term")).alias("terms"))

@@ -13,7 +13,6 @@ from nascent.session import settle
 # Fixed order of the features.
 FEATURES = ("centroid_shift", "volume", "volume_share", "mean_dist")
 MIN_STEPS = 3
-MAX_STEPS = 24
 
 
 def build_trajectories(assigned: DataFrame, links: DataFrame) -> DataFrame:
@@ -47,16 +46,16 @@ def build_trajectories(assigned: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def padded_sequences(trajectories: DataFrame) -> DataFrame:
+def padded_sequences(trajectories: DataFrame, max_steps: int | None = None) -> DataFrame:
     """``(global, first_window, length, sequence)`` ready for the sequence model.
 
-    Only the last 24 steps are gathered. A shorter series than three steps repeats its
-    first step in front and keeps the others.
+    All steps are gathered, or the last ``max_steps`` ones. A shorter series than three
+    steps repeats its first step in front and keeps the others.
     """
-    from_end = Window.partitionBy(GLOBAL).orderBy(F.desc(WINDOW))
-    recent = trajectories.withColumn("_back", F.row_number().over(from_end)).where(
-        F.col("_back") <= MAX_STEPS
-    )
+    recent = trajectories
+    if max_steps is not None:
+        from_end = Window.partitionBy(GLOBAL).orderBy(F.desc(WINDOW))
+        recent = recent.withColumn("_back", F.row_number().over(from_end)).where(F.col("_back") <= max_steps)
     row = F.struct(F.col("step"), F.array(*[F.col(f).cast("double") for f in FEATURES]).alias("x"))
     gathered = recent.groupBy(GLOBAL, "first_window", "length").agg(
         F.transform(F.sort_array(F.collect_list(row)), lambda s: s["x"]).alias("_steps")

@@ -223,7 +223,7 @@ def rounded_trajectories(spark, sf_dir):
         "traj",
         select="""SELECT global_cluster, CAST(pos AS INTEGER) AS pos, round(centroid_shift, 6) AS centroid_shift, round(volume, 6) AS volume,
   round(volume_share, 6) AS volume_share, round(mean_dist, 6) AS mean_dist FROM (
-  SELECT *, step - greatest(length - 24, 0) + greatest(3 - length, 0) - 1 AS pos FROM traj WHERE step > length - 24
+  SELECT *, step + greatest(3 - length, 0) - 1 AS pos FROM traj
   UNION ALL SELECT *, unnest(range(0, 3 - length)) AS pos FROM traj WHERE step = 1 AND length < 3)""",
     ),
 )

@@ -229,8 +229,7 @@ def _match_sql(limit: str) -> str:
 WHERE hits >= greatest(1, n_terms // 2) GROUP BY 1, 2"""
 
 
-views.define("matched", ["case_words", "members", "ranked"], _match_sql("WHERE place <= 50"))
-views.define("matched_all", ["case_words", "members", "ranked"], _match_sql(""))
+views.define("matched", ["case_words", "members", "ranked"], _match_sql(""))
 _MATCH_OUT = """SELECT c.name, CAST(n_terms AS INTEGER) AS n_terms, matched_cluster IS NOT NULL AS matched, matched_cluster, hits
 FROM (SELECT name, count(*) AS n_terms FROM case_words GROUP BY 1) c LEFT JOIN (SELECT name, matched_cluster, hits FROM {m}) m
   ON m.name = c.name"""
@@ -259,10 +258,10 @@ def case_terms(spark, sf_dir):
 
 @register("case_match", using("matched", "case_words", select=_MATCH_OUT.format(m="matched")))
 def case_match(spark, sf_dir):
-    return _matches(spark, sf_dir, 50)
+    return _matches(spark, sf_dir, None)
 
 
-@register("case_match_all_members", using("matched_all", "case_words", select=_MATCH_OUT.format(m="matched_all")))
+@register("case_match_all_members", using("matched", "case_words", select=_MATCH_OUT.format(m="matched")))
 def case_match_all_members(spark, sf_dir):
     return _matches(spark, sf_dir, None)
 
@@ -282,7 +281,7 @@ FROM cases LEFT JOIN matched USING (name) LEFT JOIN ranked ON global_cluster = m
 )
 def lead_time(spark, sf_dir):
     ranked = _ranked(spark, sf_dir)
-    return casework.lead_times(views.cases(spark, sf_dir), _matches(spark, sf_dir, 50, ranked), ranked)
+    return casework.lead_times(views.cases(spark, sf_dir), _matches(spark, sf_dir, None, ranked), ranked)
 
 
 @register(
@@ -297,7 +296,7 @@ def lead_time(spark, sf_dir):
 def precision_at_k(spark, sf_dir):
     ranked = _ranked(spark, sf_dir)
     relevant = (
-        _matches(spark, sf_dir, 50, ranked).where("matched").select(F.col("matched_cluster").alias(GLOBAL))
+        _matches(spark, sf_dir, None, ranked).where("matched").select(F.col("matched_cluster").alias(GLOBAL))
     )
     return quality.precision_at_k(ranked, relevant, GLOBAL, 10)
 

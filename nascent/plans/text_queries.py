@@ -73,7 +73,7 @@ views.define(
     """SELECT grp, term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (
   SELECT grp, term, df, row_number() OVER (PARTITION BY grp ORDER BY total DESC, term) AS place
   FROM (SELECT grp, term, sum(tf) AS total, count(*) AS df FROM term_tf GROUP BY 1, 2))
-JOIN (SELECT product AS grp, count(*) AS n FROM panel GROUP BY 1) USING (grp) WHERE place <= 2000""",
+JOIN (SELECT product AS grp, count(*) AS n FROM panel GROUP BY 1) USING (grp)""",
 )
 views.define(
     "term_scores",
@@ -113,7 +113,7 @@ views.define(
     "gram_vocab",
     ["gram_tf", "panel"],
     """SELECT term, ln((1 + n) / (1 + df)) + 1 AS idf FROM (SELECT term, sum(tf) AS total, count(*) AS df
-  FROM gram_tf GROUP BY 1 ORDER BY total DESC, term LIMIT 2500), (SELECT count(*) AS n FROM panel)""",
+  FROM gram_tf GROUP BY 1), (SELECT count(*) AS n FROM panel)""",
 )
 views.define(
     "gram_scores",
@@ -127,8 +127,8 @@ views.define(
     "keyword_terms",
     ["gram_scores"],
     f"""SELECT grp, term, score, row_number() OVER (PARTITION BY grp ORDER BY place) AS rank FROM (
-  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) AS place FROM gram_scores)
-WHERE place <= 5 AND term NOT IN ({quoted(terms.DOMAIN_STOP_WORDS)})""",
+  SELECT *, row_number() OVER (PARTITION BY grp ORDER BY score DESC, term) AS place FROM gram_scores
+  WHERE term NOT IN ({quoted(terms.DOMAIN_STOP_WORDS)}))""",
 )
 
 

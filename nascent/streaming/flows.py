@@ -113,40 +113,49 @@ def start_clusters(clusters: DataFrame, folder: str) -> None:
     )
 
 
-def absorb(
-    scored: DataFrame, clusters: DataFrame, category: DataFrame, id_column: str = ID
-) -> tuple[DataFrame, DataFrame]:
+def absorb(scored: DataFrame, clusters: DataFrame, id_column: str = ID) -> tuple[DataFrame, DataFrame]:
     """New cluster table and the placement of each text.
 
-    Familiar texts raise the count of their cluster. Each novel text opens a cluster; new
-    ids continue from the number of clusters, in order of the text's id.
+    Familiar texts raise the count of their cluster. Novel texts with the same keywords,
+    and the same category where it makes the label, share one cluster: the one opened for
+    them before, or a new one. So the clusters do not depend on how texts are cut into
+    batches. New ids continue from the number of clusters, in order of each cluster's first
+    text.
     """
     known = clusters.count()
-    joined = scored.join(category, id_column, "left")
-    novel = number_rows(joined.where("is_novel"), [id_column], "new_id", known)
-    label = F.when(
-        F.col("has_emerging_term"),
-        F.concat(
-            F.lit("Emergent: "),
-            F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("Novel Fraud Pattern")),
-        ),
-    ).otherwise(F.concat(F.lit("Emergent Cluster #"), (F.col("new_id") + 1).cast("string")))
-    spawned = novel.select(
-        F.col("new_id").cast("int").alias("id"),
-        label.alias("label"),
-        F.lit(1).cast("long").alias("count"),
-        F.col("spawn_keywords").alias("keywords"),
+    named = F.concat(
+        F.lit("Emergent: "), F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("Novel Fraud Pattern"))
+    )
+    numbered = "Emergent Cluster #"
+    kind = F.when(F.col("has_emerging_term"), named).otherwise(numbered)
+    joined = scored.withColumn("_set", F.array_sort("spawn_keywords")).withColumn("_kind", kind)
+    fresh = joined.where("is_novel")
+    groups = fresh.groupBy("_set", "_kind").agg(
+        F.min(id_column).alias("_first"),
+        F.min_by("spawn_keywords", id_column).alias("keywords"),
+        F.count("*").alias("_texts"),
+    )
+    own_kind = F.when(F.col("label").startswith(numbered), F.lit(numbered)).otherwise(F.col("label"))
+    before = clusters.groupBy(F.array_sort("keywords").alias("_set"), own_kind.alias("_kind")).agg(F.min("id").alias("_old"))
+    groups = settle(groups.join(before, ["_set", "_kind"], "left"))
+    opened = settle(number_rows(groups.where("_old is null"), ["_first"], "_new", known))
+    label = F.when(F.col("_kind") == numbered, F.concat("_kind", (F.col("_new") + 1).cast("string"))).otherwise(F.col("_kind"))
+    spawned = opened.select(
+        F.col("_new").cast("int").alias("id"), label.alias("label"), F.col("_texts").alias("count"), "keywords"
     )
     familiar = joined.where(~F.col("is_novel"))
-    added = familiar.groupBy(F.col("assigned_cluster").alias("id")).agg(F.count("*").alias("_more"))
+    added = familiar.select(F.col("assigned_cluster").cast("int").alias("id"), F.lit(1).cast("long").alias("n"))
+    added = added.unionByName(groups.where("_old is not null").select(F.col("_old").cast("int").alias("id"), F.col("_texts").alias("n")))
+    added = added.groupBy("id").agg(F.sum("n").alias("_more"))
     grown = clusters.join(added, "id", "left").select(
         "id", "label", (F.col("count") + F.coalesce("_more", F.lit(0))).alias("count"), "keywords"
     )
+    homes = opened.select("_set", "_kind", F.col("_new").cast("int").alias("cluster_id")).unionByName(
+        groups.where("_old is not null").select("_set", "_kind", F.col("_old").cast("int").alias("cluster_id"))
+    )
     placed = familiar.select(
         id_column, F.col("assigned_cluster").cast("int").alias("cluster_id"), F.lit(False).alias("is_novel")
-    ).unionByName(
-        novel.select(id_column, F.col("new_id").cast("int").alias("cluster_id"), F.lit(True).alias("is_novel"))
-    )
+    ).unionByName(fresh.join(homes, ["_set", "_kind"]).select(id_column, "cluster_id", F.lit(True).alias("is_novel")))
     return grown.unionByName(spawned), placed
 
 
@@ -161,7 +170,7 @@ def live_clusters(stream: DataFrame, folder: str, threshold: float = novelty.NOV
         spark = batch.sparkSession
         known = _latest(spark, f"{folder}/clusters", number)
         scored = settle(novelty.score_novelty(batch, known, threshold))
-        updated, placed = absorb(scored, known, batch.select(ID, "category"))
+        updated, placed = absorb(scored, known)
         updated.write.mode("overwrite").parquet(f"{folder}/clusters/{BATCH}={number}")
         placed.write.mode("overwrite").parquet(f"{folder}/placed/{BATCH}={number}")
 

@@ -100,3 +100,19 @@ def test_small_and_late_windows_lose_no_row(spark, tmp_path):
     done = flows.streamed_assignments(spark, folder, 5, settings).collect()
     assert sorted(r.complaint_id for r in done) == sorted(row[0] for rows in batches for row in rows)
     assert {r.complaint_id: r.window_id for r in done} == {row[0]: row[1] for rows in batches for row in rows}
+
+
+def test_equal_texts_open_one_cluster_however_they_are_delivered(spark, tmp_path):
+    known = spark.createDataFrame([(0, "Mortgage", 5, ["escrow", "servicer"])], "id int, label string, count long, keywords array<string>")
+    columns = f"complaint_id long, {NARRATIVE} string, category string"
+    texts = [(i, "strange kiosk swallowed banknotes", "") for i in range(1, 6)] + [(6, "bitcoin kiosk trouble", "Crypto"), (7, "bitcoin kiosk trouble", "Crypto")]
+    states = []
+    for name, batches in (("one", [texts]), ("many", [[t] for t in texts])):
+        source, folder = str(tmp_path / f"in-{name}"), str(tmp_path / name)
+        flows.start_clusters(known, folder)
+        for rows in batches:
+            spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+            flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder).awaitTermination()
+        states.append(sorted((r.id, r.label, r["count"]) for r in flows.live_state(spark, folder).collect()))
+    assert states[0] == states[1]
+    assert [count for _, _, count in states[0]] == [5, 5, 2]
