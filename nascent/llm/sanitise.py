@@ -195,17 +195,24 @@ def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, settings: Disclo
     together = together.join(weights, "__key").groupBy("entity", "term").agg(F.sum("weight").alias("together"))
     entities = near.select("entity", "__key").distinct().join(weights, "__key")
     entities = entities.groupBy("entity").agg(F.sum("weight").alias("with_entity"))
-    terms = settle(often.select("term").distinct())
+    # A term is in at least the documents in which it stands near some entity. What falls
+    # short with that many falls short with all, so common words need not be counted.
+    nearby = pairs.select("term", "__key").distinct().join(weights, "__key")
+    nearby = nearby.groupBy("term").agg(F.sum("weight").alias("with_term"))
+    total = docs.count()
+    surprise = -F.log2(F.col("with_entity") / total)
+    disclosure = 1 + F.log2(F.least(F.col("together") / F.col("with_term"), F.lit(1.0))) / surprise
+    reached = (surprise > 0) & (disclosure >= settings.generalise_from)
+    together = together.join(entities, "entity")
+    together = settle(together.join(nearby, "term").where(reached).drop("with_term"))
+    terms = settle(together.select("term").distinct())
     words = F.array_distinct(F.split(F.lower(clean_text(text_col)), r"[^\p{L}\p{N}]+"))
     single = docs.select(F.explode(words).alias("term"))
     if terms.count() <= settings.broadcast_terms:
         single = single.join(F.broadcast(terms), "term", "left_semi")
     frequency = single.groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term", "left_semi")
-    total = docs.count()
-    surprise = -F.log2(F.col("with_entity") / total)
-    disclosure = 1 + F.log2(F.least(F.col("together") / F.col("with_term"), F.lit(1.0))) / surprise
-    scored = together.join(entities, "entity").join(frequency, "term").where(surprise > 0)
-    return scored.select("entity", "term", disclosure.alias("disclosure")).where(F.col("disclosure") >= settings.generalise_from)
+    scored = together.join(frequency, "term").where(reached)
+    return scored.select("entity", "term", disclosure.alias("disclosure"))
 
 
 def find_spans(
