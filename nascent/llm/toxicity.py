@@ -3,7 +3,8 @@
 Confirmed toxic texts and unlabelled texts are all the classifier sees; texts labelled
 clean are part of the unlabelled ones. Its risk is corrected by the class prior, and the
 negative part is kept from falling below zero (Kiryo et al., 2017), so that a flexible
-model cannot earn a negative risk by overfitting the unlabelled texts.
+model cannot earn a negative risk by overfitting the unlabelled texts. Last, the intercept
+is lowered where the mean score of the unlabelled texts is above ``slack`` times the prior.
 
 A text is the set of its lower-cased words. Every word gives four hashed features: itself
 and its first four, five and six letters. The score is linear in them, so a word has one
@@ -45,6 +46,7 @@ class ToxicitySettings:
     epochs: int = 300
     rate: float = 0.05
     ridge: float = 1e-3
+    slack: float = 1.5
 
 
 @dataclass(frozen=True)
@@ -143,6 +145,7 @@ def fit(rows: pd.DataFrame, prior: float, settings: ToxicitySettings) -> Toxicit
         columns = place[found]
         x[row, columns[columns >= 0]] = 1
     weights, bias = _descend(x[positive], x[~positive], prior, base, settings)
+    bias += _shift_down(x[~positive] @ weights.astype(np.float32) + bias, min(settings.slack * prior, 1.0))
     return ToxicityModel(slots.astype(np.int64), weights.astype(np.float64), bias)
 
 
@@ -150,6 +153,21 @@ def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
+def _shift_down(margins: np.ndarray, most: float) -> float:
+    """What to add so that the mean score of the unlabelled rows is ``most`` at the most.
+
+    With few positives the margins grow while their words hardly occur elsewhere, and the
+    corrected risk then lifts the intercept for all texts; this takes that back.
+    """
+    if _sigmoid(margins).mean() <= most:
+        return 0.0
+    low, high = -60.0, 0.0
+    for _ in range(60):
+        middle = (low + high) / 2
+        low, high = (low, middle) if _sigmoid(margins + middle).mean() > most else (middle, high)
+    return (low + high) / 2
+
+
 def _descend(
     pos: np.ndarray, unl: np.ndarray, prior: float, bias: float, settings: ToxicitySettings
 ) -> tuple[np.ndarray, float]:
