@@ -228,7 +228,10 @@ def train(
     text_col: str = "text",
     label_col: str = "toxic",
 ) -> ToxicityModel:
-    """Learn from ``docs`` and the labels of their ids; both are already the training part."""
+    """Learn from ``docs`` and the labels of their ids; both are already the training part.
+
+    The prior is the share of toxic rows among the labelled ones, a fair sample of all.
+    """
     settings = settings or ToxicitySettings()
     marks = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     prior = marks.agg(F.avg((F.col(label_col) == 1).cast("double"))).first()[0] or 0.0
