@@ -1,0 +1,67 @@
+"""Near copies against brute-force groups of five-word Jaccard, which four bits of SimHash miss."""
+
+import random
+
+import pytest
+from pyspark.sql import functions as F
+from test_near_copies import plain_groups
+
+import corpus_pipeline
+from nascent.llm import jaccard, simhash
+
+
+def plain_set(text):
+    words = (text or "").encode().lower().split()
+    return {b" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def alike(a, b):
+    return a == b or len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.fixture(scope="module")
+def planted(spark):
+    dice = random.Random(3)
+    texts = []
+    for _ in range(40):
+        words = [f"w{dice.randrange(900)}" for _ in range(dice.randint(8, 200))]
+        texts.append(" ".join(words))
+        for _ in range(dice.randint(1, 6)):  # a few edits, on either side of the threshold
+            other = list(words)
+            for at in dice.sample(range(len(other)), dice.randint(0, 1 + len(other) // 25)):
+                other[at] = "edited"
+            texts.append(" ".join(other))
+    texts += [None, "", " \n", "one two", "ONE  two", "x " * 3_000]
+    dice.shuffle(texts)
+    return dict(enumerate(texts))
+
+
+@pytest.mark.parametrize("rows", [1024, 8])
+def test_groups_are_those_of_brute_force(spark, planted, monkeypatch, rows):
+    monkeypatch.setattr(jaccard, "BLOCK_ROWS", rows)
+    monkeypatch.setattr(jaccard, "DENSE_FROM", 3 if rows == 8 else 32)
+    sets = {i: plain_set(t) for i, t in planted.items()}
+    label, _ = plain_groups(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    docs = spark.createDataFrame(list(planted.items()), "doc_id bigint, text string")
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == set(label.values())
+    four_bits = simhash.near_duplicates(docs).select("component").distinct().count()
+    assert four_bits > len(set(label.values()))
+
+
+def test_supplied_documents(spark):
+    """All pairs of sf0.01 by brute force on the shingles that texts share."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    sets = {r.doc_id: plain_set(r.text) for r in docs.collect()}
+    label, _ = plain_groups(sorted(sets), lambda a, b: alike(sets[a], sets[b]))
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert {r.doc_id for r in kept.collect()} == set(label.values())
+
+
+def test_rows_without_id_and_repeated_rows(spark):
+    text = " ".join(f"w{i}" for i in range(80))
+    rows = [(None, text + " end"), (7, text), (7, text), (None, "alone"), (None, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("lang", F.lit("l"))
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs, "")
+    assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "alone"), (7, text)]
+    assert corpus_pipeline.keep_one_of_near_copies(spark, docs.limit(0), "").count() == 0
