@@ -1,22 +1,24 @@
 """Personal data and the terms that give it away; DataFrame functions only.
 
 Base spans are e-mail addresses, IP addresses, card and phone numbers. The values found
-are the protected entities. A term near an entity discloses it as far as knowing the term
+are the protected entities. A term in the text of an entity discloses it as far as knowing the term
 makes the entity likelier: with counts over all documents, the disclosure is
 
     PMI(term, entity) / IC(entity) = 1 + log2 P(entity | term) / IC(entity),
 
 with IC(entity) = -log2 P(entity): 1 if the term never occurs without the entity, 0 if it
 tells nothing (Sanchez and Batet, 2016). Terms from ``generalise_from`` on are replaced by
-their kind, from ``remove_from`` on they are taken out. A term must meet its entity in
-``min_contexts`` different contexts; copies of one context count once.
+their kind, from ``remove_from`` on they are taken out, wherever they stand in a document
+that holds the entity. A term must meet its entity in ``min_contexts`` different texts;
+copies of one text count once.
 
-Terms are letters and digits within ``reach`` characters before and after an entity, so a
-document's pairs are in proportion to its entities, never entities times words. Pairs and
-terms are counted with partial sums before the shuffle.
+Terms are runs of letters and digits anywhere in a text that holds an entity, outside the
+base spans. A document's terms are counted once, not once per entity: only entities in
+enough texts, and only terms rare enough to disclose one of them by exact bounds, are
+paired. Pairs and terms are counted with partial sums before the shuffle.
 
 Defined results: a null or empty text has no spans; repeated rows have equal spans and
-count each in the shares, but as one context; spans of different kinds may overlap, and masking covers their
+count each in the shares, but as one text; spans of different kinds may overlap, and masking covers their
 union; ties are sorted by start, kind and end; extra columns are ignored here and kept by
 ``mask``; an empty table gives an empty result.
 """
@@ -49,7 +51,6 @@ SPAN = "struct<start:int,kind:int,end:int,value:string>"
 
 @dataclass(frozen=True)
 class DisclosureSettings:
-    reach: int = 160
     min_contexts: int = 3
     generalise_from: float = 0.9
     remove_from: float = 0.98
@@ -124,9 +125,9 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def row_key(id_col: str, text: Column) -> Column:
-    """Repeated rows share it; two texts under one id do not."""
-    return F.xxhash64(F.col(id_col), text)
+def text_key(text: Column) -> Column:
+    """Equal texts share it, and so do their spans."""
+    return F.xxhash64(text)
 
 
 def entity(span: Column) -> Column:
@@ -135,8 +136,27 @@ def entity(span: Column) -> Column:
     return F.concat(span["kind"].cast("string"), F.lit(":"), plain)
 
 
-def _nearby(context: Column, start: Column, cut_first: Column, cut_last: Column, least: int) -> Column:
-    """Terms of a context with their places; words that its edges may have cut are left out."""
+def blanked(text: Column, spans: Column) -> Column:
+    """The text with a space for every character of its sorted spans: places stay."""
+
+    def pieces(reached: Column) -> Column:
+        kept = F.zip_with(
+            spans,
+            reached,
+            lambda s, r: F.concat(
+                F.when(s["start"] >= r, F.substring(text, r + 1, s["start"] - r)).otherwise(""),
+                F.repeat(F.lit(" "), F.greatest(s["end"] - F.greatest(s["start"], r), F.lit(0))),
+            ),
+        )
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+        return F.concat(F.array_join(kept, ""), F.substring(text, last + 1, F.length(text)))
+
+    reached = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return F.when(F.size(spans) > 0, let(reached, pieces)).otherwise(text)
+
+
+def _words(text: Column, least: int) -> Column:
+    """Terms of a text with their places."""
     pattern = r"[^\p{L}\p{N}]*[\p{L}\p{N}]+"
 
     def place(tokens: Column) -> Column:
@@ -146,73 +166,68 @@ def _nearby(context: Column, start: Column, cut_first: Column, cut_last: Column,
             tokens,
             lambda s, t: let(
                 F.regexp_replace(t, r"^[^\p{L}\p{N}]+", ""),
-                lambda w: F.struct(F.lower(w).alias("term"), (start + s + F.length(t) - F.length(w)).alias("start"), (start + s + F.length(t)).alias("end")),
+                lambda w: F.struct(F.lower(w).alias("term"), (s + F.length(t) - F.length(w)).alias("start"), (s + F.length(t)).alias("end")),
             ),
         )
-        first = F.when(cut_first, 2).otherwise(1)
-        last = F.size(plain) - F.when(cut_last, 1).otherwise(0)
-        whole = F.slice(plain, first, F.greatest(last - first + 1, F.lit(0)))
-        return F.filter(whole, lambda w: F.length(w["term"]) >= least)
+        return F.filter(plain, lambda w: F.length(w["term"]) >= least)
 
-    return let(F.regexp_extract_all(context, F.lit(pattern), F.lit(0)), place)
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), place)
 
 
 def occurrences(docs: DataFrame, id_col: str, text_col: str, settings: DisclosureSettings) -> DataFrame:
-    """``(id, __key, spans, near)`` of every row, in one pass without a shuffle.
+    """``(id, __key, spans, entities, words)`` of every row, in one pass without a shuffle.
 
-    ``near`` has, for each base span, its entity, a hash of its context and the terms there.
+    ``words`` has all terms outside the base spans with their places; texts without an entity have none.
     """
-    text, reach = F.col("__text"), settings.reach
-
-    def terms(span: Column) -> Column:
-        begin = F.greatest(span["start"] - reach, F.lit(0))
-        left = F.substring(text, begin + 1, span["start"] - begin)
-        right = F.substring(text, span["end"] + 1, F.lit(reach))
-        before = _nearby(left, begin, begin > 0, F.lit(False), settings.min_length)
-        after = _nearby(right, span["end"], F.lit(False), F.length(right) == reach, settings.min_length)
-        return F.struct(entity(span).alias("entity"), F.xxhash64(left, right).alias("context"), F.concat(before, after).alias("terms"))
-
+    text = F.col("__text")
     rows = docs.select(F.col(id_col), clean_text(text_col).alias("__text"))
     rows = rows.select(id_col, "__text", base_spans(text).alias("spans"))
-    return rows.select(id_col, row_key(id_col, text).alias("__key"), "spans", F.transform("spans", terms).alias("near"))
+    words = F.when(F.size("spans") > 0, _words(blanked(text, F.col("spans")), settings.min_length))
+    entities = F.array_distinct(F.transform("spans", entity))
+    return rows.select(id_col, text_key(text).alias("__key"), "spans", entities.alias("entities"), words.alias("words"))
 
 
 def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, settings: DisclosureSettings) -> DataFrame | None:
-    """``(entity, term, disclosure)`` of the pairs above the lower threshold; None if no pair qualifies.
+    """``(__key, term, disclosure)``: for every text the terms that give one of its entities away.
 
-    ``rows`` are settled ``occurrences``. Documents are scanned for the frequencies of terms
-    only if some pair has enough contexts.
+    ``rows`` are settled ``occurrences``. None if no term qualifies; documents are scanned for
+    the frequencies of terms only if some entity stands in enough texts.
     """
-    near = rows.where(F.size("near") > 0).select("__key", F.explode("near").alias("n")).select("__key", "n.*")
-    pairs = near.select("__key", "entity", "context", F.explode("terms.term").alias("term"))
-    # Contexts first: their number bounds the number of documents from below.
-    contexts = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("contexts"))
-    often = settle(contexts.where(F.col("contexts") >= settings.min_contexts).select("entity", "term"))
-    if often.isEmpty():
-        return None
-    together = pairs.select("entity", "term", "__key").distinct().join(often, ["entity", "term"], "left_semi")
-    weights = rows.where(F.size("near") > 0).groupBy("__key").agg(F.count("*").alias("weight"))
-    together = together.join(weights, "__key").groupBy("entity", "term").agg(F.sum("weight").alias("together"))
-    entities = near.select("entity", "__key").distinct().join(weights, "__key")
-    entities = entities.groupBy("entity").agg(F.sum("weight").alias("with_entity"))
-    # A term is in at least the documents in which it stands near some entity. What falls
-    # short with that many falls short with all, so common words need not be counted.
-    nearby = pairs.select("term", "__key").distinct().join(weights, "__key")
-    nearby = nearby.groupBy("term").agg(F.sum("weight").alias("with_term"))
+    marked = rows.where(F.size("spans") > 0)
+    held = marked.select("__key", F.explode("entities").alias("entity")).groupBy("__key", "entity").agg(F.count("*").alias("weight"))
+    entities = held.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("weight").alias("with_entity"))
     total = docs.count()
     surprise = -F.log2(F.col("with_entity") / total)
-    disclosure = 1 + F.log2(F.least(F.col("together") / F.col("with_term"), F.lit(1.0))) / surprise
-    reached = (surprise > 0) & (disclosure >= settings.generalise_from)
-    together = together.join(entities, "entity")
-    together = settle(together.join(nearby, "term").where(reached).drop("with_term"))
-    terms = settle(together.select("term").distinct())
+    # A term meets its entity in no more rows than the entity has. One in more rows than this falls short.
+    most = F.col("with_entity") * F.pow(F.lit(2.0), (1 - settings.generalise_from) * surprise) * (1 + 1e-9)
+    entities = settle(entities.where((F.col("texts") >= settings.min_contexts) & (surprise > 0)).select("entity", "with_entity", most.alias("most")))
+    if entities.isEmpty():
+        return None
+    held = settle(held.join(entities, "entity"))
+    wanted = held.groupBy("__key").agg(F.max("weight").alias("weight"), F.max("most").alias("most"))
+    once = marked.select("__key", F.array_distinct("words.term").alias("terms")).join(wanted, "__key").dropDuplicates(["__key"])
+    stands = settle(once.select("__key", "weight", "most", F.explode("terms").alias("term")))
+    # A term is in at least the rows in which it stands beside some entity. What is too
+    # frequent with that many is so with all, so common words need not be counted.
+    least = stands.groupBy("term").agg(F.count("*").alias("texts"), F.sum("weight").alias("rows"), F.max("most").alias("most"))
+    least = least.where((F.col("texts") >= settings.min_contexts) & (F.col("rows") <= F.col("most")))
+    terms = settle(least.select("term", "most"))
     words = F.array_distinct(F.split(F.lower(clean_text(text_col)), r"[^\p{L}\p{N}]+"))
     single = docs.select(F.explode(words).alias("term"))
     if terms.count() <= settings.broadcast_terms:
         single = single.join(F.broadcast(terms), "term", "left_semi")
-    frequency = single.groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term", "left_semi")
-    scored = together.join(frequency, "term").where(reached)
-    return scored.select("entity", "term", disclosure.alias("disclosure"))
+    frequency = single.groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term")
+    frequency = frequency.where(F.col("with_term") <= F.col("most")).select("term", "with_term")
+    rare = settle(stands.select("__key", "term").join(frequency, "term"))
+    met = rare.join(held, "__key").where(F.col("with_term") <= F.col("most"))
+    scored = met.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("weight").alias("together"))
+    disclosure = 1 + F.log2(F.least(F.col("together") / F.col("with_term"), F.lit(1.0))) / surprise
+    scored = scored.where((F.col("texts") >= settings.min_contexts) & (disclosure >= settings.generalise_from))
+    scored = settle(scored.select("entity", "term", disclosure.alias("disclosure")))
+    if scored.isEmpty():
+        return None
+    found = met.select("__key", "entity", "term").join(scored, ["entity", "term"])
+    return found.groupBy("__key", "term").agg(F.max("disclosure").alias("disclosure"))
 
 
 def find_spans(
@@ -222,15 +237,16 @@ def find_spans(
     settings = settings or DisclosureSettings()
     rows = settle(occurrences(docs, id_col, text_col, settings))
     base = rows.select(id_col, "__key", F.col("spans").alias("base"))
-    pairs = disclosing(docs, rows, text_col, settings)
-    if pairs is None:
+    found = disclosing(docs, rows, text_col, settings)
+    if found is None:
         return base.withColumn("added", F.array().cast(f"array<{SPAN}>"))
-    near = rows.where(F.size("near") > 0).select("__key", F.explode("near").alias("n"))
-    terms = near.select("__key", "n.entity", F.explode("n.terms").alias("t")).select("__key", "entity", "t.*")
+    found = settle(found)
+    once = rows.where(F.size("spans") > 0).join(found.select("__key").distinct(), "__key", "left_semi")
+    once = once.select("__key", "words").dropDuplicates(["__key"])
     kind = F.when(F.col("disclosure") >= settings.remove_from, len(KINDS) + 1).otherwise(len(KINDS))
-    hit = terms.join(pairs, ["entity", "term"])
-    hit = hit.groupBy("__key", "start", "end").agg(F.max(kind).alias("kind"), F.first("term").alias("value"))
-    spans = hit.groupBy("__key").agg(F.collect_list(F.struct("start", "kind", "end", "value").cast(SPAN)).alias("added"))
+    hit = once.select("__key", F.explode("words").alias("w")).select("__key", "w.*").join(found, ["__key", "term"])
+    hit = hit.select("__key", F.struct("start", kind.alias("kind"), "end", F.col("term").alias("value")).cast(SPAN).alias("s"))
+    spans = hit.groupBy("__key").agg(F.collect_list("s").alias("added"))
     joined = base.join(spans, "__key", "left")
     return joined.withColumn("added", F.coalesce("added", F.array().cast(f"array<{SPAN}>")))
 
@@ -275,6 +291,6 @@ def mask_documents(
     text = clean_text(text_col)
     if added.isEmpty():
         return docs.withColumn(text_col, mask(text, base_spans(text)))
-    keyed = docs.withColumn("__key", row_key(id_col, text)).join(added, "__key", "left")
+    keyed = docs.withColumn("__key", text_key(text)).join(added, "__key", "left")
     spans = F.concat(base_spans(text), F.coalesce("__added", F.array().cast(f"array<{SPAN}>")))
     return keyed.withColumn(text_col, mask(text, spans)).select(*docs.columns)

@@ -109,3 +109,32 @@ def test_empty_table(spark):
     empty = spark.createDataFrame([], "doc_id bigint, text string")
     assert sanitise.find_spans(empty).count() == 0
     assert sanitise.mask_documents(empty).count() == 0
+
+
+def test_terms_far_from_the_entity(spark):
+    """A term thousands of characters off, and its other occurrences in the text, go as well."""
+    dice = random.Random(4)
+    line = lambda n: " ".join(dice.choice([f"word{i}" for i in range(60)]) for _ in range(n))
+    rows = [(i, line(90)) for i in range(300)]
+    rows += [(1000 + i, f"Ospreyfen {line(90)} jo@north.example {line(120)} ospreyfen, {line(20 + i)} Bay-Heronmere {line(3)}") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r for r in sanitise.find_spans(docs).collect()}
+    texts = dict(rows)
+    for i in range(1000, 1004):
+        places = [(s["start"], s["end"]) for s in found[i].added]
+        assert {texts[i][a:b].lower() for a, b in places} == {"ospreyfen", "bay", "heronmere"}
+        assert len(places) == 4
+    masked = {r.doc_id: r.text for r in sanitise.mask_documents(docs).collect()}
+    assert not any(re.search("ospreyfen|heronmere|jo@", masked[i], re.I) for i in range(1000, 1004))
+    assert all(masked[i] == texts[i] for i in range(300))
+
+
+def test_blanking_keeps_places(spark):
+    texts = [t for t in odd_texts() if t and len(t) < 1000]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    spans = sanitise.base_spans(F.col("text"))
+    for r in rows.select("doc_id", spans.alias("s")).select("doc_id", sanitise.named(F.col("s")).alias("n")).join(rows.withColumn("b", sanitise.blanked(F.col("text"), spans)), "doc_id").collect():
+        expected = list(r.text)
+        for a, b in ((int(x), int(y)) for _, x, y in (n.split(":") for n in r.n.split(",") if n)):
+            expected[a:b] = " " * (b - a)
+        assert r.b == "".join(expected)
