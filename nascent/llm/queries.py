@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nascent.llm import bpe, packing, pages, quality, sanitise, simhash, sketches, substrings, toxicity, vectors
+from nascent.llm import bpe, manifest, packing, pages, quality, sanitise, simhash, sketches, substrings, toxicity, vectors
 from nascent.llm.common import clean_text, in_fold, table
 from nascent.session import settle
 
@@ -123,6 +123,28 @@ def op1_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
+@query
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    more = F.col("n_chars").cast("decimal(20,0)") + 1
+    leaf = manifest.leaf_digest([F.col(c) for c in columns])
+    other = manifest.leaf_digest([more if c == "n_chars" else F.col(c) for c in columns])
+    changed = F.when(in_fold("doc_id", 7, 0), other).otherwise(leaf)
+    leaves = manifest.place_leaves(docs, F.col("lang"), [F.col("doc_id")], leaf, {"doc_id": F.col("doc_id"), "changed": changed})
+    found = manifest.manifest(leaves, "changed", ["doc_id"])
+    return found.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        F.col("proof").alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+        "n_copied",
+    )
+
+
 CHECKS["op4_embeddings"] = """
     WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     links AS (
@@ -156,3 +178,74 @@ CHECKS["op7_substrings"] = r"""
            sha256(coalesce(txt, '')) AS kept_sha256
     FROM split LEFT JOIN kept USING (doc_id)
 """
+
+# crc32 by its polynomial, eight bits at a time, over the digits of the id.
+CHECKS["op11_manifest"] = r"""
+    WITH RECURSIVE enc AS (
+        SELECT doc_id, lang,
+          coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+          n_chars::HUGEINT AS n, coalesce(strlen(text) || ':' || text, '-') AS tail
+        FROM documents
+    ),
+    crc(doc_id, digits, c) AS (
+        SELECT DISTINCT doc_id, doc_id::VARCHAR, 4294967295::BIGINT FROM documents WHERE doc_id IS NOT NULL
+        UNION
+        SELECT doc_id, substr(digits, 2), list_reduce(list_prepend(xor(c, ascii(digits)::BIGINT), [0, 1, 2, 3, 4, 5, 6, 7]::BIGINT[]),
+          lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384::BIGINT) ELSE a >> 1 END)
+        FROM crc WHERE digits <> ''
+    ),
+    tampered AS (SELECT doc_id FROM crc WHERE digits = '' AND xor(c, 4294967295::BIGINT) % 7 = 0),
+    leaves AS (
+        SELECT doc_id, lang, sha256(head || coalesce(strlen(n::VARCHAR) || ':' || n, '-') || tail) AS leaf,
+          sha256(head || coalesce(strlen((n + 1)::VARCHAR) || ':' || (n + 1), '-') || tail) AS other
+        FROM enc
+    ),
+    placed AS (
+        SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+          dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree
+        FROM leaves
+    ),
+    up(level, tree, pos, digest) AS (
+        SELECT 0, tree, pos, leaf FROM placed
+        UNION ALL
+        SELECT level + 1, tree, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM (SELECT *, count(*) OVER (PARTITION BY tree) AS n FROM up) WHERE n > 1 GROUP BY level, tree, pos // 2
+    ),
+    subroots AS (SELECT tree, level AS height, digest FROM up QUALIFY level = max(level) OVER (PARTITION BY tree)),
+    top(level, pos, digest) AS (
+        SELECT 0, tree, digest FROM subroots
+        UNION ALL
+        SELECT level + 1, pos // 2, sha256(string_agg(digest, '' ORDER BY pos))
+        FROM (SELECT *, count(*) OVER () AS n FROM top) WHERE n > 1 GROUP BY level, pos // 2
+    ),
+    root AS (SELECT digest FROM top QUALIFY level = max(level) OVER ()),
+    steps AS (
+        SELECT p.tree, p.pos, l.level AS k, s.digest AS partner, (p.pos >> l.level) % 2 = 1 AS before
+        FROM placed p JOIN subroots r USING (tree) JOIN (SELECT DISTINCT level FROM up) l ON l.level < r.height
+        LEFT JOIN up s ON s.tree = p.tree AND s.level = l.level AND s.pos = xor(p.pos >> l.level, 1)
+        UNION ALL
+        SELECT p.tree, p.pos, 1000 + l.level, s.digest, (p.tree >> l.level) % 2 = 1
+        FROM placed p JOIN (SELECT DISTINCT level FROM top) l ON l.level < (SELECT max(level) FROM top)
+        LEFT JOIN top s ON s.level = l.level AND s.pos = xor(p.tree >> l.level, 1)
+    ),
+    paths AS (
+        SELECT tree, pos, list({'partner': coalesce(partner, ''), 'before': before} ORDER BY k) AS path FROM steps GROUP BY 1, 2
+    ),
+    folded AS (
+        SELECT p.*, coalesce(path, []) AS path, CASE WHEN p.doc_id IN (SELECT doc_id FROM tampered) THEN other ELSE leaf END AS now
+        FROM placed p LEFT JOIN paths USING (tree, pos)
+    ),
+    ends AS (
+        SELECT *, CASE WHEN len(path) = 0 THEN now ELSE list_reduce(
+            list_prepend({'partner': now, 'before': false}, path),
+            lambda a, b: {'partner': sha256(CASE WHEN b.before THEN b.partner || a.partner ELSE a.partner || b.partner END), 'before': false}
+          ).partner END AS folded_root
+        FROM folded
+    )
+    SELECT doc_id, leaf, r.digest AS subroot, (SELECT digest FROM root) AS root,
+      sha256(list_aggregate(list_prepend('', list_transform(path, lambda s: s.partner)), 'string_agg', '')) AS proof_sha256,
+      folded_root, folded_root = (SELECT digest FROM root) AS verified,
+      CASE WHEN now = leaf THEN 0 ELSE len(path) + 1 END::BIGINT AS n_copied
+    FROM ends JOIN subroots r USING (tree)
+"""
