@@ -142,12 +142,13 @@ def twisted_vector(diagonal: np.ndarray, upper: np.ndarray, value: float, avoid:
             z[i] = -down[i] * z[i + 1]
         for i in range(twist + 1, n):
             z[i] = -up[i - 1] * z[i - 1]
-        size = np.linalg.norm(z)
-        if not len(avoid):
-            return z / size
+        with np.errstate(over="ignore"):
+            size = np.linalg.norm(z)
         # What is left of the product with the shifted matrix is gamma, at the twist alone.
-        if gamma[twist] > 16.0 * n * EPS * main.max() * size:
+        if not np.isfinite(size) or (len(avoid) and gamma[twist] > 16.0 * n * EPS * main.max() * size):
             break
+        if not len(avoid):
+            return z / size
         if np.linalg.norm(z - avoid.T @ (avoid @ z)) > 0.5 * size:
             return _orthogonal(z, avoid)
     return _iterate(main, off, value, avoid)

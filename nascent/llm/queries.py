@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nascent.llm import bpe, manifest, packing, pages, quality, sanitise, simhash, sketches, substrings, toxicity, vectors, whitening
+from nascent.llm import bpe, curves, manifest, packing, pages, quality, sanitise, simhash, sketches, substrings, toxicity, vectors, whitening
 from nascent.llm.common import clean_text, in_fold, table
 from nascent.session import settle
 
@@ -151,6 +151,13 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(rows, "embedding", "vec_id").withColumnRenamed("id", "vec_id")
 
 
+@query
+def op13_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = curves.nearest_neighbours(rows, "embedding", "vec_id", F.col("id") % 100 == 0)
+    return found.withColumnRenamed("id", "vec_id")
+
+
 CHECKS["op4_embeddings"] = """
     WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
     links AS (
