@@ -14,6 +14,9 @@ from nascent.llm import toxicity
 from nascent.session import scratch_path
 
 
+CLASHING = ["n_words", "n_removed", "kept_text", "__key", "__chunk", "__added", "key", "rows", "others", "fp", "spans", "component", "a.b"]
+
+
 @pytest.fixture(scope="module")
 def stages(spark, data):
     docs, kept = spark.read.parquet(f"{data}/documents.parquet"), {}
@@ -77,16 +80,20 @@ def test_all_that_is_left_is_packed(stages):
 def test_odd_rows_pass_every_stage(spark, data, monkeypatch):
     monkeypatch.setattr(toxicity, "train", lambda *a, **k: _harmless())
     long = " ".join(f"w{i}" for i in range(3_000))
-    rows = [(1, None, "l"), (2, "", "l"), (3, long, None), (3, long, None), (4, long + " end", "l"), (None, "no id here", "l"), (None, "no id here", "l"), (5, "b@c.de wrote", "l")]
+    rows = [(1, None, "l"), (2, "", "l"), (3, long, None), (3, long, None), (4, long + " end", "l"), (None, "no id here", "l"), (None, "no id here", "l"), (None, "nor one here", "l"), (5, "b@c.de wrote", "l")]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").withColumn("score", F.lit(1)).withColumn("__text", F.lit(2))
+    # Names that the operators use themselves.
+    for number, taken in enumerate(CLASHING):
+        docs = docs.withColumn(taken, F.lit(number))
     for name, stage in corpus_pipeline.STAGES[:-1]:
         path = scratch_path(spark, name)
         stage(spark, docs, data).write.parquet(path)
         docs = spark.read.parquet(path)
         if name == "near_copies":
             # Texts without words are one group, and so are repeated and nearly equal rows.
-            assert sorted((r.doc_id or 0, r.text or "") for r in docs.collect()) == [(0, "no id here"), (1, ""), (3, long), (5, "b@c.de wrote")]
+            assert sorted((r.doc_id or 0, r.text or "") for r in docs.collect()) == [(0, "no id here"), (0, "nor one here"), (1, ""), (3, long), (5, "b@c.de wrote")]
     assert {r.doc_id: r.text for r in docs.collect()}[5] == "[EMAIL] wrote"
+    assert all([r[c] for c in CLASHING] == list(range(len(CLASHING))) for r in docs.collect())
     assert corpus_pipeline.pack_sequences(spark, docs, data).where("doc_id = 1").count() == 1
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), data).count() == 0
