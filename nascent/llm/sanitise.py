@@ -55,7 +55,6 @@ class DisclosureSettings:
     generalise_from: float = 0.9
     remove_from: float = 0.98
     min_length: int = 3
-    broadcast_terms: int = 50_000
 
 
 def running(values: Column, step: Callable[[Column, Column], Column]) -> Column:
@@ -213,10 +212,10 @@ def disclosing(docs: DataFrame, rows: DataFrame, text_col: str, settings: Disclo
     least = least.where((F.col("texts") >= settings.min_contexts) & (F.col("rows") <= F.col("most")))
     terms = settle(least.select("term", "most"))
     words = F.array_distinct(F.split(F.lower(clean_text(text_col)), r"[^\p{L}\p{N}]+"))
-    single = docs.select(F.explode(words).alias("term"))
-    if terms.count() <= settings.broadcast_terms:
-        single = single.join(F.broadcast(terms), "term", "left_semi")
-    frequency = single.groupBy("term").agg(F.count("*").alias("with_term")).join(terms, "term")
+    # All words are counted, summed before the shuffle: which of them are wanted depends on how
+    # many entities there are, and with many it is nearly every word.
+    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    frequency = counted.join(terms, "term")
     frequency = frequency.where(F.col("with_term") <= F.col("most")).select("term", "with_term")
     rare = settle(stands.select("__key", "term").join(frequency, "term"))
     met = rare.join(held, "__key").where(F.col("with_term") <= F.col("most"))
