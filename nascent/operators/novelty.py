@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from nascent.functions import text
 from nascent.functions.vectors import let
+from nascent.operators.containment import contained
+from nascent.operators.numbering import number_rows
 from nascent.operators.panel import ID, NARRATIVE
-from nascent.session import attach_small
+from nascent.session import attach_small, settle
 
 # Words that always make a narrative novel.
 EMERGING_TERMS = [
@@ -20,6 +22,84 @@ SPAWN_KEYWORDS = ["emergent", "fraud", "anomaly"]
 NOVEL_AT = 0.55
 
 
+def _prepared(texts: DataFrame, category: str, id_column: str) -> DataFrame:
+    named = F.coalesce(category, F.lit(""))
+    rows = texts.select(F.col(id_column), F.col(NARRATIVE), named.alias("category"))
+    # Equal texts of one category share what they hit.
+    key = F.unhex(F.md5(F.concat_ws("\u0000", "category", F.coalesce(NARRATIVE, F.lit("")))))
+    return rows.withColumn("_key", key).withColumn("_low", F.lower(NARRATIVE))
+
+
+def keyword_hits(texts: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(_key, _rank, score)`` for every text and cluster with something in common.
+
+    ``texts`` are prepared, ``clusters`` ranked. Keywords and labels are found by equality
+    joins with the texts' words and pieces, categories with the labels' pieces, so rows grow
+    with what is found and never with texts times clusters.
+    """
+    keywords = clusters.select("_rank", F.explode("keywords").alias("pattern"))
+    keywords = keywords.select("_rank", F.lower("pattern").alias("pattern"))
+    keywords = settle(keywords.groupBy("_rank", "pattern").agg(F.count("*").alias("times")))
+    labels = settle(clusters.select("_rank", F.lower("label").alias("pattern")))
+    patterns = keywords.select("pattern").unionByName(labels.select("pattern")).distinct()
+    inside = settle(contained(texts, "_key", F.col("_low"), patterns, "pattern"))
+    words = texts.select("_key", F.explode(F.array_distinct(text.latin_words(F.col(NARRATIVE)))).alias("pattern"))
+    exact = attach_small(words, keywords.select("pattern").distinct(), ["pattern"], spread="_key", row_bytes=64)
+    worth = inside.withColumn("worth", F.lit(1.5)).unionByName(exact.withColumn("worth", F.lit(3.0)))
+    worth = worth.groupBy("_key", "pattern").agg(F.max("worth").alias("worth"))
+    by_word = attach_small(worth, keywords, ["pattern"], spread="_key", row_bytes=64).select(
+        "_key", "_rank", (F.col("worth") * F.col("times")).alias("words"), F.lit(0.0).alias("named")
+    )
+    by_label = attach_small(inside, labels, ["pattern"], spread="_key", row_bytes=64)
+    categories = texts.select("_key", F.lower("category").alias("pattern")).where("pattern != ''").distinct()
+    holding = contained(labels.withColumnRenamed("pattern", "label"), "_rank", F.col("label"), categories, "pattern")
+    by_category = attach_small(categories, holding, ["pattern"], spread="_key", row_bytes=64)
+    named = by_label.select("_key", "_rank").unionByName(by_category.select("_key", "_rank"))
+    named = named.select("_key", "_rank", F.lit(0.0).alias("words"), F.lit(5.0).alias("named"))
+    found = by_word.unionByName(named).groupBy("_key", "_rank")
+    return found.agg((F.sum("words") + F.max("named")).alias("score"))
+
+
+def _scored(texts: DataFrame, clusters: DataFrame, n: int, category: str, id_column: str) -> tuple[DataFrame, DataFrame]:
+    """Texts with their ``n`` most probable clusters by rank, and the ranked clusters.
+
+    A cluster without a hit weighs one; only how many there are enters the sum, and only the
+    first of them by id can be among the most probable ones.
+    """
+    ranked = settle(number_rows(clusters.select("id", "label", "keywords"), ["id", "label"], "_rank"))
+    known = ranked.count()
+    prepared = _prepared(texts, category, id_column)
+    hits = keyword_hits(prepared, ranked).withColumn("w", F.exp(F.least(F.lit(8.0), F.col("score") * 0.7)))
+    listed = hits.groupBy("_key").agg(
+        F.sort_array(F.collect_list(F.struct("_rank", "w"))).alias("_hits"), F.max("score").alias("_best")
+    )
+    words = text.latin_words(F.col(NARRATIVE))
+    tokens = F.regexp_extract_all(F.col("_low"), F.lit(text.WORD), F.lit(0))
+    picked = let(words, lambda ws: F.slice(F.filter(ws, lambda w: (F.length(w) > 4) & ~w.isin(*SPAWN_STOP_WORDS)), 1, 4))
+    slim = prepared.select(
+        id_column, "category", "_key",
+        F.coalesce(F.arrays_overlap(tokens, F.array(*[F.lit(t) for t in EMERGING_TERMS])), F.lit(False)).alias("has_emerging_term"),
+        F.coalesce(picked, F.array().cast("array<string>")).alias("_picked"),
+    )
+    none = F.array().cast("array<struct<_rank:bigint,w:double>>")
+    joined = slim.join(listed, "_key", "left").withColumn("_hits", F.coalesce("_hits", none))
+    others = F.lit(float(known)) - F.size("_hits")
+    whole = F.aggregate("_hits", others, lambda acc, hit: acc + hit["w"])
+    chance = lambda w, all_weights, rank: F.struct((-F.round(w / all_weights, 3)).alias("minus"), rank.alias("_rank"))
+    places = F.sequence(F.lit(0).cast("long"), F.size("_hits") + F.lit(n - 1).cast("long"))
+    free = F.filter(F.array_except(places, F.transform("_hits", lambda hit: hit["_rank"])), lambda rank: rank < known)
+    tops = let(
+        whole,
+        lambda total: F.sort_array(
+            F.concat(
+                F.transform("_hits", lambda hit: chance(hit["w"], total, hit["_rank"])),
+                F.transform(free, lambda rank: chance(F.lit(1.0), total, rank)),
+            )
+        ),
+    )
+    return joined.withColumn("_tops", F.slice(tops, 1, n)), ranked.select("_rank", "id", "label")
+
+
 def score_novelty(
     texts: DataFrame,
     clusters: DataFrame,
@@ -27,115 +107,48 @@ def score_novelty(
     category: str = "category",
     id_column: str = ID,
 ) -> DataFrame:
-    """Affinity of each text with every cluster and the novelty decision.
+    """The cluster each text goes to and the novelty decision.
 
-    ``clusters`` has ``(id, label, keywords)``. The cluster list is attached to each
-    text as one array, so a text stays one row.
+    ``clusters`` has ``(id, label, keywords)``. Without any cluster, texts have none and are
+    judged by their terms alone. The confidence is counted in thousandths, halves of a
+    hundredth upwards. A null text is one without words; empty keywords and labels match
+    nothing.
     """
-    listed = clusters.agg(
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    "id",
-                    "label",
-                    F.lower("label").alias("low"),
-                    F.transform("keywords", F.lower).alias("keywords"),
-                )
-            )
-        ).alias("_clusters"),
-        F.array_distinct(F.flatten(F.collect_list(F.transform("keywords", F.lower)))).alias("_keywords"),
-        F.lit(1).alias("_one"),
-    )
-    prepared = texts.select(
-        id_column,
-        NARRATIVE,
-        F.lower(NARRATIVE).alias("_low"),
-        F.lower(F.coalesce(category, F.lit(""))).alias("_category"),
-        F.coalesce(category, F.lit("")).alias("category"),
-        text.latin_words(F.col(NARRATIVE)).alias("_words"),
-        F.regexp_extract_all(F.lower(NARRATIVE), F.lit(text.WORD), F.lit(0)).alias("_tokens"),
-        F.lit(1).alias("_one"),
-    )
-    # One hashed intersection per text; clusters then look only at the words in it.
-    joined = attach_small(
-        prepared, listed, ["_one"], spread=id_column, row_bytes=1_048_576
-    )
-
-    def affinity(cluster: Column, known: Column) -> Column:
-        keywords = F.aggregate(
-            cluster["keywords"],
-            F.lit(0.0),
-            lambda acc, kw: acc
-            + F.when(F.array_contains(known, kw), 3.0)
-            .when(F.contains(F.col("_low"), kw), 1.5)
-            .otherwise(0.0),
-        )
-        named = F.contains(F.col("_low"), cluster["low"]) | (
-            (F.col("_category") != "") & F.contains(cluster["low"], F.col("_category"))
-        )
-        return keywords + F.when(named, 5.0).otherwise(0.0)
-
-    scores = let(
-        F.array_intersect("_words", "_keywords"),
-        lambda known: F.transform("_clusters", lambda cluster: affinity(cluster, known)),
-    )
-    scored = joined.withColumn("_scores", scores).withColumn(
-        "_weights", F.transform("_scores", lambda s: F.exp(F.least(F.lit(8.0), s * 0.7)))
-    )
-    whole = F.aggregate("_weights", F.lit(0.0), lambda acc, w: acc + w)
-    probable = let(
-        whole,
-        lambda all_weights: F.transform(
-            F.arrays_zip("_clusters", "_weights"),
-            lambda c, i: F.struct(
-                (-F.round(c["_weights"] / all_weights, 3)).alias("minus"),
-                i.alias("place"),
-                c["_clusters"]["id"].alias("id"),
-                c["_clusters"]["label"].alias("label"),
-            ),
-        ),
-    )
-    assigned = scored.withColumn("_sorted", F.sort_array(probable))
-    best = F.get("_sorted", F.lit(0))
-    best_score = F.array_max("_scores")
-    emerging = F.arrays_overlap("_tokens", F.array(*[F.lit(t) for t in EMERGING_TERMS]))
+    scored, ranked = _scored(texts, clusters, 1, category, id_column)
+    best_score = F.coalesce("_best", F.lit(0.0))
     novelty = (
-        F.when(emerging, 0.88)
-        .when(
-            best_score >= 3.0,
-            F.greatest(F.lit(0.12), F.round(1.0 - best_score / (best_score + 4.0), 3)),
-        )
+        F.when(F.col("has_emerging_term"), 0.88)
+        .when(best_score >= 3.0, F.greatest(F.lit(0.12), F.round(1.0 - best_score / (best_score + 4.0), 3)))
         .otherwise(0.65)
     )
-    picked = F.slice(
-        F.filter("_words", lambda w: (F.length(w) > 4) & ~w.isin(*SPAWN_STOP_WORDS)), 1, 4
-    )
-    spawn = F.when(F.size(picked) > 0, picked).otherwise(F.array(*[F.lit(k) for k in SPAWN_KEYWORDS]))
-    return assigned.select(
+    spawn = F.when(F.size("_picked") > 0, F.col("_picked")).otherwise(F.array(*[F.lit(k) for k in SPAWN_KEYWORDS]))
+    best = F.get("_tops", F.lit(0))
+    found = scored.select(
+        id_column, best["_rank"].alias("_rank"), (-best["minus"]).alias("probability"), novelty.alias("novelty_score"),
+        "has_emerging_term", spawn.alias("spawn_keywords"), "category",
+    )
+    thousandths = F.least(F.lit(980), F.round(F.col("probability") * 1000).cast("int") + 450)
+    joined = attach_small(found, ranked, ["_rank"], spread=id_column, how="left", row_bytes=128)
+    return joined.select(
         id_column,
-        best["id"].alias("assigned_cluster"),
-        best["label"].alias("assigned_label"),
-        (-best["minus"]).alias("probability"),
-        novelty.alias("novelty_score"),
-        (novelty >= threshold).alias("is_novel"),
-        F.round(F.least(F.lit(0.98), -best["minus"] + 0.45), 2).alias("familiar_confidence"),
-        emerging.alias("has_emerging_term"),
-        spawn.alias("spawn_keywords"),
+        F.col("id").alias("assigned_cluster"),
+        F.col("label").alias("assigned_label"),
+        "probability",
+        "novelty_score",
+        (F.col("novelty_score") >= threshold).alias("is_novel"),
+        (F.floor((thousandths + 5) / 10) / 100).alias("familiar_confidence"),
+        "has_emerging_term",
+        "spawn_keywords",
         "category",
-        F.transform(
-            "_sorted",
-            lambda s: F.struct(s["id"].alias("id"), s["label"].alias("label"), (-s["minus"]).alias("probability")),
-        ).alias("assignments"),
     )
 
 
-def top_assignments(scored: DataFrame, n: int = 3, id_column: str = ID) -> DataFrame:
+def top_assignments(
+    texts: DataFrame, clusters: DataFrame, n: int = 3, category: str = "category", id_column: str = ID
+) -> DataFrame:
     """``(id, place, cluster, probability)``: the most probable clusters of each text."""
-    return scored.select(
-        id_column, F.posexplode(F.slice("assignments", 1, n)).alias("place", "a")
-    ).select(
-        id_column,
-        (F.col("place") + 1).alias("place"),
-        F.col("a.id").alias("cluster"),
-        F.col("a.probability").alias("probability"),
-    )
+    scored, ranked = _scored(texts, clusters, n, category, id_column)
+    rows = scored.select(id_column, F.posexplode("_tops").alias("place", "a"))
+    rows = rows.select(id_column, (F.col("place") + 1).alias("place"), F.col("a._rank").alias("_rank"), (-F.col("a.minus")).alias("probability"))
+    joined = attach_small(rows, ranked, ["_rank"], spread=id_column, row_bytes=128)
+    return joined.select(id_column, "place", F.col("id").alias("cluster"), "probability")

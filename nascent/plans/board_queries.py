@@ -183,11 +183,11 @@ views.define(
 )
 
 
-def _novelty(spark, sf_dir):
+def _novelty_input(spark, sf_dir):
     texts = dashboard.labelled_by_product(views.panel(spark, sf_dir, spread=True)).select(
         ID, NARRATIVE, F.col("label").alias("category")
     )
-    return novelty.score_novelty(texts, settle(_clusters(spark, sf_dir)))
+    return settle(texts), settle(_clusters(spark, sf_dir))
 
 
 @register(
@@ -195,7 +195,7 @@ def _novelty(spark, sf_dir):
     using(
         "probable",
         select=f"""SELECT complaint_id, assigned_cluster, probability, novelty_score, novelty_score >= 0.55 AS is_novel,
-  round(least(0.98, probability + 0.45), 2) AS familiar_confidence, spawn_keywords
+  floor((least(980, CAST(round(probability * 1000) AS INTEGER) + 450) + 5) / 10) / 100 AS familiar_confidence, spawn_keywords
 FROM (SELECT *, CASE WHEN emerging THEN 0.88 WHEN best >= 3 THEN greatest(0.12, round(1 - best / (best + 4), 3)) ELSE 0.65 END AS novelty_score
   FROM (SELECT complaint_id, arg_min(cid, cid - p * 1000000) AS assigned_cluster, max(p) AS probability, CAST(max(best) AS DOUBLE) AS best,
     list_has_any(any_value(tokens), [{_EMERGING}]) AS emerging,
@@ -206,7 +206,7 @@ FROM (SELECT *, CASE WHEN emerging THEN 0.88 WHEN best >= 3 THEN greatest(0.12,
     ),
 )
 def live_novelty(spark, sf_dir):
-    return _novelty(spark, sf_dir).select(
+    return novelty.score_novelty(*_novelty_input(spark, sf_dir)).select(
         ID,
         "assigned_cluster",
         "probability",
@@ -226,4 +226,4 @@ def live_novelty(spark, sf_dir):
     ),
 )
 def top3_assignments(spark, sf_dir):
-    return novelty.top_assignments(_novelty(spark, sf_dir), 3)
+    return novelty.top_assignments(*_novelty_input(spark, sf_dir), 3)

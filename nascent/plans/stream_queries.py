@@ -9,7 +9,7 @@ from nascent.operators import dashboard, novelty
 from nascent.operators.panel import ID, NARRATIVE, WINDOW
 from nascent.plans import board_queries, views
 from nascent.plans.registry import register
-from nascent.plans.views import using
+from nascent.plans.views import quoted, using
 from nascent.session import scratch_path, settle
 from nascent.streaming import flows
 
@@ -73,25 +73,48 @@ def stream_novelty(spark, sf_dir):
     source = F.substring("product", 4, 9).cast("int") % len(views.PRODUCT_NAMES)
     texts = _complaint_stream(spark, sf_dir).where(F.col(NARRATIVE).rlike(r"^\s*+(?:\S++\s++){9}\S"))
     texts = dashboard.labelled_by_product(texts.withColumn("product", F.get(names, source)))
-    scored = flows.novelty_scores(texts.withColumnRenamed("label", "category"), clusters)
-    query = (
-        scored.select(ID, "assigned_cluster", "probability")
-        .writeStream.format("parquet")
-        .option("path", f"{folder}/scored")
-        .option("checkpointLocation", f"{folder}/progress")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return spark.read.parquet(f"{folder}/scored")
+    flows.score_stream(texts.withColumnRenamed("label", "category"), clusters, folder).awaitTermination()
+    return spark.read.parquet(f"{folder}/scored").select(ID, "assigned_cluster", "probability")
+
+
+_WORDS = f"list_filter(list_filter(tokens, lambda w: regexp_full_match(w, '[a-zA-Z]{{3,}}')), lambda w: length(w) > 4 AND NOT list_contains([{quoted(novelty.SPAWN_STOP_WORDS)}], w))"
+views.define(
+    "live_judged",
+    ["board_clusters"],
+    rf"""SELECT id, emerging, words, arg_min(cid, cid - p * 1000000) AS cid, emerging OR max(score) < 3 OR greatest(0.12, round(1 - max(score) / (max(score) + 4), 3)) >= 0.55 AS is_novel
+FROM (SELECT *, round(w / sum(w) OVER (PARTITION BY id), 3) AS p
+  FROM (SELECT id, cid, emerging, words, score, exp(least(8.0, 0.7 * score)) AS w
+    FROM (SELECT t.id, c.id AS cid, list_has_any(tokens, [{quoted(novelty.EMERGING_TERMS)}]) AS emerging, {_WORDS} AS words,
+      list_sum(list_transform(c.keywords, lambda k: CASE WHEN regexp_full_match(lower(k), '[a-zA-Z]{{3,}}') AND list_contains(tokens, lower(k)) THEN 3.0
+        WHEN contains(low, lower(k)) THEN 1.5 ELSE 0.0 END)) + CASE WHEN contains(low, lower(c.label)) THEN 5.0 ELSE 0.0 END AS score
+    FROM (SELECT doc_id AS id, lower(coalesce(text, '')) AS low, regexp_extract_all(lower(coalesce(text, '')), '[\p{{L}}\p{{N}}_]+') AS tokens FROM documents) t, board_clusters c)))
+GROUP BY 1, 2, 3""",
+)
+views.define(
+    "live_opened",
+    ["live_judged"],
+    f"""SELECT list_sort(keywords) AS same, kind, min(id) AS first, count(*) AS n, arg_min(keywords, id) AS keywords
+FROM (SELECT id, CASE WHEN emerging THEN 'Emergent: Novel Fraud Pattern' ELSE 'Emergent Cluster #' END AS kind,
+  CASE WHEN len(words) > 0 THEN words[1:4] ELSE [{quoted(novelty.SPAWN_KEYWORDS)}] END AS keywords FROM live_judged WHERE is_novel) GROUP BY 1, 2""",
+)
 
 
-@register("spawn_clusters")
+@register(
+    "spawn_clusters",
+    using(
+        "live_opened",
+        select="""SELECT id, label, n + (SELECT count(*) FROM live_judged WHERE NOT is_novel AND cid = c.id) AS count, array_to_string(keywords, ' ') AS keywords
+FROM board_clusters c
+UNION ALL
+SELECT CAST(id AS INTEGER), CASE WHEN kind = 'Emergent Cluster #' THEN kind || (id + 1) ELSE kind END, n, array_to_string(keywords, ' ')
+FROM (SELECT *, (SELECT count(*) FROM board_clusters) + row_number() OVER (ORDER BY first) - 1 AS id FROM live_opened)""",
+    ),
+)
 def spawn_clusters(spark, sf_dir):
     folder = scratch_path(spark, "live")
     flows.start_clusters(board_queries._clusters(spark, sf_dir), folder)
     texts = _complaint_stream(spark, sf_dir).withColumn("category", F.lit(""))
-    flows.live_clusters(texts.select(ID, NARRATIVE, "category"), folder, novelty.NOVEL_AT).awaitTermination()
+    flows.live_clusters(texts.select(ID, NARRATIVE, "category"), folder, novelty.NOVEL_AT)
     state = flows.live_state(spark, folder)
     return state.select("id", "label", "count", F.array_join("keywords", " ").alias("keywords"))
 

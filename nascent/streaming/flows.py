@@ -10,9 +10,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from nascent.functions import text
 from nascent.learning import clustering
@@ -23,7 +25,7 @@ from nascent.operators.clusters import LOCAL
 from nascent.operators.linking import link_clusters
 from nascent.operators.numbering import number_rows
 from nascent.operators.panel import ID, NARRATIVE, WINDOW
-from nascent.session import path_exists, settle
+from nascent.session import attach_small, path_exists, settle
 
 BATCH = "batch"
 
@@ -93,94 +95,172 @@ def current_volume(spark: SparkSession, folder: str, keys: list[str]) -> DataFra
 
 # --- live novelty ---------------------------------------------------------------------------
 
+_NUMBERED = "Emergent Cluster #"
+_KEY = "_set string, _kind string"
+_SEPARATOR = "\u0001"
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
-def novelty_scores(stream: DataFrame, clusters: DataFrame, threshold: float = novelty.NOVEL_AT) -> DataFrame:
-    """Score a stream of texts against a fixed set of clusters; no state."""
-    return novelty.score_novelty(stream, clusters, threshold)
 
+def _once(spark: SparkSession, path: str, write: Callable[[], None]) -> None:
+    """Write unless an earlier try of this batch has done so completely."""
+    if not path_exists(spark, f"{path}/_SUCCESS"):
+        write()
 
-def _latest(spark: SparkSession, path: str, before: int) -> DataFrame | None:
-    """State written by the last batch below ``before``; batch -1 is the start."""
-    stored = spark.read.parquet(path).where(F.col(BATCH) < before)
-    last = stored.agg(F.max(BATCH)).first()[0]
-    return None if last is None else stored.where(F.col(BATCH) == last).drop(BATCH)
+
+def score_stream(
+    stream: DataFrame, clusters: DataFrame, folder: str, threshold: float = novelty.NOVEL_AT
+) -> StreamingQuery:
+    """Score a stream of texts against a fixed set of clusters, into ``folder/scored``."""
+
+    def handle(batch: DataFrame, number: int) -> None:
+        path = f"{folder}/scored/{BATCH}={number}"
+        scored = lambda: novelty.score_novelty(settle(batch), clusters, threshold)
+        _once(batch.sparkSession, path, lambda: scored().write.mode("overwrite").parquet(path))
+
+    return _start(stream, handle, folder)
 
 
 def start_clusters(clusters: DataFrame, folder: str) -> None:
     """Store the known clusters ``(id, label, count, keywords)`` a live run starts from."""
-    clusters.select("id", "label", "count", "keywords").write.mode("overwrite").parquet(
-        f"{folder}/clusters/{BATCH}=-1"
-    )
+    clusters.select("id", "label", "count", "keywords").write.mode("overwrite").parquet(f"{folder}/clusters")
 
 
-def absorb(scored: DataFrame, clusters: DataFrame, id_column: str = ID) -> tuple[DataFrame, DataFrame]:
-    """New cluster table and the placement of each text.
+def place_texts(stream: DataFrame, folder: str, threshold: float = novelty.NOVEL_AT, id_column: str = ID) -> StreamingQuery:
+    """Judge each text by the clusters the run started from; call :func:`start_clusters` first.
 
-    Familiar texts raise the count of their cluster. Novel texts with the same keywords,
-    and the same category where it makes the label, share one cluster: the one opened for
-    them before, or a new one. So the clusters do not depend on how texts are cut into
-    batches. New ids continue from the number of clusters, in order of each cluster's first
-    text.
+    Familiar texts go to their cluster. Novel ones are summed per set of keywords and kind of
+    label for :func:`grow_clusters`, so that a set with very many texts is one row a batch.
+    Texts without an id are left out.
     """
-    known = clusters.count()
-    named = F.concat(
-        F.lit("Emergent: "), F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("Novel Fraud Pattern"))
-    )
-    numbered = "Emergent Cluster #"
-    kind = F.when(F.col("has_emerging_term"), named).otherwise(numbered)
-    joined = scored.withColumn("_set", F.array_sort("spawn_keywords")).withColumn("_kind", kind)
-    fresh = joined.where("is_novel")
-    groups = fresh.groupBy("_set", "_kind").agg(
-        F.min(id_column).alias("_first"),
-        F.min_by("spawn_keywords", id_column).alias("keywords"),
-        F.count("*").alias("_texts"),
-    )
-    own_kind = F.when(F.col("label").startswith(numbered), F.lit(numbered)).otherwise(F.col("label"))
-    before = clusters.groupBy(F.array_sort("keywords").alias("_set"), own_kind.alias("_kind")).agg(F.min("id").alias("_old"))
-    groups = settle(groups.join(before, ["_set", "_kind"], "left"))
-    opened = settle(number_rows(groups.where("_old is null"), ["_first"], "_new", known))
-    label = F.when(F.col("_kind") == numbered, F.concat("_kind", (F.col("_new") + 1).cast("string"))).otherwise(F.col("_kind"))
-    spawned = opened.select(
-        F.col("_new").cast("int").alias("id"), label.alias("label"), F.col("_texts").alias("count"), "keywords"
-    )
-    familiar = joined.where(~F.col("is_novel"))
-    added = familiar.select(F.col("assigned_cluster").cast("int").alias("id"), F.lit(1).cast("long").alias("n"))
-    added = added.unionByName(groups.where("_old is not null").select(F.col("_old").cast("int").alias("id"), F.col("_texts").alias("n")))
-    added = added.groupBy("id").agg(F.sum("n").alias("_more"))
-    grown = clusters.join(added, "id", "left").select(
-        "id", "label", (F.col("count") + F.coalesce("_more", F.lit(0))).alias("count"), "keywords"
-    )
-    homes = opened.select("_set", "_kind", F.col("_new").cast("int").alias("cluster_id")).unionByName(
-        groups.where("_old is not null").select("_set", "_kind", F.col("_old").cast("int").alias("cluster_id"))
-    )
-    placed = familiar.select(
-        id_column, F.col("assigned_cluster").cast("int").alias("cluster_id"), F.lit(False).alias("is_novel")
-    ).unionByName(fresh.join(homes, ["_set", "_kind"]).select(id_column, "cluster_id", F.lit(True).alias("is_novel")))
-    return grown.unionByName(spawned), placed
 
+    def handle(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        placed, novel = f"{folder}/placed/{BATCH}={number}", f"{folder}/novel/{BATCH}={number}"
+
+        def place() -> None:
+            known = spark.read.parquet(f"{folder}/clusters")
+            scored = novelty.score_novelty(settle(batch.where(F.col(id_column).isNotNull())), known, threshold)
+            named = F.concat(F.lit("Emergent: "), F.coalesce(F.nullif(F.col("category"), F.lit("")), F.lit("Novel Fraud Pattern")))
+            scored.select(
+                id_column,
+                "is_novel",
+                F.col("assigned_cluster").cast("int").alias("cluster_id"),
+                "spawn_keywords",
+                F.array_join(F.array_sort("spawn_keywords"), _SEPARATOR).alias("_set"),
+                F.when(F.col("has_emerging_term"), named).otherwise(_NUMBERED).alias("_kind"),
+            ).write.mode("overwrite").parquet(placed)
+
+        def sum_up() -> None:
+            fresh = spark.read.parquet(placed).where("is_novel")
+            fresh.groupBy("_set", "_kind").agg(
+                F.min(id_column).alias("first"), F.count("*").alias("texts"), F.min_by("spawn_keywords", id_column).alias("keywords")
+            ).write.mode("overwrite").parquet(novel)
+
+        _once(spark, placed, place)
+        _once(spark, novel, sum_up)
+
+    return _start(stream, handle, folder)
+
+
+class _Cluster(StatefulProcessor):
+    """State of one cluster of novel texts: its first text, that one's keywords, and how many."""
+
+    def __init__(self, id_type: str):
+        self._schema = f"first {id_type}, texts long, keywords array<string>"
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("cluster", self._schema)
 
-def live_clusters(stream: DataFrame, folder: str, threshold: float = novelty.NOVEL_AT) -> StreamingQuery:
-    """Merge familiar texts into the known clusters and open clusters for novel ones.
+    def handleInputRows(self, key, rows, timerValues):
+        first, texts, keywords = self._state.get() if self._state.exists() else (None, 0, None)
+        for frame in rows:
+            for new in frame.itertuples(index=False):
+                if first is None or new.first < first:
+                    first, keywords = new.first, [str(word) for word in new.keywords]
+                texts += int(new.texts)
+        first = first if isinstance(first, str) else int(first)
+        self._state.update((first, texts, list(keywords)))
+        yield pd.DataFrame({"_set": [key[0]], "_kind": [key[1]], "first": [first], "texts": [texts], "keywords": [list(keywords)]})
 
-    Call :func:`start_clusters` first. The texts of one batch are judged by the clusters
-    known before the batch.
+    def close(self) -> None:
+        pass
+
+
+def grow_clusters(spark: SparkSession, folder: str) -> StreamingQuery:
+    """Open and grow clusters of novel texts, one state for each set of keywords and kind.
+
+    Only the clusters that a batch touches are written. The state lives in the checkpoint
+    below ``folder``, so a run that starts again goes on from it. RocksDB holds it, whatever
+    the session's own choice is.
     """
+    placed = spark.read.parquet(f"{folder}/novel")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.drop(BATCH).schema)
+    id_type = placed.schema["first"].dataType.simpleString()
+    novel = spark.readStream.schema(f"{fields}, {BATCH} long").parquet(f"{folder}/novel").drop(BATCH)
+    out = f"{_KEY}, first {id_type}, texts long, keywords array<string>"
+    grown = novel.groupBy("_set", "_kind").transformWithStateInPandas(_Cluster(id_type), out, "Update", "None")
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        known = _latest(spark, f"{folder}/clusters", number)
-        scored = settle(novelty.score_novelty(batch, known, threshold))
-        updated, placed = absorb(scored, known)
-        updated.write.mode("overwrite").parquet(f"{folder}/clusters/{BATCH}={number}")
-        placed.write.mode("overwrite").parquet(f"{folder}/placed/{BATCH}={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/grown/{BATCH}={number}")
+
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, _ROCKS)
+    try:
+        # A query keeps the settings it is started with.
+        return _start(grown, handle, f"{folder}/growth", "update")
+    finally:
+        spark.conf.set(provider, before)
+
+
+def live_clusters(stream: DataFrame, folder: str, threshold: float = novelty.NOVEL_AT) -> None:
+    """Place all texts that are there, then grow the clusters of the novel ones."""
+    place_texts(stream, folder, threshold).awaitTermination()
+    grow_clusters(stream.sparkSession, folder).awaitTermination()
 
-    return _start(stream, handle, folder)
+
+def _homes(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """The clusters the run started from, and all others ``(_set, _kind, cluster_id, opened, ...)``.
+
+    Numbers go on from those at the start, in order of each cluster's first text. Novel texts
+    with the keywords and label of a cluster known at the start belong to that one.
+    """
+    known = spark.read.parquet(f"{folder}/clusters")
+    kind = F.when(F.col("label").startswith(_NUMBERED), F.lit(_NUMBERED)).otherwise(F.col("label"))
+    same = known.select(F.array_join(F.array_sort("keywords"), _SEPARATOR).alias("_set"), kind.alias("_kind"), "id")
+    same = same.groupBy("_set", "_kind").agg(F.min("id").cast("int").alias("_old"))
+    now = F.max_by(F.struct("first", "texts", "keywords"), BATCH).alias("now")
+    groups = spark.read.parquet(f"{folder}/grown").groupBy("_set", "_kind").agg(now).select("_set", "_kind", "now.*")
+    groups = settle(groups.join(same, ["_set", "_kind"], "left"))
+    opened = number_rows(groups.where("_old is null"), ["first"], "_new", known.count())
+    old = groups.where("_old is not null").withColumn("cluster_id", F.col("_old"))
+    both = opened.withColumn("cluster_id", F.col("_new").cast("int")).drop("_new").unionByName(old)
+    return known, settle(both)
 
 
 def live_state(spark: SparkSession, folder: str) -> DataFrame:
-    stored = spark.read.parquet(f"{folder}/clusters")
-    last = stored.agg(F.max(BATCH)).first()[0]
-    return stored.where(F.col(BATCH) == last).drop(BATCH)
+    """``(id, label, count, keywords)`` of all clusters, known and opened."""
+    known, homes = _homes(spark, folder)
+    label = F.when(F.col("_kind") == _NUMBERED, F.concat("_kind", (F.col("cluster_id") + 1).cast("string"))).otherwise(F.col("_kind"))
+    opened = homes.where("_old is null").select(F.col("cluster_id").alias("id"), label.alias("label"), F.col("texts").alias("count"), "keywords")
+    familiar = spark.read.parquet(f"{folder}/placed").where(~F.col("is_novel")).groupBy(F.col("cluster_id").alias("id"))
+    more = familiar.agg(F.count("*").alias("n")).unionByName(
+        homes.where("_old is not null").select(F.col("_old").alias("id"), F.col("texts").alias("n"))
+    )
+    more = more.groupBy("id").agg(F.sum("n").alias("_more"))
+    total = F.col("count") + F.coalesce("_more", F.lit(0))
+    grown = known.withColumn("id", F.col("id").cast("int")).join(more, "id", "left").select("id", "label", total.alias("count"), "keywords")
+    return grown.unionByName(opened)
+
+
+def live_places(spark: SparkSession, folder: str, id_column: str = ID) -> DataFrame:
+    """``(id, cluster_id, is_novel)`` of all texts seen."""
+    _, homes = _homes(spark, folder)
+    placed = spark.read.parquet(f"{folder}/placed")
+    familiar = placed.where(~F.col("is_novel")).select(id_column, "cluster_id", "is_novel")
+    fresh = placed.where("is_novel").drop("cluster_id")
+    found = attach_small(fresh, homes.select("_set", "_kind", "cluster_id"), ["_set", "_kind"], spread=id_column)
+    return familiar.unionByName(found.select(id_column, "cluster_id", "is_novel"))
 
 
 # --- window-by-window clustering -------------------------------------------------------------------

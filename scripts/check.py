@@ -11,7 +11,7 @@ from nascent.session import build_session
 
 sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
 names = sys.argv[2:] or list(catalog.QUERIES)
-spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g")
+spark = build_session("check", "local[8]", spark__sql__shuffle__partitions="8", spark__driver__memory="16g", spark__ui__showConsoleProgress="false")
 spark.sparkContext.setLogLevel("ERROR")
 con = checking.connect(sf_dir)
 bad = 0

@@ -1,6 +1,11 @@
+import math
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from nascent.operators import casework, dashboard, novelty, terms
+from nascent.operators.containment import contained
 from nascent.operators.panel import NARRATIVE
 
 
@@ -50,10 +55,13 @@ def test_false_alarms(spark):
 CLUSTERS = [(0, "Mortgage", ["escrow", "servicer"]), (1, "Credit Card", ["charge", "statement"])]
 
 
+def novelty_input(spark, rows, clusters=CLUSTERS):
+    known = spark.createDataFrame(clusters, "id int, label string, keywords array<string>")
+    return spark.createDataFrame(rows, f"complaint_id long, {NARRATIVE} string, category string"), known
+
+
 def scored(spark, rows):
-    clusters = spark.createDataFrame(CLUSTERS, "id int, label string, keywords array<string>")
-    texts = spark.createDataFrame(rows, f"complaint_id long, {NARRATIVE} string, category string")
-    return novelty.score_novelty(texts, clusters)
+    return novelty.score_novelty(*novelty_input(spark, rows))
 
 
 def test_novelty_rules(spark):
@@ -70,13 +78,57 @@ def test_novelty_rules(spark):
     assert (got[2].novelty_score, got[2].is_novel) == (0.571, True)
     assert (got[3].assigned_cluster, got[3].novelty_score) == (1, 0.65)
     assert got[4].novelty_score == 0.88 and got[4].has_emerging_term
-    assert got[5].assignments[0].probability == 0.5 and got[5].assigned_cluster == 0
+    assert got[5].probability == 0.5 and got[5].assigned_cluster == 0 and got[5].familiar_confidence == 0.95
     assert (got[6].assigned_cluster, got[6].is_novel) == (0, False)
     assert got[5].spawn_keywords == ["plain"] and got[4].spawn_keywords == novelty.SPAWN_KEYWORDS
-    top = novelty.top_assignments(scored(spark, rows), 1)
+    top = novelty.top_assignments(*novelty_input(spark, rows), 1)
     assert top.count() == len(rows)
 
 
+def test_novelty_equals_every_text_against_every_cluster(spark):
+    rng = random.Random(11)
+    stems = ["loan", "loans", "card", "debit card", "ai", "x", "mortgage", "été", "credit", "edit", "re", ""]
+    clusters = [(i * 3, rng.choice(["Loan", "Card Fees", "Credit", "été", "Misc"]), rng.choices(stems[:-1], k=rng.randrange(4))) for i in range(9)]
+    rows = [(i, " ".join(rng.choices([*stems, "😀loan", "Cards", "voice"], k=rng.randrange(7))), rng.choice(["", "Loan", "fees", None])) for i in range(60)]
+    rows += [(60, None, "loan"), (61, rows[0][1], rows[0][2]), (61, rows[0][1], rows[0][2])]
+    got = {}
+    for r in novelty.top_assignments(*novelty_input(spark, rows, clusters), 4).collect():
+        got.setdefault(r.complaint_id, {})[r.place] = (r.cluster, r.probability)
+    best = {r.complaint_id: r for r in novelty.score_novelty(*novelty_input(spark, rows, clusters)).collect()}
+    for key, body, category in rows:
+        low = (body or "").lower()
+        words = {w for w in re.findall(r"\w+", low) if re.fullmatch("[a-z]{3,}", w)}
+        scores = []
+        for number, label, keywords in clusters:
+            score = sum(3.0 if k in words else 1.5 if k in low else 0.0 for k in keywords)
+            scores.append(score + 5.0 * (label.lower() in low or bool(category) and category.lower() in label.lower()))
+        weights = [math.exp(min(8.0, 0.7 * s)) for s in scores]
+        ranked = sorted((-round(w / sum(weights), 3), number) for w, (number, _, _) in zip(weights, clusters))[:4]
+        assert [(c, p) for _, (c, p) in sorted(got[key].items())] == [(c, -p) for p, c in ranked], (body, category)
+        top = max(scores)
+        want = max(0.12, round(1 - top / (top + 4), 3)) if top >= 3 else 0.65
+        assert best[key].novelty_score == (0.88 if set(re.findall(r"\w+", low)) & set(novelty.EMERGING_TERMS) else want)
+
+
+def test_novelty_without_clusters_or_texts(spark):
+    row = novelty.score_novelty(*novelty_input(spark, [(1, "plain text", "")], [])).first()
+    assert (row.assigned_cluster, row.probability, row.novelty_score) == (None, None, 0.65)
+    assert novelty.score_novelty(*novelty_input(spark, [])).count() == 0
+    assert novelty.top_assignments(*novelty_input(spark, [(1, "plain text", "")], [])).count() == 0
+
+
+def test_patterns_inside_texts(spark):
+    rng = random.Random(3)
+    texts = [(i % 40, "".join(rng.choices("abcd \n😀", k=rng.randrange(60)))) for i in range(50)] + [(99, None), (98, ""), (97, "abab" * 3000 + "dcba")]
+    patterns = [("".join(rng.choices("abcd 😀", k=rng.randrange(10))),) for _ in range(150)] + [(None,), ("",), ("dcba",), ("abababababab",)]
+    found = contained(
+        spark.createDataFrame(texts, "k int, t string"), "k", F.col("t"), spark.createDataFrame(patterns, "p string"), "p"
+    )
+    want = {(k, p) for k, t in texts for (p,) in patterns if t and p and p in t}
+    rows = [tuple(r) for r in found.collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+
+
 def test_point_filters(spark):
     points = spark.createDataFrame(
         [("a", 0, 0.1, ("Mortgage Dispute", "fees", None, "text")), ("b", 1, 0.9, ("Card Dispute", None, "late", "other"))],

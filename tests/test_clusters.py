@@ -73,7 +73,7 @@ def test_empty_clusters_are_zero(spark):
     assert rows == {0: [1.0, 2.0], 1: [0.0, 0.0], 2: [3.0, 4.0]}
 
 
-def test_short_series_repeat_the_first_step_and_long_ones_keep_the_last(spark):
+def test_short_series_repeat_the_first_step_and_long_ones_keep_all_or_the_last(spark):
     rows = []
     for cluster, length in ((0, 1), (1, 2), (2, 30)):
         rows += [(cluster, f"w{s:02d}", s, length, "w01", float(s), 0.0, 0.0, 0.0) for s in range(1, length + 1)]
@@ -82,7 +82,9 @@ def test_short_series_repeat_the_first_step_and_long_ones_keep_the_last(spark):
         + ", ".join(f"{f} double" for f in FEATURES)
     )
     got = {r.global_cluster: [s[0] for s in r.sequence] for r in trajectory.padded_sequences(df).collect()}
-    assert got == {0: [1.0] * 3, 1: [1.0, 1.0, 2.0], 2: [float(s) for s in range(7, 31)]}
+    assert got == {0: [1.0] * 3, 1: [1.0, 1.0, 2.0], 2: [float(s) for s in range(1, 31)]}
+    recent = {r.global_cluster: [s[0] for s in r.sequence] for r in trajectory.padded_sequences(df, max_steps=24).collect()}
+    assert recent == {**got, 2: [float(s) for s in range(7, 31)]}
     assert {r.global_cluster for r in trajectory.settled_clusters(df).collect()} == {2}
     young = df.where("global_cluster < 2")
     assert {r.global_cluster for r in trajectory.settled_clusters(young).collect()} == {0}

@@ -47,15 +47,15 @@ def test_live_clusters_grow_and_spawn_in_order(spark, tmp_path):
     first = [(1, "escrow servicer again", ""), (2, "bitcoin kiosk trouble", "Crypto"), (3, "unknown matter entirely", "")]
     spark.createDataFrame(first, columns).coalesce(1).write.mode("append").parquet(source)
     stream = spark.readStream.schema(columns).parquet(source)
-    flows.live_clusters(stream, folder).awaitTermination()
+    flows.live_clusters(stream, folder)
     state = {r.id: r for r in flows.live_state(spark, folder).collect()}
     assert state[0]["count"] == 6 and state[1].label == "Emergent: Crypto" and state[2].label == "Emergent Cluster #3"
     # A later batch meets the clusters the first one opened.
     spark.createDataFrame([(4, "unknown matter entirely", "")], columns).coalesce(1).write.mode("append").parquet(source)
-    flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder).awaitTermination()
+    flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder)
     state = {r.id: r for r in flows.live_state(spark, folder).collect()}
     assert len(state) == 3 and state[2]["count"] == 2
-    placed = {r.complaint_id: r.cluster_id for r in spark.read.parquet(f"{folder}/placed").collect()}
+    placed = {r.complaint_id: r.cluster_id for r in flows.live_places(spark, folder).collect()}
     assert placed == {1: 0, 2: 1, 3: 2, 4: 2}
 
 
@@ -102,17 +102,51 @@ def test_small_and_late_windows_lose_no_row(spark, tmp_path):
     assert {r.complaint_id: r.window_id for r in done} == {row[0]: row[1] for rows in batches for row in rows}
 
 
-def test_equal_texts_open_one_cluster_however_they_are_delivered(spark, tmp_path):
-    known = spark.createDataFrame([(0, "Mortgage", 5, ["escrow", "servicer"])], "id int, label string, count long, keywords array<string>")
+def test_one_or_many_batches_and_restarts_give_the_same_clusters(spark, tmp_path):
+    known = spark.createDataFrame(
+        [(0, "Mortgage", 5, ["escrow", "servicer"]), (1, "Emergent: Crypto", 1, ["trouble", "kiosk", "bitcoin"])],
+        "id int, label string, count long, keywords array<string>",
+    )
     columns = f"complaint_id long, {NARRATIVE} string, category string"
-    texts = [(i, "strange kiosk swallowed banknotes", "") for i in range(1, 6)] + [(6, "bitcoin kiosk trouble", "Crypto"), (7, "bitcoin kiosk trouble", "Crypto")]
+    texts = [(i, "strange kiosk swallowed banknotes", "") for i in (9, 2, 5)]
+    texts += [(6, "bitcoin kiosk trouble", "Crypto"), (7, "escrow servicer again", ""), (8, None, None), (None, "no id", "")]
+    texts += [(3, "swallowed banknotes, strange kiosk", ""), (4, "bitcoin kiosk trouble", "Wallets")]
     states = []
-    for name, batches in (("one", [texts]), ("many", [[t] for t in texts])):
+    for name, batches in (("one", [texts]), ("restarted", [texts[:4], texts[4:]]), ("files", [texts[:2], texts[2:7], texts[7:]])):
         source, folder = str(tmp_path / f"in-{name}"), str(tmp_path / name)
         flows.start_clusters(known, folder)
         for rows in batches:
             spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
-            flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder).awaitTermination()
-        states.append(sorted((r.id, r.label, r["count"]) for r in flows.live_state(spark, folder).collect()))
-    assert states[0] == states[1]
-    assert [count for _, _, count in states[0]] == [5, 5, 2]
+            if name != "files":
+                flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder)
+        if name == "files":
+            stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(source)
+            flows.live_clusters(stream, folder)
+            assert spark.read.parquet(f"{folder}/placed").select("batch").distinct().count() == 3
+        state = sorted((r.id, r.label, r["count"], tuple(r.keywords)) for r in flows.live_state(spark, folder).collect())
+        places = sorted((r.complaint_id, r.cluster_id) for r in flows.live_places(spark, folder).collect())
+        states.append((state, places))
+    assert states[0] == states[1] == states[2]
+    state, places = states[0]
+    assert [(i, label, n) for i, label, n, _ in state] == [
+        (0, "Mortgage", 6), (1, "Emergent: Crypto", 2), (2, "Emergent: Novel Fraud Pattern", 4), (3, "Emergent: Wallets", 1), (4, "Emergent Cluster #5", 1)
+    ]
+    # The keywords are those of the first text by id.
+    assert state[2][3] == ("strange", "kiosk", "swallowed", "banknotes")
+    assert places == [(2, 2), (3, 2), (4, 3), (5, 2), (6, 1), (7, 0), (8, 4), (9, 2)]
+
+
+def test_a_batch_tried_again_counts_once(spark, tmp_path):
+    known = spark.createDataFrame([(0, "Mortgage", 5, ["escrow"])], "id int, label string, count long, keywords array<string>")
+    columns = f"complaint_id long, {NARRATIVE} string, category string"
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    flows.start_clusters(known, folder)
+    spark.createDataFrame([(1, "unknown matter entirely", "")], columns).coalesce(1).write.parquet(source)
+    flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder)
+    # The placing query lost its last commit: its first batch is run again on restart.
+    import shutil
+
+    shutil.move(f"{folder}/progress/commits/0", str(tmp_path / "lost"))
+    (tmp_path / "out/progress/commits/.0.crc").unlink(missing_ok=True)
+    flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder)
+    assert [(r.id, r["count"]) for r in flows.live_state(spark, folder).orderBy("id").collect()] == [(0, 5), (1, 1)]
