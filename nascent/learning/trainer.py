@@ -37,7 +37,9 @@ def make_shards(df: DataFrame, id_column: str, shards: int | None = None) -> Dat
     """
     shards = shards or shards_for(df.count())
     rest = [c for c in df.columns if c != id_column]
-    return fix_partitions(df.select(id_column, *rest).repartition(shards, id_column))
+    # In order, so that seeds drawn from the rows do not depend on how the rows came.
+    dealt = df.select(id_column, *rest).repartition(shards, id_column)
+    return fix_partitions(dealt.sortWithinPartitions(id_column))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

@@ -122,13 +122,17 @@ def spawn_clusters(spark, sf_dir):
 @register("stream_windows")
 def stream_windows(spark, sf_dir):
     folder = scratch_path(spark, "windows")
-    quarter = F.ceil((F.col("vec_id") % 12 + 1) / 3).cast("string")
+    month = (F.col("vec_id") % 12 + 1).cast("int")
+    quarter = F.ceil(month / 3).cast("int")
+    start = F.make_date(F.lit(2024), (quarter - 1) * 3 + 1, F.lit(1))
     vectors = _stream(spark, sf_dir, "embeddings").select(
         F.col("vec_id").alias(ID),
-        F.concat(F.lit("2024Q"), quarter).alias(WINDOW),
+        F.concat(F.lit("2024Q"), quarter.cast("string")).alias(WINDOW),
         F.col("embedding").cast("array<double>").alias("vector"),
+        F.make_date(F.lit(2024), month, F.lit(15)).cast("timestamp").alias(flows.EVENT_TIME),
+        F.add_months(start, 3).cast("timestamp").alias(flows.WINDOW_END),
     )
     settings = clustering.SMALL
-    flows.cluster_closed_windows(vectors, folder, 64, settings).awaitTermination()
+    flows.cluster_closed_windows(vectors, folder, 64, settings, lateness="20 days").awaitTermination()
     flows.flush_windows(spark, folder, 64, settings)
-    return flows.streamed_assignments(spark, folder, 64, settings)
+    return flows.streamed_assignments(spark, folder, settings)

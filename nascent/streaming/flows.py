@@ -266,55 +266,70 @@ def live_places(spark: SparkSession, folder: str, id_column: str = ID) -> DataFr
 # --- window-by-window clustering -------------------------------------------------------------------
 
 
+EVENT_TIME, WINDOW_END = "event_time", "window_end"
+
+
 def cluster_closed_windows(
-    stream: DataFrame, folder: str, dim: int, settings: clustering.ClusterSettings
+    stream: DataFrame, folder: str, dim: int, settings: clustering.ClusterSettings, lateness: str = "0 seconds"
 ) -> StreamingQuery:
-    """Cluster each window once a later window has been seen, starting from the last weights.
-
-    ``stream`` has ``(id, window, vector)``. Vectors are kept by batch and window, so a
-    closed window reads only its own files.
+    """Cluster each window once event time has passed its end, starting from the last weights.
+
+    ``stream`` has ``(id, window, vector, event_time, window_end)``. The watermark is the
+    largest event time of all batches so far less ``lateness``; it never goes back. Rows that
+    come out of order train their window as long as the watermark has not passed its end, in
+    whatever batch they come. Rows that come later are placed with the window's own weights.
+    Rows without an event time do not move the watermark; a window without an end closes
+    with the stream. Vectors are kept by batch and window, so a closed window reads only its
+    own files.
     """
     model = ClusteringModel(DenseAutoencoder(dim, settings.hidden, settings.latent), settings.k)
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch.select(ID, WINDOW, "vector").write.mode("overwrite").partitionBy(WINDOW).parquet(
-            f"{folder}/vectors/{BATCH}={number}"
-        )
-        _advance(batch.sparkSession, folder, model, settings, number, flush=False)
+        spark = batch.sparkSession
+        rows = batch.select(ID, WINDOW, "vector", WINDOW_END, EVENT_TIME)
+        rows.write.mode("overwrite").partitionBy(WINDOW).parquet(f"{folder}/vectors/{BATCH}={number}")
+        written = spark.read.schema(rows.schema).option("basePath", f"{folder}/vectors/{BATCH}={number}").parquet(f"{folder}/vectors/{BATCH}={number}")
+        written.agg(F.max(EVENT_TIME).alias("latest")).write.mode("overwrite").parquet(f"{folder}/times/{BATCH}={number}")
+        _advance(spark, folder, model, settings, number, lateness)
 
     return _start(stream, handle, folder)
 
 
+def watermark(spark: SparkSession, folder: str, lateness: str, number: int):
+    """The largest event time up to a batch less ``lateness``; None before any."""
+    times = spark.read.parquet(f"{folder}/times").where(F.col(BATCH) <= number)
+    return times.agg(F.max("latest") - F.expr(f"INTERVAL {lateness}")).first()[0]
+
+
 def flush_windows(
     spark: SparkSession, folder: str, dim: int, settings: clustering.ClusterSettings, number: int = 1 << 40
 ) -> None:
     """Treat every stored window as closed, at the end of a stream."""
     model = ClusteringModel(DenseAutoencoder(dim, settings.hidden, settings.latent), settings.k)
-    _advance(spark, folder, model, settings, number, flush=True)
+    _advance(spark, folder, model, settings, number, None)
 
 
-def _advance(spark, folder, model, settings, number, flush) -> None:
-    """Cluster the windows closed by this batch, and place its late rows.
+def _advance(spark, folder, model, settings, number, lateness) -> None:
+    """Cluster the windows that the watermark has passed, and place this batch's late rows.
 
     A window with fewer rows than clusters takes the weights of the one before it, or waits
-    for the first weights; at the end of a stream the largest window that waits trains.
-    Rows that come for a finished window are placed with that window's own weights.
+    for the first weights; at the end of a stream, without a ``lateness``, the largest window
+    that waits trains.
     """
-    stored = spark.read.parquet(f"{folder}/vectors")
+    stored = spark.read.parquet(f"{folder}/vectors").where(F.col(BATCH) <= number)
     finished = _finished(spark, folder, number)
     weights = _weights(spark, folder, finished[-1]) if finished else None
     late = stored.where((F.col(BATCH) == number) & F.col(WINDOW).isin(finished)) if finished else stored.limit(0)
     for (window,) in late.select(WINDOW).distinct().orderBy(WINDOW).collect():
         rows = late.where(F.col(WINDOW) == window).select(ID, WINDOW, "vector")
         _place(rows, model, _weights(spark, folder, window), folder, window, number)
-    sizes = stored.where(~F.col(WINDOW).isin(finished)).groupBy(WINDOW).agg(F.count("*").alias("n"))
-    sizes = sizes.orderBy(WINDOW).collect()
-    if not sizes:
-        return
-    latest = max([sizes[-1][WINDOW], *finished])
-    closed = [r for r in sizes if flush or r[WINDOW] < latest]
+    sizes = stored.where(~F.col(WINDOW).isin(finished)).groupBy(WINDOW).agg(F.count("*").alias("n"), F.max(WINDOW_END).alias("end"))
+    if lateness is not None:
+        reached = watermark(spark, folder, lateness, number)
+        sizes = sizes.where(F.col("end") <= F.lit(reached)) if reached is not None else sizes.limit(0)
+    closed = sizes.orderBy(WINDOW).collect()
     enough = settings.k
-    if flush and weights is None and closed:
+    if lateness is None and weights is None and closed:
         enough = min(enough, max(r["n"] for r in closed))
     waiting = []
     for row in closed:
@@ -329,13 +344,19 @@ def _advance(spark, folder, model, settings, number, flush) -> None:
         if weights is not None:
             for name, own in waiting:
                 _place(own, model, weights, folder, name, number)
-                state = [(name, number, weights.tolist())]
-                spark.createDataFrame(state, f"{WINDOW} string, number long, w array<double>").write.mode(
-                    "overwrite"
-                ).parquet(f"{folder}/weights/of={name}")
+                _keep(spark, folder, model, name, number, weights)
             waiting = []
 
 
+def _keep(spark, folder, model, window, number, weights) -> None:
+    """The centres of a finished window as rows, and then its weights, which mark it finished."""
+    centres = [(window, local, [float(v) for v in centre]) for local, centre in enumerate(model.split(weights)[1])]
+    rows = spark.createDataFrame(centres, f"{WINDOW} string, {LOCAL} int, centroid array<double>")
+    rows.write.mode("overwrite").parquet(f"{folder}/centres/of={window}")
+    state = spark.createDataFrame([(window, number, weights.tolist())], f"{WINDOW} string, number long, w array<double>")
+    state.write.mode("overwrite").parquet(f"{folder}/weights/of={window}")
+
+
 def _place(rows, model, weights, folder, window, number) -> None:
     """The clusters of a window's rows; a batch that is run again replaces its own part."""
     clustering.assign_rows(rows, model, weights).drop(WINDOW).write.mode("overwrite").parquet(
@@ -355,16 +376,9 @@ def _weights(spark: SparkSession, folder: str, window: str) -> np.ndarray:
     return np.array(spark.read.parquet(f"{folder}/weights").where(F.col(WINDOW) == window).select("w").first()[0])
 
 
-def streamed_assignments(
-    spark: SparkSession, folder: str, dim: int, settings: clustering.ClusterSettings
-) -> DataFrame:
+def streamed_assignments(spark: SparkSession, folder: str, settings: clustering.ClusterSettings) -> DataFrame:
     """``(id, window, local, global)`` of all windows clustered so far."""
-    model = ClusteringModel(DenseAutoencoder(dim, settings.hidden, settings.latent), settings.k)
-    rows = []
-    for row in spark.read.parquet(f"{folder}/weights").select(WINDOW, "w").collect():
-        for local, centre in enumerate(model.split(np.array(row["w"]))[1]):
-            rows.append((row[WINDOW], local, [float(v) for v in centre]))
-    found = spark.createDataFrame(rows, f"{WINDOW} string, {LOCAL} int, centroid array<double>")
-    links = link_clusters(found, settings.link_threshold).drop("linked")
+    centres = spark.read.parquet(f"{folder}/centres").select(WINDOW, LOCAL, "centroid")
+    links = link_clusters(centres, settings.link_threshold).drop("linked")
     assigned = spark.read.option("partitionOverwriteMode", "static").parquet(f"{folder}/assigned")
     return assigned.join(links, [WINDOW, LOCAL]).select(ID, WINDOW, LOCAL, "global_cluster")

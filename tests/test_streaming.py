@@ -1,3 +1,5 @@
+from datetime import datetime
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -59,12 +61,20 @@ def test_live_clusters_grow_and_spawn_in_order(spark, tmp_path):
     assert placed == {1: 0, 2: 1, 3: 2, 4: 2}
 
 
+WINDOWED = "complaint_id long, window_id string, vector array<double>, event_time timestamp, window_end timestamp"
+
+
+def dated(key, window, vector, day=15):
+    """A row of a month, on a day of it."""
+    year, month = map(int, window.split("-"))
+    return key, window, vector, datetime(year, month, day), datetime(year + month // 12, month % 12 + 1, 1)
+
+
 def test_closed_windows_are_clustered_once(spark, tmp_path):
     rng = np.random.default_rng(8)
-    columns = "complaint_id long, window_id string, vector array<double>"
-    source = str(tmp_path / "in")
+    columns, source = WINDOWED, str(tmp_path / "in")
     for w in range(3):
-        rows = [(w * 100 + i, f"2024-0{w + 1}", rng.normal(size=6).tolist()) for i in range(30)]
+        rows = [dated(w * 100 + i, f"2024-0{w + 1}", rng.normal(size=6).tolist()) for i in range(30)]
         spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
     settings = clustering.ClusterSettings(
         k=3, latent=2, hidden=(8,), pretrain_epochs=5, max_epochs=5, refresh_every=5, kmeans_starts=1
@@ -72,15 +82,15 @@ def test_closed_windows_are_clustered_once(spark, tmp_path):
     folder = str(tmp_path / "out")
     stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).parquet(source)
     flows.cluster_closed_windows(stream, folder, 6, settings).awaitTermination()
-    early = flows.streamed_assignments(spark, folder, 6, settings)
+    early = flows.streamed_assignments(spark, folder, settings)
     assert {r.window_id for r in early.select("window_id").distinct().collect()} == {"2024-01", "2024-02"}
     flows.flush_windows(spark, folder, 6, settings)
-    done = flows.streamed_assignments(spark, folder, 6, settings)
+    done = flows.streamed_assignments(spark, folder, settings)
     assert done.count() == 90 and done.select("complaint_id").distinct().count() == 90
 
 
 def test_small_and_late_windows_lose_no_row(spark, tmp_path):
-    columns = "complaint_id long, window_id string, vector array<double>"
+    columns = WINDOWED
     point = lambda i: [float((i * k) % 7) for k in range(1, 6)]
     batches = [
         [(1, "2024-01", point(1))],  # too small, and before any weights
@@ -93,11 +103,11 @@ def test_small_and_late_windows_lose_no_row(spark, tmp_path):
         k=3, latent=2, hidden=(6,), pretrain_epochs=4, max_epochs=4, refresh_every=4, kmeans_starts=1
     )
     for rows in batches:
-        spark.createDataFrame(rows, columns).coalesce(1).write.mode("append").parquet(source)
+        spark.createDataFrame([dated(*row) for row in rows], columns).coalesce(1).write.mode("append").parquet(source)
         stream = spark.readStream.schema(columns).parquet(source)
         flows.cluster_closed_windows(stream, folder, 5, settings).awaitTermination()
     flows.flush_windows(spark, folder, 5, settings)
-    done = flows.streamed_assignments(spark, folder, 5, settings).collect()
+    done = flows.streamed_assignments(spark, folder, settings).collect()
     assert sorted(r.complaint_id for r in done) == sorted(row[0] for rows in batches for row in rows)
     assert {r.complaint_id: r.window_id for r in done} == {row[0]: row[1] for rows in batches for row in rows}
 
@@ -150,3 +160,44 @@ def test_a_batch_tried_again_counts_once(spark, tmp_path):
     (tmp_path / "out/progress/commits/.0.crc").unlink(missing_ok=True)
     flows.live_clusters(spark.readStream.schema(columns).parquet(source), folder)
     assert [(r.id, r["count"]) for r in flows.live_state(spark, folder).orderBy("id").collect()] == [(0, 5), (1, 1)]
+
+
+def test_rows_out_of_order_train_their_window_within_the_lateness(spark, tmp_path):
+    """Shuffled files give the clusters of ordered ones; what comes after the lateness is placed."""
+    rng = np.random.default_rng(12)
+    point = {i: rng.normal(size=4).tolist() for i in range(90)}
+    first = [dated(i, "2024-01", point[i], 1 + i % 28) for i in range(30)]
+    second = [dated(i, "2024-02", point[i], 1 + i % 28) for i in range(30, 60)]
+    third = [dated(i, "2024-04", point[i], 1 + i % 28) for i in range(60, 90)]
+    late = [dated(200, "2024-01", point[3])]
+    settings = clustering.ClusterSettings(
+        k=3, latent=2, hidden=(6,), pretrain_epochs=4, max_epochs=4, refresh_every=4, kmeans_starts=1
+    )
+    results = []
+    for name, files in (
+        ("ordered", [first, second, third + late]),
+        ("shuffled", [second[15:] + first[:9], first[9:] + second[:15], third + late]),
+    ):
+        source, folder = str(tmp_path / f"in-{name}"), str(tmp_path / name)
+        for number, rows in enumerate(files):
+            spark.createDataFrame(rows, WINDOWED).coalesce(1).write.mode("append").parquet(source)
+            stream = spark.readStream.schema(WINDOWED).parquet(source)
+            flows.cluster_closed_windows(stream, folder, 4, settings, lateness="30 days").awaitTermination()
+            # A row of February has come, but January stays open for another thirty days.
+            assert flows.path_exists(spark, f"{folder}/weights") == (number == 2)
+        assert {r[0] for r in spark.read.parquet(f"{folder}/weights").select("window_id").collect()} == {"2024-01", "2024-02"}
+        flows.cluster_closed_windows(stream, folder, 4, settings, lateness="30 days").awaitTermination()
+        flows.flush_windows(spark, folder, 4, settings)
+        rows = flows.streamed_assignments(spark, folder, settings).collect()
+        assert len(rows) == 91
+        results.append(sorted((r.complaint_id, r.window_id, r.local_cluster, r.global_cluster) for r in rows))
+    assert results[0] == results[1]
+
+
+def test_the_watermark_never_goes_back(spark, tmp_path):
+    folder = str(tmp_path / "out")
+    for number, day in enumerate((9, 20, 3)):
+        spark.createDataFrame([(datetime(2024, 1, day),)], "latest timestamp").write.parquet(f"{folder}/times/batch={number}")
+    spark.createDataFrame([(None,)], "latest timestamp").write.parquet(f"{folder}/times/batch=3")
+    reached = [flows.watermark(spark, folder, "2 days", n) for n in range(-1, 4)]
+    assert reached == [None, datetime(2024, 1, 7), *[datetime(2024, 1, 18)] * 3]
