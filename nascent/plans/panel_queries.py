@@ -9,6 +9,8 @@ from nascent.operators import numbering, panel, products, sampling
 from nascent.plans import views
 from nascent.plans.registry import r6, register
 from nascent.plans.views import using
+from nascent.session import scratch_path
+from nascent.sources import raw, sinks
 
 ID, NARRATIVE, WORDS = panel.ID, panel.NARRATIVE, panel.WORDS
 
@@ -437,3 +439,21 @@ def label_index(spark, sf_dir):
 def row_numbers(spark, sf_dir):
     df = views.panel(spark, sf_dir).select(ID, "date_received")
     return numbering.number_rows(df, ["date_received", ID], "position").select(ID, "position")
+
+
+@register(
+    "csv_records",
+    using(
+        "complaints",
+        select="""SELECT CAST(complaint_id AS VARCHAR) AS complaint_id, product, issue, md5(coalesce(consumer_complaint_narrative, '')) AS text_md5,
+  length(coalesce(consumer_complaint_narrative, '')) AS n_chars FROM complaints""",
+    ),
+)
+def csv_records(spark, sf_dir):
+    """All complaints written as CSV, line breaks included, and read again by byte ranges."""
+    path = scratch_path(spark, "csv")
+    sinks.write_csv(views.complaints(spark, sf_dir), path)
+    text = F.coalesce("consumer_complaint_narrative", F.lit(""))
+    return raw.read_complaints(spark, path).select(
+        "complaint_id", "product", "issue", F.md5(text).alias("text_md5"), F.length(text).cast("bigint").alias("n_chars")
+    )

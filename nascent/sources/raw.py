@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nascent.session import path_exists
+from nascent.sources.quoted import read_quoted
 
 CSV_OPTIONS = {"header": "true", "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
 
@@ -63,11 +64,12 @@ def standard_columns(df: DataFrame) -> DataFrame:
 def read_complaints(spark: SparkSession, path: str | list[str], multi_line: bool = True) -> DataFrame:
     """Complaint CSV files (plain, gzip or bzip2; a path, a glob or a list), all text.
 
-    Only the header is looked at before the job: no type inference pass. Quoted
-    narratives may hold line breaks, and then a file cannot be split: deliver large
-    inputs as many files, or pass ``multi_line=False`` where there are none.
+    Only the header is looked at before the job: no type inference pass. Quoted narratives
+    may hold line breaks; a large file is read by many tasks all the same (see
+    :mod:`nascent.sources.quoted`). ``multi_line=False`` saves its first pass where there
+    are no such breaks.
     """
-    raw = spark.read.options(**CSV_OPTIONS, multiLine=str(multi_line).lower()).csv(path)
+    raw = read_quoted(spark, path) if multi_line else spark.read.options(**CSV_OPTIONS).csv(path)
     return standard_columns(normal_columns(raw))
 
 
