@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from nascent.functions import dates
 from nascent.functions.rows import explode_once
 from nascent.operators.clusters import GLOBAL
+from nascent.operators.containment import contained
 from nascent.operators.panel import DATE, ID, NARRATIVE
 from nascent.operators.topk import top_per_group
 from nascent.session import settle
@@ -79,12 +80,11 @@ def match_cases(
     A cluster matches when at least half of the case's terms (rounded down, at least
     one) occur in its narratives, also inside longer words; the best-ranked matching
     cluster wins. A term is all letters, so it can only occur inside a run of letters:
-    the runs are reduced to their distinct substrings of term length and matched by an
-    equality join, instead of testing every term against every text.
+    the distinct runs and the terms meet by their four-letter pieces (see
+    :mod:`nascent.operators.containment`), instead of testing every term against every text.
     """
     known = case_terms(cases).select("name", "terms")
     probes = known.select("name", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
-    bounds = probes.agg(F.max(F.length("term")).alias("longest"), F.lit(1).alias("_one"))
     runs = explode_once(
         narratives,
         [cluster],
@@ -94,33 +94,9 @@ def match_cases(
         "run",
     ).distinct()
     runs = settle(runs)
-    # Every distinct run is cut up once, however many clusters it occurs in.
-    pieces = (
-        runs.select("run")
-        .distinct()
-        .withColumn("_one", F.lit(1))
-        .join(F.broadcast(bounds), "_one")
-        .where(F.col("longest").isNotNull())
-        .select(
-            "run",
-            F.explode(
-                F.sequence(
-                    F.lit(MIN_TERM), F.greatest(F.least(F.length("run"), F.col("longest")), F.lit(MIN_TERM))
-                )
-            ).alias("size"),
-        )
-        .select(
-            "run",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.length("run") - F.col("size") + 1),
-                    lambda start: F.col("run").substr(start, F.col("size")),
-                )
-            ).alias("term"),
-        )
-        .join(probes.select("term").distinct(), "term", "left_semi")
-        .distinct()
-    )
+    # Every distinct run is looked at once, however many clusters it occurs in.
+    pieces = contained(runs.select("run").distinct(), "run", F.col("run"), probes, "term")
+    pieces = pieces.withColumnRenamed("pattern", "term")
     pieces = runs.join(pieces, "run").select(cluster, "term").distinct()
     hits = (
         probes.join(pieces, "term")
