@@ -9,6 +9,8 @@ from nascent.operators import dashboard, encoding, panel, terms
 from nascent.plans import panel_queries, views  # noqa: F401  (defines shared views)
 from nascent.plans.registry import r6, register
 from nascent.plans.views import quoted, using
+from nascent.session import scratch_path
+from nascent.sources.vector_store import VectorStore
 
 ID, NARRATIVE = panel.ID, panel.NARRATIVE
 DIM = 256
@@ -50,6 +52,29 @@ def hashed_vectors(spark, sf_dir):
     )
 
 
+@register(
+    "stored_vectors",
+    using(
+        "bucketed",
+        select="""SELECT complaint_id, bucket, round(weight / norm, 6) AS value FROM (
+  SELECT *, sqrt(sum(weight * weight) OVER (PARTITION BY complaint_id)) AS norm FROM bucketed) WHERE weight <> 0""",
+    ),
+)
+def stored_vectors(spark, sf_dir):
+    """Vectors from a store filled in two parts, of which the second only adds what is new."""
+    texts = views.panel(spark, sf_dir, spread=True).select(ID, _encoder_text().alias("text"))
+    hashed = lambda new: encoding.encode_hashed(new, F.col("text"), DIM)
+    store = VectorStore(scratch_path(spark, "vectors"), "hashed-bow", hashed)
+    store.update(texts.where(F.col(ID) % 2 == 0), "text")
+    store.update(texts, "text")
+    dense, _ = store.vectors(texts, "text")
+    return (
+        dense.select(ID, F.posexplode("vector").alias("bucket", "value"))
+        .where(F.col("value") != 0)
+        .select(ID, "bucket", r6("value").alias("value"))
+    )
+
+
 @register(
     "vector_facts",
     using("panel", select=f"SELECT 'hashed-bow' AS backend, {DIM} AS dim, count(*) AS n FROM panel"),

@@ -2,10 +2,12 @@ import csv
 import gzip
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from nascent.operators import dashboard
 from nascent.sources import quoted, raw, sinks
+from nascent.sources.vector_store import VectorStore
 
 
 def test_vectors_are_stored_once_and_looked_up_by_id(spark, tmp_path):
@@ -97,3 +99,45 @@ def test_quoted_files_with_headers_blank_lines_and_short_rows(spark, tmp_path):
     assert found.columns == ["id", "text"]
     got = sorted(((r.id, r.text) for r in found.collect()), key=lambda r: r[0])
     assert got == [("1", "x\r\ny"), ("2", None), ("3", "z"), ("4", "no end of line"), ("5", "a\nb")]
+
+
+def test_a_store_encodes_only_new_and_changed_texts(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def encode(new):
+        def run(batches):
+            for batch in batches:
+                seen.add(len(batch))
+                yield pd.DataFrame({"entry": batch["entry"], "vector": [[float(len(t))] for t in batch["text"]]})
+
+        return new.mapInPandas(run, "entry binary, vector array<double>")
+
+    def texts(rows):
+        return spark.createDataFrame(rows, "complaint_id long, t string")
+
+    def got(store, rows):
+        found, missing = store.vectors(texts(rows), "t")
+        return {r.complaint_id: r.vector[0] for r in found.collect()}, missing.first().missing
+
+    store = VectorStore(str(tmp_path / "store"), "length", encode, most_batches=4)
+    first = [(1, "a"), (2, "bb"), (3, "bb"), (4, None), (5, "")]
+    assert got(store, first) == ({}, 5)
+    assert store.update(texts(first), "t") == 3 and seen.value == 3
+    assert store.update(texts(first), "t") == 0 and seen.value == 3
+    changed = [(1, "a"), (2, "changed"), (6, "bb")]
+    assert store.update(texts(changed), "t") == 1 and seen.value == 4
+    assert got(store, first + changed[1:2]) == ({1: 1.0, 2: 7.0, 3: 2.0, 5: 0.0} | {2: 7.0}, 1)
+    # Another encoder shares nothing with it.
+    other = VectorStore(store.path, "other", encode, most_batches=4)
+    assert other.update(texts(first), "t") == 3 and seen.value == 7
+    # The fourth batch compacts; what was there stays, once.
+    assert store.state(spark) == (0, 3)
+    assert store.update(texts([(9, "ninth text")]), "t") == 1
+    assert store.state(spark) == (1, 1)
+    assert got(store, [*changed, (9, "ninth text")]) == ({1: 1.0, 2: 7.0, 6: 2.0, 9: 10.0}, 0)
+    assert store.entries(spark).count() == 8 == store.entries(spark).select("entry").distinct().count()
+    # A batch that was not written to its end is written again.
+    spark.createDataFrame([(b"x", [0.0])], "entry binary, vector array<double>").write.parquet(f"{store.path}/generation=1/batch=1")
+    (tmp_path / "store/generation=1/batch=1/_SUCCESS").unlink()
+    assert store.state(spark) == (1, 1) and store.update(texts([(10, "tenth")]), "t") == 1
+    assert got(store, [(10, "tenth")]) == ({10: 5.0}, 0) and store.entries(spark).count() == 9
