@@ -23,11 +23,11 @@ LEFT JOIN (SELECT grp AS label, list(term ORDER BY rank) AS keywords FROM keywor
 )
 views.define(
     "placed",
-    ["labelled", "clustered", "board_clusters"],
+    ["labelled", "clustered_texts", "board_clusters"],
     """SELECT p.*, c.id AS cluster_id, round(v.vector[1], 3) AS pca_x, round(v.vector[2], 3) AS pca_y,
   round(round(v.vector[1], 3) * 1.1 + sin(round(v.vector[2], 3) * 2.5) * 0.25, 3) AS x,
   round(round(v.vector[2], 3) * 1.1 + cos(round(v.vector[1], 3) * 2.5) * 0.25, 3) AS y
-FROM labelled p JOIN board_clusters c ON c.label = p.label JOIN (SELECT complaint_id, vector FROM clustered) v
+FROM labelled p JOIN board_clusters c ON c.label = p.label JOIN (SELECT complaint_id, vector FROM clustered_texts) v
   ON v.complaint_id = p.complaint_id""",
 )
 views.define(
@@ -57,7 +57,7 @@ def _clusters(spark, sf_dir):
 def _points(spark, sf_dir):
     labelled = dashboard.labelled_by_product(views.panel(spark, sf_dir))
     ids = dashboard.renumber_by_size(labelled, "label", "id")
-    flat = views.clustered(spark, sf_dir).select(
+    flat = views.clustered_texts(spark, sf_dir).select(
         ID,
         F.round(F.get("vector", F.lit(0)), 3).alias("pca_x"),
         F.round(F.get("vector", F.lit(1)), 3).alias("pca_y"),

@@ -401,8 +401,8 @@ def overall_metrics(spark, sf_dir):
 
 views.define(
     "contingency",
-    ["clustered", "complaints"],
-    """SELECT local_cluster, issue AS cls, count(*) AS n FROM clustered JOIN complaints USING (complaint_id) GROUP BY 1, 2""",
+    ["clustered_texts", "complaints"],
+    """SELECT local_cluster, issue AS cls, count(*) AS n FROM clustered_texts JOIN complaints USING (complaint_id) GROUP BY 1, 2""",
 )
 views.define(
     "majority",
@@ -427,7 +427,7 @@ agreed AS (SELECT cls AS truth, guess, sum(n) AS n FROM contingency JOIN majorit
     ),
 )
 def majority_match(spark, sf_dir):
-    joined = views.clustered(spark, sf_dir).select(ID, LOCAL).join(
+    joined = views.clustered_texts(spark, sf_dir).select(ID, LOCAL).join(
         views.complaints(spark, sf_dir).select(ID, "issue"), ID
     )
     return _rounded_overall(quality.cluster_class_agreement(joined, LOCAL, "issue"))

@@ -212,10 +212,10 @@ WHERE length(term) >= 4 AND term NOT IN ({_STOPS})""",
 )
 views.define(
     "members",
-    ["clustered", "linked", "panel"],
+    ["clustered_texts", "linked", "panel"],
     """SELECT global_cluster, complaint_id, consumer_complaint_narrative,
   row_number() OVER (PARTITION BY global_cluster ORDER BY date_received, complaint_id) AS place
-FROM clustered JOIN linked USING (window_id, local_cluster) JOIN (SELECT complaint_id, date_received, consumer_complaint_narrative FROM panel)
+FROM clustered_texts JOIN linked USING (window_id, local_cluster) JOIN (SELECT complaint_id, date_received, consumer_complaint_narrative FROM panel)
   USING (complaint_id)""",
 )
 
@@ -236,9 +236,9 @@ FROM (SELECT name, count(*) AS n_terms FROM case_words GROUP BY 1) c LEFT JOIN (
 
 
 def _assigned(spark, sf_dir):
-    """Clustered ids with their global cluster."""
+    """All documents with their global cluster."""
     links = cluster_queries._links(spark, sf_dir)
-    slim = views.clustered(spark, sf_dir).select(ID, WINDOW, LOCAL)
+    slim = views.clustered_texts(spark, sf_dir).select(ID, WINDOW, LOCAL)
     return slim.join(links.select(WINDOW, LOCAL, GLOBAL), [WINDOW, LOCAL]).select(ID, WINDOW, LOCAL, GLOBAL)
 
 

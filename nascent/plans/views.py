@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nascent.operators import panel as panels
+from nascent.operators.numbering import number_rows
 from nascent.session import spread_scan
 
 # Public complaint product names, one per document source.
@@ -76,6 +77,15 @@ def clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def clustered_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with a clustered vector: they take the vectors in turn, by their ids."""
+    vectors = number_rows(clustered(spark, sf_dir), ["complaint_id"], "_place").withColumnRenamed("complaint_id", "_vector_id")
+    count = table(spark, sf_dir, "embeddings").count()
+    place = F.pmod(F.col("doc_id"), F.lit(max(count, 1)))
+    documents = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("complaint_id"), place.alias("_place"))
+    return documents.join(vectors, "_place").drop("_place", "_vector_id")
+
+
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(
         F.concat(F.lit("case-"), F.col("item_id").cast("string")).alias("name"),
@@ -109,6 +119,10 @@ SQL["clustered"] = """
 SELECT vec_id AS complaint_id, '2024-' || lpad(CAST(vec_id % 12 + 1 AS VARCHAR), 2, '0') AS window_id,
   CAST(label AS INTEGER) AS local_cluster, CAST(embedding AS DOUBLE[]) AS vector
 FROM embeddings"""
+SQL["clustered_texts"] = """
+SELECT doc_id AS complaint_id, window_id, local_cluster, vector FROM documents
+JOIN (SELECT * EXCLUDE complaint_id, row_number() OVER (ORDER BY complaint_id) - 1 AS place FROM clustered) v
+  ON v.place = doc_id % (SELECT count(*) FROM clustered)"""
 SQL["coords"] = """
 SELECT complaint_id, window_id, local_cluster, generate_subscripts(vector, 1) AS dim, unnest(vector) AS x
 FROM clustered"""
@@ -126,6 +140,7 @@ NEEDS: dict[str, list[str]] = {
     "complaints": [],
     "panel": ["complaints"],
     "clustered": [],
+    "clustered_texts": ["clustered"],
     "coords": ["clustered"],
     "cents": ["coords"],
     "cases": [],
