@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,7 +21,7 @@ from nascent.operators import quality, sampling
 from nascent.operators.clusters import GLOBAL, LOCAL
 from nascent.operators.linking import link_clusters
 from nascent.operators.panel import ID, WINDOW
-from nascent.session import scratch_path
+from nascent.session import path_exists, scratch_path
 
 
 @dataclass(frozen=True)
@@ -265,55 +266,117 @@ def cluster_step(
     return fine_tune(training, model, weights, settings, limit)
 
 
-def cluster_windows(vectors: DataFrame, settings: ClusterSettings = ClusterSettings()) -> WindowClusters:
+class WindowStates:
+    """Weights, reservoir and facts of trained windows below a folder.
+
+    A state is named by a digest over the settings and over all rows that led to it, window
+    by window, so whoever has the same windows up to some point finds the state of that point:
+    a run that starts again, or one with a later end.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, start: object):
+        self.spark, self.folder = spark, folder
+        self.name = self._digest(repr(start))
+
+    @staticmethod
+    def _digest(text: str) -> str:
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def go_on(self, window: str, rows: int, content: object) -> None:
+        self.name = self._digest(f"{self.name}|{window}|{rows}|{content}")
+
+    def _path(self, kind: str) -> str:
+        return f"{self.folder}/{self.name}/{kind}"
+
+    def load(self) -> tuple[np.ndarray, dict] | None:
+        if not path_exists(self.spark, f"{self._path('weights')}/_SUCCESS"):
+            return None
+        row = self.spark.read.parquet(self._path("weights")).first()
+        return np.array(row["w"]), {k: row[k] for k in ("epochs", "label_change", "kl")}
+
+    def reservoir(self, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self._path("reservoir"))
+
+    def save(self, weights: np.ndarray, facts: dict, reservoir: DataFrame | None) -> None:
+        """The weights come last: they tell that a state is whole."""
+        if reservoir is not None:
+            reservoir.write.mode("overwrite").parquet(self._path("reservoir"))
+        row = (weights.tolist(), int(facts["epochs"]), float(facts["label_change"]), float(facts["kl"]))
+        kind = "w array<double>, epochs int, label_change double, kl double"
+        self.spark.createDataFrame([row], kind).write.mode("overwrite").parquet(self._path("weights"))
+
+
+def merged_reservoir(before: DataFrame | None, own: DataFrame, settings: ClusterSettings) -> DataFrame:
+    """The ``replay`` rows with the smallest hashes of all windows so far.
+
+    Those of the earlier windows and the new window hold them, so a window adds one pass over
+    its own rows and a table of that size, whatever came before.
+    """
+    rows = own if before is None else before.unionByName(own)
+    return sampling.random_sample(rows, settings.replay, settings.seed, unique_ids=False)
+
+
+def cluster_windows(
+    vectors: DataFrame, settings: ClusterSettings = ClusterSettings(), states: str | None = None
+) -> WindowClusters:
     """Cluster every window in time order, each starting from the one before it.
 
     ``vectors`` has ``(id, window, vector)``. A window with fewer rows than clusters does
     not train: its rows are assigned with the weights of the window before it, or, if it
     comes before all trained ones, with the first weights there are. If every window is
     that small, the largest one trains. Assignments go to the shared folder window by window.
+
+    ``states`` is a folder for :class:`WindowStates`. Windows whose state is there do not
+    train again; without a folder every run has its own.
     """
     spark = vectors.sparkSession
     stored = by_window(vectors.select(ID, WINDOW, "vector"))
-    sizes = stored.groupBy(WINDOW).agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"))
+    content = F.sum(F.xxhash64(ID, "vector").cast("decimal(38,0)")).alias("content")
+    sizes = stored.groupBy(WINDOW).agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d"), content)
     plan = sizes.where(F.col(WINDOW).isNotNull()).orderBy(WINDOW).collect()
     if not plan:
         raise ValueError("no rows to cluster")
     enough = min(settings.k, max(r["n"] for r in plan))
     network = DenseAutoencoder(plan[0]["d"], settings.hidden, settings.latent)
     model = ClusteringModel(network, settings.k)
-    path = scratch_path(spark, "assignments")
-    weights, centres, rounds, seen, waiting = None, [], [], [], []
+    path, centre_path = scratch_path(spark, "assignments"), scratch_path(spark, "centres")
+    kept = WindowStates(spark, states or scratch_path(spark, "states"), (settings, enough, plan[0]["d"]))
+    weights, rounds, waiting, reservoir = None, [], [], None
 
     def place(window: str, rows: DataFrame, facts: dict) -> None:
         assign_rows(rows, model, weights).write.mode("append").parquet(path)
         rounds.append({WINDOW: window, **facts})
-        centres.extend(
-            (window, local, [float(v) for v in centre]) for local, centre in enumerate(model.split(weights)[1])
-        )
+        centres = [(window, local, [float(v) for v in centre]) for local, centre in enumerate(model.split(weights)[1])]
+        centres = spark.createDataFrame(centres, f"{WINDOW} string, {LOCAL} int, centroid array<double>")
+        centres.write.mode("append").parquet(centre_path)
 
     for row in plan:
         window, n = row[WINDOW], row["n"]
         shards = shards_for(n, settings.shards)
-        own = make_shards(stored.where(F.col(WINDOW) == window), ID, shards)
+        rows = stored.where(F.col(WINDOW) == window)
         if n < enough:
+            own = make_shards(rows, ID, shards)
             if weights is None:
                 waiting.append((window, own))
             else:
                 place(window, own, {"trained": False})
             continue
-        training = own
-        if settings.replay and seen:
-            earlier = stored.where(F.col(WINDOW).isin(seen))
-            kept = sampling.random_sample(earlier, settings.replay, settings.seed)
-            training = make_shards(own.unionByName(kept), ID, shards)
-        weights, facts = cluster_step(training, n, model, weights, settings)
-        for earlier_window, rows in waiting:
-            place(earlier_window, rows, {"trained": False})
+        kept.go_on(window, n, row["content"])
+        known = kept.load()
+        own = make_shards(rows, ID, shards)
+        if known is not None:
+            weights, facts = known
+        else:
+            training = own if reservoir is None else make_shards(own.unionByName(reservoir), ID, shards)
+            weights, facts = cluster_step(training, n, model, weights, settings)
+            kept.save(weights, facts, merged_reservoir(reservoir, own, settings) if settings.replay else None)
+        if settings.replay:
+            reservoir = kept.reservoir(own.schema)
+        for earlier_window, held in waiting:
+            place(earlier_window, held, {"trained": False})
         waiting = []
         place(window, own, {"trained": True, **facts})
-        seen.append(window)
-    found = spark.createDataFrame(centres, f"{WINDOW} string, {LOCAL} int, centroid array<double>")
+    found = spark.read.schema(f"{WINDOW} string, {LOCAL} int, centroid array<double>").parquet(centre_path)
     links = link_clusters(found, settings.link_threshold)
     assigned = spark.read.schema(f"{ID} {_type_of(vectors, ID)}, {WINDOW} string, {LOCAL} int, recon_error double").parquet(path)
     linked = assigned.join(links.select(WINDOW, LOCAL, GLOBAL), [WINDOW, LOCAL])

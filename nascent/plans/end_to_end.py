@@ -13,7 +13,7 @@ from nascent.learning import clustering, sequences
 from nascent.operators import casework, encoding, panel, scoring, terms, trajectory
 from nascent.operators.clusters import GLOBAL
 from nascent.operators.panel import ID, NARRATIVE, WINDOW
-from nascent.session import settle
+from nascent.session import scratch_path, settle
 from nascent.sources.raw import standard_columns
 
 
@@ -50,9 +50,12 @@ def score(trajectories: DataFrame, settings: RunSettings) -> tuple[DataFrame, Da
     return errors, threshold, settle(scoring.rank_clusters(errors, threshold))
 
 
-def run(raw: DataFrame, settings: RunSettings = RunSettings(), make_encoder=None) -> RunResult:
+def run(raw: DataFrame, settings: RunSettings = RunSettings(), make_encoder=None, states: str | None = None) -> RunResult:
     """Everything from raw complaints to ranked clusters.
 
+    With a folder of ``states``, windows that an earlier run has trained on the same rows, and
+    after the same windows, do not train again.
+
     ``make_encoder`` gives an encoder of one's own; without it texts are hashed.
     """
     complaints = panel.build_panel(standard_columns(raw), settings.window, settings.min_words)
@@ -65,7 +68,7 @@ def run(raw: DataFrame, settings: RunSettings = RunSettings(), make_encoder=None
         prepared = complaints.withColumn("_text", encoder_text)
         vectors = encoding.encode_with(prepared, "_text", make_encoder).join(complaints.select(ID, WINDOW), ID)
     vectors = clustering.by_window(vectors.select(ID, WINDOW, "vector"))
-    found = clustering.cluster_windows(vectors, settings.cluster)
+    found = clustering.cluster_windows(vectors, settings.cluster, states)
     assigned = vectors.join(found.assignments.select(ID, WINDOW, "local_cluster"), [ID, WINDOW])
     trajectories = settle(trajectory.build_trajectories(assigned, found.links))
     errors, threshold, ranked = score(trajectories, settings)
@@ -73,23 +76,29 @@ def run(raw: DataFrame, settings: RunSettings = RunSettings(), make_encoder=None
 
 
 def backtest(
-    raw: DataFrame, cases: DataFrame, settings: RunSettings = RunSettings(), examples: int | None = None
+    raw: DataFrame,
+    cases: DataFrame,
+    settings: RunSettings = RunSettings(),
+    examples: int | None = None,
+    states: str | None = None,
 ) -> DataFrame:
     """One row per case. Cases that share a recognition date share a run.
 
     For each date the input is cut off before anything is computed, so nothing later can
-    leak in; only clusters that raised an alert can match.
+    leak in; only clusters that raised an alert can match. Windows that end before a date are
+    the same rows for all later dates, so their trained states are kept in ``states`` and
+    serve them all: the dates cost one chain of windows, and each one its own cut window.
     """
     raw = panel.with_dates(standard_columns(raw))
     dates = [r[0] for r in cases.select(F.col("recognition_date").cast("string")).distinct().sort("recognition_date").collect()]
-    results = []
+    results, states = [], states or scratch_path(raw.sparkSession, "states")
     for date in dates:
         own = cases.where(F.col("recognition_date").cast("string") == date)
         before = raw.where(F.to_date(F.col(panel.DATE)) < F.to_date(F.lit(date)))
         if panel.build_panel(before, settings.window, settings.min_words).isEmpty():
             results.append(_no_data(own))
             continue
-        done = run(before, settings)
+        done = run(before, settings, states=states)
         narratives = casework.cluster_narratives(done.clusters.assignments, done.panel, examples)
         matches = casework.match_cases(own, done.ranked, narratives, alerts_only=True)
         results.append(settle(casework.lead_times(own, matches, done.ranked)))

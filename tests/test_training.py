@@ -8,6 +8,7 @@ from nascent.learning.kernels import ClusteringModel, DenseAutoencoder, Sequence
 from nascent.learning.trainer import average, make_shards
 from nascent.operators import scoring
 from nascent.plans import end_to_end
+from nascent.session import settle
 
 
 def check_gradient(f, flat, rng, count=60):
@@ -123,6 +124,47 @@ def test_every_row_of_every_window_is_assigned(spark):
     assert alone.assignments.count() == 3 and [r["trained"] for r in alone.rounds] == [False, True]
 
 
+def windows_of(spark, count, each=40):
+    rng = np.random.default_rng(21)
+    rows = [(w * each + i, f"w{w}", (rng.normal(size=5) + 4 * (i % 3)).tolist()) for w in range(count) for i in range(each)]
+    return spark.createDataFrame(rows, "complaint_id long, window_id string, vector array<double>")
+
+
+QUICK = clustering.ClusterSettings(
+    k=3, latent=2, hidden=(6,), pretrain_epochs=3, max_epochs=4, refresh_every=2, kmeans_starts=1, replay=15
+)
+
+
+def test_later_ends_cost_only_their_own_windows(spark, tmp_path, monkeypatch):
+    df, trained, step = windows_of(spark, 4), [], clustering.cluster_step
+    monkeypatch.setattr(clustering, "cluster_step", lambda rows, n, *rest: trained.append(n) or step(rows, n, *rest))
+
+    def placed(found):
+        return sorted((r.complaint_id, r.window_id, r.local_cluster, r.global_cluster) for r in found.assignments.collect())
+
+    # The last window of every cut-off holds a part of its rows.
+    cuts = [F.col("complaint_id") < end for end in (75, 115, 160)]
+    states = str(tmp_path / "states")
+    chained = [placed(clustering.cluster_windows(df.where(cut), QUICK, states)) for cut in cuts]
+    # Two windows, then two more as the second has become whole, then the third whole and the last.
+    assert trained == [40, 35, 40, 35, 40, 40]
+    again = placed(clustering.cluster_windows(df, QUICK, states))
+    assert len(trained) == 6 and again == chained[2]
+    alone = placed(clustering.cluster_windows(df.where(cuts[1]), QUICK))
+    assert len(trained) == 9 and alone == chained[1]
+
+
+def test_the_reservoir_is_a_sample_of_all_windows_so_far(spark):
+    df, before = windows_of(spark, 3), None
+    for w in range(3):
+        own = df.where(F.col("window_id") == f"w{w}").repartition(w + 1)
+        before = settle(clustering.merged_reservoir(before, own, QUICK))
+        whole = clustering.merged_reservoir(None, df.where(F.col("window_id") <= f"w{w}"), QUICK)
+        ids = sorted(r.complaint_id for r in before.collect())
+        assert len(ids) == 15 and ids == sorted(r.complaint_id for r in whole.collect())
+    assert clustering.merged_reservoir(None, df.limit(4), QUICK).count() == 4
+
+
 def test_shifts_and_bursts_stand_out(spark):
     """Steady series train; a level shift and a burst of variance score above all of them."""
     steps, usual = 9, 10
