@@ -6,12 +6,15 @@ text between block borders is a node with its root-to-leaf path of block tags. F
 path the text length, the punctuation and the linked length of its nodes are added up; the
 path's ratio is text per node, weighted by punctuation and by the share that is no link
 (Wu et al., 2013). Along the page the ratios are smoothed with a Gaussian window, then
-fused with the ratio of the path's parent, so that a heading or a short paragraph goes with
-its container. Nodes above a share of the page's best score are the main text.
+fused with the ratio of the path's container, so that a heading, a short paragraph or a list
+goes with the text around it. Nodes above a share of the page's best score are the main text.
 
 Elements that are no article by their meaning (menus, page headers and footers, asides,
-forms, adverts, notices, reader comments, hidden parts) give no nodes. If the page marks an
-article or main part, what lies outside counts less.
+forms, adverts, notices, reader comments, hidden parts) give no nodes. A marked article or
+main part is a prior: what lies outside counts less and must outdo the best inside; inside,
+a smaller share of the best score is enough. There the window stays within one container,
+so that a box without a mark, such as an advert or links to other stories, stands for itself
+and does not live on its neighbours' ratios, while links listed in the text stay with it.
 
 Defined results: null, empty or text-free html gives an empty text; html without tags is
 one block; very long pages are read whole; repeated rows are repeated; a page of equal
@@ -67,13 +70,14 @@ MARKS = set(
 )
 OUTER_MARKS = {"header", "footer", "nav", "menu", "masthead", "aside", "top", "bottom", "search", "form"}
 CONTAINERS = {"article", "main"}
-NESTED = {"ul", "ol", "li", "dl", "dd", "table", "tbody", "thead", "tfoot", "tr", "blockquote", "figure"}
+NESTED = set("ul ol li dl dd table tbody thead tfoot tr blockquote figure header hgroup".split())
 
 
 @dataclass(frozen=True)
 class PathSettings:
     sigma: float = 1.0
     threshold: float = 0.2
+    inside: float = 0.05
     outside: float = 0.25
 
 
@@ -194,24 +198,38 @@ def _ratios(nodes: list[Node], paths: list[tuple[str, ...]]) -> np.ndarray:
     return np.array([known[path] for path in paths])
 
 
+def _smoothed(values: np.ndarray, paths: list[tuple[str, ...]], sigma: float) -> np.ndarray:
+    """Gaussian means along the nodes of each path."""
+    reach = max(1, int(3 * sigma))
+    window = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    places: dict[tuple[str, ...], list[int]] = {}
+    for place, path in enumerate(paths):
+        places.setdefault(path, []).append(place)
+    smooth = np.empty(len(values))
+    for at in places.values():
+        weights = np.convolve(np.ones(len(at)), window)[reach:-reach]
+        smooth[at] = np.convolve(values[at], window)[reach:-reach] / weights
+    return smooth
+
+
 def main_text(page: str | None, settings: PathSettings | None = None) -> str:
     """The main text of a page, blocks joined by an empty line."""
     settings = settings or PathSettings()
     nodes = nodes_of(page or "")
     if not nodes:
         return ""
-    reach = max(1, int(3 * settings.sigma))
-    window = np.exp(-0.5 * (np.arange(-reach, reach + 1) / settings.sigma) ** 2)
-    own = _ratios(nodes, [n.path for n in nodes])
-    smooth = np.convolve(own, window)[reach:-reach] / np.convolve(np.ones(len(own)), window)[reach:-reach]
-    score = np.maximum(smooth, _ratios(nodes, [_container(n.path) for n in nodes]))
+    containers = [_container(n.path) for n in nodes]
+    own, around = _ratios(nodes, [n.path for n in nodes]), _ratios(nodes, containers)
+    score = np.maximum(_smoothed(own, [()] * len(nodes), settings.sigma), around)
     inside = np.array([n.inside for n in nodes])
     if inside.any():
         score = np.where(inside, score, score * settings.outside)
     chosen = (score >= settings.threshold * score.max()) & (own > 0)
     if inside.any():
-        # Inside an article a dateline counts as much as a paragraph; outside one must outdo them all.
-        chosen = np.where(inside, own > 0, chosen & (score >= score[inside].max()))
+        outer = chosen & (score >= score[inside].max())
+        within = np.maximum(_smoothed(own, containers, settings.sigma), around)
+        kept = (within >= settings.inside * within[inside].max()) & (within > 0)
+        chosen = np.where(inside, kept, outer)
     return "\n\n".join(n.text for n, keep in zip(nodes, chosen, strict=True) if keep)
 
 

@@ -28,6 +28,25 @@ def test_an_article_keeps_its_short_parts():
     assert pages.main_text(page) == "T\n\na\n\nb"
 
 
+LONG = "A sentence of the story, with commas, names and dates; it goes on for a good while, as such do. "
+BOXED = f"""<body><div id=top>Home</div><main><header><h1>Title</h1></header><p>{LONG * 4}</p>
+<div class="box1"><p>Buy now and save!</p></div><p>{LONG * 3}</p><ul><li><a href=1>Part one</a><li><a href=2>Part two</a></ul>
+<section class="s"><h2>Next</h2><p>{LONG * 2}</p></section>
+<div class="box2"><h3>More stories</h3><ul><li><a href=3>Cats win</a><li><a href=4>Dogs lose</a></ul></div></main></body>"""
+
+
+def test_unmarked_boxes_inside_an_article_go_by_their_ratio():
+    kept = ["Title", (LONG * 4).strip(), (LONG * 3).strip(), "Part one", "Part two", "Next", (LONG * 2).strip()]
+    assert pages.main_text(BOXED) == "\n\n".join(kept)
+
+
+def test_the_share_decides_inside_an_article():
+    everything = pages.main_text(BOXED, pages.PathSettings(inside=0.0))
+    assert "Buy now" in everything and "Cats win" in everything and "Home" not in everything
+    only_links = "<main><p>Read this, it is the story.</p><div class=m><ul><li><a href=1>Cats win</a></ul></div></main>"
+    assert pages.main_text(only_links, pages.PathSettings(inside=0.0)) == "Read this, it is the story."
+
+
 def test_odd_pages(spark):
     cases = {
         None: "",
