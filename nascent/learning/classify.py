@@ -1,4 +1,4 @@
-"""Product classifiers on MLlib and their comparison."""
+"""Product classifiers and their comparison: MLlib networks and boosted trees on histograms."""
 
 from __future__ import annotations
 
@@ -6,12 +6,13 @@ import time
 from functools import reduce
 
 from pyspark.ml import Pipeline
-from pyspark.ml.classification import GBTClassifier, MultilayerPerceptronClassifier, OneVsRest
+from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from nascent.learning import boosting
 from nascent.operators import features, quality, sampling
 from nascent.operators.panel import ID
 from nascent.session import settle
@@ -80,19 +81,14 @@ def train_boosted(
     fold: int | None = 12,
     seed: int = 17,
 ) -> DataFrame:
-    """Test predictions of boosted trees on the fused vector, one class against the rest."""
+    """Test predictions of boosted trees for all classes on the fused vector."""
     if fold:
         parts = features.sequence_fold_features(parts, fold, vector)
         vector = "fused"
-    data = settle(_with_features(parts, vector).select(ID, label, "part", "features"))
-    boosted = GBTClassifier(
-        maxIter=trees, maxDepth=depth, stepSize=rate, subsamplingRate=subsample, seed=seed
-    )
-    each = OneVsRest(
-        classifier=boosted, labelCol="_y", featuresCol="features", predictionCol="_predicted", parallelism=8
-    )
-    model = _fit(data.where("part <> 'test'"), label, each)
-    return _predict(model, data.where("part = 'test'"), label)
+    data = settle(parts.select(ID, F.col(label).cast("string").alias("truth"), "part", vector))
+    settings = boosting.BoostSettings(trees, depth, rate, subsample, seed=seed)
+    forest = boosting.train(data.where("part <> 'test'"), ID, "truth", vector, settings)
+    return boosting.predict(forest, data.where("part = 'test'"), vector, ID, "truth").drop("share")
 
 
 def train_filtered_mlp(parts: DataFrame, label: str, vector: str = "vector", **options) -> DataFrame:

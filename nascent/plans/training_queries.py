@@ -97,7 +97,7 @@ def mlp_classifier(spark, sf_dir):
 
 @register("boosted_fused")
 def boosted_fused(spark, sf_dir):
-    return classify.train_boosted(_labelled(spark, sf_dir), "label", trees=5, depth=3, fold=8)
+    return classify.train_boosted(_labelled(spark, sf_dir), "label", trees=100, depth=5, fold=8)
 
 
 @register("model_table")
