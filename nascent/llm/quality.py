@@ -146,21 +146,24 @@ def _moments(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _normal_equations(rows: DataFrame, model: QualityModel, groups: int) -> tuple[np.ndarray, np.ndarray]:
-    """Z'Z and Z'y over all rows, summed per task, then per group, then on the driver.
+    """Z'Z and Z'y over all rows, summed per task, then in a tree, then on the driver.
 
-    A part is one row of (features + 1)² numbers, whatever the number of rows; the driver
-    adds at most ``groups`` of them.
+    A part is one row of (features + 1)² numbers, whatever the number of rows; tasks without
+    rows send none. Each of three levels leaves ``groups`` times fewer sums, so that a million
+    tasks meet in groups of about 32, and the driver adds at most ``groups`` sums.
     """
     size = model.directions.shape[1] + 1
 
     def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, seen = np.zeros((size, size + 1)), 0
+        total, seen, filled = np.zeros((size, size + 1)), 0, False
         for batch in batches:
             if len(batch):
                 z = model.features(_matrix(batch["stats"]))
                 total += z.T @ np.hstack([z, batch[["y"]].to_numpy(dtype=float)])
                 seen = int(batch["spread"].iloc[0])
-        yield pd.DataFrame({"g": [seen % groups], "total": [total.astype("<f8").tobytes()]})
+                filled = True
+        if filled:
+            yield pd.DataFrame({"g": [seen], "total": [total.astype("<f8").tobytes()]})
 
     def add(parts: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(p, dtype="<f8") for p in parts["total"])
@@ -168,7 +171,10 @@ def _normal_equations(rows: DataFrame, model: QualityModel, groups: int) -> tupl
 
     given = rows.select("stats", "y", F.spark_partition_id().alias("spread"))
     parts = given.mapInPandas(part, "g int, total binary")
-    summed = parts.groupBy("g").applyInPandas(add, "g int, total binary").collect()
+    for level in (3, 2, 1):
+        parts = parts.withColumn("g", F.pmod("g", F.lit(groups**level)))
+        parts = parts.groupBy("g").applyInPandas(add, "g int, total binary")
+    summed = parts.collect()
     total = sum((np.frombuffer(r["total"], dtype="<f8") for r in summed), np.zeros(size * (size + 1)))
     total = total.reshape(size, size + 1)
     return total[:, :size], total[:, size]

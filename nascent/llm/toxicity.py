@@ -86,7 +86,8 @@ def training_rows(
     """``(positive, slots)`` of a bounded sample of toxic and of unlabelled rows.
 
     At most ``positives`` + ``unlabelled`` ids are drawn, and the texts meet them by a
-    broadcast join, so no text is shuffled. Ids with several rows take one of them.
+    broadcast join, so no text is shuffled. An id with several rows takes one of them, chosen
+    by hash before the shuffle, so that a repeated id costs no more than another.
     """
     bounded_batches(docs.sparkSession)
     known = _chosen(toxic_ids.where(F.col(id_col).isNotNull()), id_col, settings.positives)
@@ -110,8 +111,9 @@ def training_rows(
     rows = texts.join(F.broadcast(small), id_col).select(
         F.col(id_col).cast("string").alias("id"), "positive", "text"
     )
-    found = rows.mapInPandas(extract, "id string, positive int, slots binary").toPandas()
-    return found.drop_duplicates(["id", "positive"]).sort_values(["positive", "id"])
+    found = rows.mapInPandas(extract, "id string, positive int, slots binary")
+    one = F.min_by("slots", F.xxhash64("slots")).alias("slots")
+    return found.groupBy("id", "positive").agg(one).toPandas().sort_values(["positive", "id"])
 
 
 def fit(rows: pd.DataFrame, prior: float, settings: ToxicitySettings) -> ToxicityModel:

@@ -81,6 +81,33 @@ def test_normal_equations_do_not_depend_on_partitions(spark):
     assert np.allclose(one.mean, plain.mean(axis=0))
 
 
+def test_normal_equations_equal_plain_ones(spark):
+    docs, labels = corpus(spark, "quality")
+    rows = quality.with_statistics(docs).join(labels, "doc_id").select("stats", "y").cache()
+    model = quality.train(rows)
+    plain = rows.collect()
+    z = model.features(np.array([r.stats for r in plain]))
+    y = np.array([r.y for r in plain], dtype=float)
+    # Far more tasks than rows, and fewer groups than tasks on every level.
+    left, right = quality._normal_equations(rows.repartition(600), model, 4)
+    assert np.allclose(left, z.T @ z) and np.allclose(right, z.T @ y)
+    settings = quality.QualitySettings()
+    ridge = np.diag([settings.ridge * len(y) / settings.features] * settings.features + [1e-9])
+    assert np.allclose(np.linalg.solve(z.T @ z + ridge, z.T @ y), model.weights, atol=1e-6)
+
+
+def test_one_row_of_a_repeated_id_is_drawn(spark):
+    rows = [(7, f"word{i} and more") for i in range(500)] + [(i, f"text {i}") for i in range(100, 120)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    marks = spark.createDataFrame([(7,), (101,)], "doc_id bigint")
+    settings = toxicity.ToxicitySettings()
+    drawn = [toxicity.training_rows(docs.repartition(n), marks, settings) for n in (1, 9)]
+    assert drawn[0].equals(drawn[1].reset_index(drop=True).set_index(drawn[0].index))
+    assert sorted(zip(drawn[0]["positive"], drawn[0]["id"], strict=True)) == sorted(
+        [(0, str(i)) for i in (7, *range(100, 120))] + [(1, "7"), (1, "101")]
+    )
+
+
 def test_quality_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \n "), (4, "a" * 500_000), (4, "a" * 500_000), (5, "🎉é\u0000")]
     odd = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("stats", F.lit("own"))
