@@ -14,7 +14,8 @@ linked fingerprints, never its pairs.
 
 Defined results: a null or empty text, or one of white space, has fingerprint zero, which
 links like any other; fewer than ``width`` words are one shingle; repeated rows and ties
-share a fingerprint and a component; a null id gets the component of its fingerprint;
+share a fingerprint and a component; a row without an id links others and gets the component of
+its fingerprint, null if no id is reachable;
 extra columns are ignored; an empty table gives an empty result.
 """
 
@@ -42,6 +43,7 @@ from nascent.llm.common import (
     run_ends,
 )
 from nascent.llm.components import components
+from nascent.operators.numbering import number_rows
 from nascent.session import settle
 
 SEED = 42
@@ -254,8 +256,13 @@ def near_duplicates(
 ) -> DataFrame:
     """``(id, row_key, fp, component)``: the smallest id reachable over links, for every row."""
     prints = settle(fingerprints(docs, id_col, text_col, width))
-    nodes = settle(prints.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("rep")).where("rep is not null"))
-    count = nodes.count()
+    nodes = settle(prints.groupBy("fp").agg(F.min(id_col).cast("bigint").alias("rep")))
+    count, with_id, top = nodes.agg(F.count("*"), F.count("rep"), F.coalesce(F.max("rep"), F.lit(0))).first()
+    if with_id < count:
+        # Texts without an id still link others: they take numbers above all ids.
+        bare = number_rows(nodes.where("rep is null").select("fp"), [F.col("fp")], "n")
+        bare = bare.select("fp", (F.lit(top + 1) + F.col("n")).cast("bigint").alias("rep"))
+        nodes = settle(nodes.where("rep is not null").unionByName(bare))
     if count > 1:
         links = linked(nodes, make_plan(nodes, radius), radius, count)
         found = components(links, "left", "right")
@@ -263,4 +270,5 @@ def near_duplicates(
         groups = joined.select("fp", F.coalesce("component", "rep").alias("component"))
     else:
         groups = nodes.select("fp", F.col("rep").alias("component"))
+    groups = groups.select("fp", F.when(F.col("component") <= top, F.col("component")).alias("component"))
     return prints.join(groups, "fp", "left").select(id_col, "row_key", "fp", "component")

@@ -169,7 +169,8 @@ def repeated_windows(
     width = WIDTH * (-(-entries // blocks))
 
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(chunks, 20_000))
-    chunk = F.pmod(F.xxhash64(F.col(id_col)), F.lit(chunks)).cast("int")
+    # Windows are compared by id, wherever their rows are, so rows of one id, or without any, spread.
+    chunk = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(chunks)).cast("int")
     dealt = kept.withColumn("__chunk", chunk).repartition(parts, "__chunk")
     slim = dealt.select("__chunk", id_col, text_col)
 

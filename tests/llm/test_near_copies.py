@@ -85,6 +85,23 @@ def test_simhash_of_odd_rows(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_a_text_without_an_id_links_two_others(spark):
+    words = [f"w{i}" for i in range(80)]
+    chain = [" ".join(words[:n] + [f"x{i}" for i in range(n, 80)]) for n in range(80, 0, -1)]
+    prints = [plain_print(t) for t in chain]
+    apart = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    a, b, c = next(
+        (a, b, c)
+        for b in range(1, 79) for a in range(b) for c in range(b + 1, 80)
+        if apart(a, b) <= 4 and apart(b, c) <= 4 and apart(a, c) > 4
+    )
+    rows = [(9, chain[a]), (5, chain[c]), (3, "something else, quite far from the others in all its words"), (None, "alone " * 9)]
+    got = lambda extra: {r.doc_id: r.component for r in simhash.near_duplicates(spark.createDataFrame(rows + extra, "doc_id bigint, text string")).collect()}
+    assert got([]) == {9: 9, 5: 5, 3: 3, None: None}
+    linked = got([(None, chain[b]), (None, chain[b])])
+    assert (linked[9], linked[5], linked[3]) == (5, 5, 3)
+
+
 @pytest.mark.parametrize("name", ["op4_embeddings", "op7_substrings"])
 def test_queries_against_sql(spark, data, name):
     con = checking.connect(data)
@@ -124,11 +141,19 @@ def test_windows_in_many_chunks_and_blocks(spark, monkeypatch, chunk, entries):
     assert found == plain_removal(rows, 5)
 
 
-def test_windows_of_null_ids_and_of_nothing(spark):
+def test_windows_of_null_ids_and_of_nothing(spark, monkeypatch):
     text = " ".join(f"w{i}" for i in range(20))
     docs = spark.createDataFrame([(None, text), (4, text), (6, text)], "doc_id bigint, text string")
     got = {r.doc_id: r.n_removed for r in substrings.repeated_windows(docs).collect()}
     assert got == {None: 0, 4: 0, 6: 20}
+    monkeypatch.setattr(substrings, "CHUNK_CHARS", (300, 300))
+    # A hot id and a hot null: their rows are dealt by text, and compared by id all the same.
+    words = [f"{text} s{i} {'t' * (i % 7)}" for i in range(200)]
+    rows = [(8, w) for w in words[:90]] + [(None, w) for w in words[90:160]] + [(11, words[0]), (2, words[150])]
+    found = substrings.repeated_windows(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    with_id = sorted((r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text)) for r in found if r.doc_id is not None)
+    assert with_id == plain_removal([r for r in rows if r[0] is not None], 13)
+    assert [r.n_removed for r in found if r.doc_id is None] == [0] * 70
     assert substrings.repeated_windows(docs.limit(0)).count() == 0
 
 
