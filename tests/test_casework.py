@@ -158,3 +158,44 @@ def test_npmi_bounds(spark):
     topics = spark.createDataFrame([(0, "aa"), (0, "bb"), (1, "cc"), (1, "dd")], "topic int, term string")
     got = {r.topic: r.coherence for r in terms.npmi(docs, topics, "topic", F.split("t", " ")).collect()}
     assert got == {0: 1.0, 1: -1.0}
+
+
+def test_keywords_and_labels_by_brute_force(spark, monkeypatch):
+    """Few common terms, few first ones, repeated and null ids, a null group, texts of one word."""
+    monkeypatch.setattr(terms, "COMMON_TERMS", 12)
+    monkeypatch.setattr(terms, "FIRST_TERMS", 5)
+    rng = random.Random(11)
+    many = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60)]
+    rows = [(rng.choice([None, 5, i]) if i % 9 == 0 else i, rng.choice(["a", "a", "a", "b", None]),
+             " ".join(rng.choices(many, [1 / (1 + j) for j in range(60)], k=rng.randrange(12)))) for i in range(120)]
+    rows += [(1000, "c", "lone"), (1001, "c", "lone pair lone"), (1002, "d", ""), (1003, "d", None)]
+    docs = spark.createDataFrame(rows, f"complaint_id long, grp string, {NARRATIVE} string")
+    for got, whole in (
+        (terms.top_terms(docs, "grp", F.col(NARRATIVE), 3), True),
+        (terms.export_keywords(docs, "grp", F.col(NARRATIVE), 3), False),
+    ):
+        def cut(body):
+            words = (body or "").split()
+            return words if whole else words + [f"{x} {y}" for x, y in zip(words, words[1:])]
+
+        df, weight, norm, sums, size = {}, [], {}, {}, {}
+        for _, grp, body in rows:
+            size[grp] = size.get(grp, 0) + 1
+            for term in set(cut(body)):
+                df[grp if whole else 0, term] = df.get((grp if whole else 0, term), 0) + 1
+        for key, grp, body in rows:
+            if whole and grp is None:
+                continue
+            for term in set(cut(body)):
+                n = size[grp] if whole else len(rows)
+                w = cut(body).count(term) * (math.log((1 + n) / (1 + df[grp if whole else 0, term])) + 1)
+                weight.append((key, grp, term, w))
+                norm[key] = norm.get(key, 0) + w * w
+        for key, grp, term, w in weight:
+            if grp is not None:
+                sums[grp, term] = sums.get((grp, term), 0) + w / math.sqrt(norm[key])
+        want = set()
+        for grp in "abc":
+            mine = sorted((-round(s if whole else s / size[grp], 6), term) for (g, term), s in sums.items() if g == grp)
+            want |= {(grp, term, rank) for rank, (_, term) in enumerate(mine[:3], 1)}
+        assert {(r.grp, r.term, r["rank"]) for r in got.collect()} == want
