@@ -199,3 +199,11 @@ def test_keywords_and_labels_by_brute_force(spark, monkeypatch):
             mine = sorted((-round(s if whole else s / size[grp], 6), term) for (g, term), s in sums.items() if g == grp)
             want |= {(grp, term, rank) for rank, (_, term) in enumerate(mine[:3], 1)}
         assert {(r.grp, r.term, r["rank"]) for r in got.collect()} == want
+
+
+def test_large_sets_of_patterns_keep_texts_of_a_key_apart(spark):
+    texts = spark.createDataFrame([(1, "abcdxxxx"), (1, "yyyyefgh"), (2, "abcdefgh"), (2, "abcdefgh")], "k int, t string")
+    patterns = spark.createDataFrame([("abcdefgh",), ("xyyy",), ("dxx",)], "p string")
+    for limit in (0, 1 << 20):
+        rows = contained(texts, "k", F.col("t"), patterns, "p", limit).collect()
+        assert sorted(tuple(r) for r in rows) == [(1, "dxx"), (2, "abcdefgh")]
