@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nascent.learning.kernels import Adam, ClusteringModel, DenseAutoencoder, sharpened
-from nascent.learning.trainer import make_shards, matrix, minibatches, shards_for, train_round
+from nascent.learning.kernels import Adam, ClusteringModel, DenseAutoencoder, Tuner, sharpened
+from nascent.learning.trainer import in_order, make_shards, matrix, minibatches, shards_for, train_round
 from nascent.operators import quality, sampling
 from nascent.operators.clusters import GLOBAL, LOCAL
 from nascent.operators.linking import link_clusters
@@ -48,6 +48,13 @@ class ClusterSettings:
     shards: int | None = None
 
 
+# Steps of a single shard between two jobs: minutes that a lost executor costs.
+JOB_STEPS = 200_000
+TUNED = pa.schema(
+    [("w", pa.list_(pa.float64())), ("before", pa.list_(pa.float64())), ("done", pa.int64())]
+    + [("change", pa.float64()), ("loss", pa.float64()), ("ended", pa.bool_())]
+)
+
 SMALL = ClusterSettings(
     k=8, latent=16, hidden=(64, 32), pretrain_epochs=10, max_epochs=20, refresh_every=10,
     epochs_per_window=1, kmeans_starts=1,
@@ -169,7 +176,28 @@ def fine_tune(
 
     The target needs one global number per cluster; each row's target is then computed
     on the fly from the weights at the last refresh, so no per-row state is stored.
+
+    With several shards every round and every refresh is a job. A single shard has nothing to
+    average with, so its task does the same steps without leaving, ``JOB_STEPS`` at a time.
     """
+    way = _tune_alone if shards.rdd.getNumPartitions() == 1 else _tune_in_rounds
+    return way(shards, model, weights, settings, max_epochs, vector)
+
+
+def _epochs_on(
+    model: ClusteringModel, weights: np.ndarray, x: np.ndarray, p: np.ndarray, epochs: int, settings: ClusterSettings, rng: np.random.Generator
+) -> tuple[Tuner, float]:
+    """One shard's steps and the mean loss of the last epoch."""
+    tuner, total = model.tuner(weights, settings.rate), 0.0
+    for epoch in range(epochs):
+        for rows in minibatches(len(x), settings.batch, rng):
+            total += tuner.step(x, p, rows, epoch == epochs - 1) * len(rows)
+    return tuner, total / len(x)
+
+
+def _tune_in_rounds(
+    shards: DataFrame, model: ClusteringModel, weights: np.ndarray, settings: ClusterSettings, max_epochs: int, vector: str
+) -> tuple[np.ndarray, dict]:
     before, done, change, loss = None, 0, 1.0, float("nan")
     context = shards.sparkSession.sparkContext
     while True:
@@ -188,14 +216,8 @@ def fine_tune(
                 x = matrix(batch.column(vector))
                 snapshot, f = target.value
                 p = sharpened(model.assign(snapshot, x), f)
-                adam, total = Adam(local.size, settings.rate), 0.0
-                for _ in range(epochs):
-                    total = 0.0
-                    for rows in minibatches(len(x), settings.batch, rng):
-                        part, grad = model.loss_and_gradient(local, x[rows], p[rows])
-                        adam.step(local, grad)
-                        total += part * len(rows)
-                return local, total / len(x), len(x)
+                tuner, part = _epochs_on(model, local, x, p, epochs, settings, rng)
+                return tuner.weights(), part, len(x)
 
             weights, loss, _ = train_round(shards, weights, learn, settings.seed + 7919 + done)
             done += epochs
@@ -203,6 +225,59 @@ def fine_tune(
     return weights, {"epochs": done, "label_change": change, "kl": loss}
 
 
+def _tune_alone(
+    shard: DataFrame, model: ClusteringModel, weights: np.ndarray, settings: ClusterSettings, max_epochs: int, vector: str
+) -> tuple[np.ndarray, dict]:
+    """As :func:`_tune_in_rounds`, equal to the last bit, in a job for many refreshes."""
+    context = shard.sparkSession.sparkContext
+    before, done, loss = None, 0, float("nan")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [batch for batch in batches if batch.num_rows]
+        if not parts:
+            return
+        x = matrix(in_order(parts).column(vector))
+        ends = np.cumsum([0, *(part.num_rows for part in parts)])
+        pieces = [slice(start, end) for start, end in zip(ends[:-1], ends[1:], strict=True)]
+        now, previous, done, loss = sent.value
+        labels = None if previous is None else np.concatenate([model.assign(previous, x[rows]).argmax(axis=1) for rows in pieces])
+        steps, change = 0, 1.0
+        while True:
+            shares = [model.assign(now, x[rows]) for rows in pieces]
+            frequency = sum((q.sum(axis=0) for q in shares), np.zeros(model.k))
+            found = np.concatenate([q.argmax(axis=1) for q in shares])
+            if labels is not None:
+                change = int((found != labels).sum()) / len(x)
+            ended = (labels is not None and change < settings.tolerance) or done >= max_epochs
+            if ended or steps >= JOB_STEPS:
+                break
+            labels, previous = found, now
+            p = sharpened(model.assign(now, x), frequency)
+            until = min(done + settings.refresh_every, max_epochs)
+            while done < until:
+                epochs = min(settings.epochs_per_round, until - done)
+                rng = np.random.default_rng([settings.seed + 7919 + done, 0])
+                tuner, loss = _epochs_on(model, now, x, p, epochs, settings, rng)
+                # The mean of one shard, rounded as ``average`` rounds it.
+                now, loss = len(x) * tuner.weights() / len(x), loss * len(x) / len(x)
+                done += epochs
+                steps += epochs * -(-len(x) // settings.batch)
+        row = {"w": now, "before": previous, "done": done, "change": change, "loss": loss, "ended": ended}
+        yield pa.RecordBatch.from_pylist([row], schema=TUNED)
+
+    while True:
+        sent = context.broadcast((weights, before, done, loss))
+        rows = shard.mapInArrow(work, "w array<double>, before array<double>, done long, change double, loss double, ended boolean").collect()
+        sent.unpersist()
+        if not rows:
+            raise ValueError("no rows to train on")
+        row = rows[0]
+        weights, done, loss = np.array(row["w"]), row["done"], row["loss"]
+        before = None if row["before"] is None else np.array(row["before"])
+        if row["ended"]:
+            return weights, {"epochs": done, "label_change": row["change"], "kl": loss}
+
+
 def assign_rows(shards: DataFrame, model: ClusteringModel, weights: np.ndarray, vector: str = "vector") -> DataFrame:
     """Rows with ``local_cluster`` and the autoencoder's error on the row."""
     sent = shards.sparkSession.sparkContext.broadcast(weights)

@@ -125,6 +125,85 @@ class ClusteringModel:
         tail = np.zeros(self.network_size - sum(g.size for g in grads))
         return loss, np.concatenate([pack(grads), tail, centre_slope.ravel()])
 
+    def tuner(self, flat: np.ndarray, rate: float) -> Tuner:
+        return Tuner(self, flat, rate)
+
+
+class Tuner:
+    """Steps of a :class:`ClusteringModel` on one shard, equal to the last bit to those with
+    ``loss_and_gradient`` and :class:`Adam` on the whole vector.
+
+    The decoder, which has no gradient, takes no part; weights, gradients and the parts of a
+    batch are views of arrays that are made once, and the loss is computed only when asked for.
+    """
+
+    def __init__(self, model: ClusteringModel, flat: np.ndarray, rate: float) -> None:
+        network = model.network
+        shapes = network.shapes[: 2 * network.encoder_depth]
+        self.size = int(sum(np.prod(s) for s in shapes))
+        self.network, self.start, self.tail = network, flat, model.network_size
+        self.active = np.concatenate([flat[: self.size], flat[model.network_size :]])
+        self.slope = np.empty_like(self.active)
+        centres = (model.k, network.latent)
+        *self.parts, self.centres = unpack(self.active, [*shapes, centres])
+        *self.grads, self.centre_grad = unpack(self.slope, [*shapes, centres])
+        self.adam = Adam(self.active.size, rate)
+        self.spaces: dict[int, tuple] = {}
+
+    def weights(self) -> np.ndarray:
+        """The whole vector, with the weights as they are now."""
+        flat = self.start.copy()
+        flat[: self.size], flat[self.tail :] = self.active[: self.size], self.active[self.size :]
+        return flat
+
+    def _space(self, n: int) -> tuple:
+        if n not in self.spaces:
+            wide = [np.empty((n, part.shape[1])) for part in self.parts[::2]]
+            self.spaces[n] = (
+                [np.empty((n, len(self.parts[0]))), *wide], [np.empty_like(v) for v in wide],
+                [np.empty(v.shape, dtype=bool) for v in wide], np.empty((n, *self.centres.shape)), np.empty((n, len(self.centres))),
+            )
+        return self.spaces[n]
+
+    def step(self, x: np.ndarray, p: np.ndarray, rows: np.ndarray, with_loss: bool) -> float:
+        """One step on some rows of a shard; their loss, or 0 where it is not asked for."""
+        n, depth, parts = len(rows), self.network.encoder_depth, self.parts
+        values, slopes, above, gaps, target = self._space(n)
+        np.take(x, rows, axis=0, out=values[0], mode="clip")
+        np.take(p, rows, axis=0, out=target, mode="clip")
+        for layer in range(depth):
+            out = np.matmul(values[layer], parts[2 * layer], out=values[layer + 1])
+            out += parts[2 * layer + 1]
+            if self.network._rectified(layer):
+                np.maximum(out, 0, out=out)
+        z = values[depth]
+        np.subtract(z[:, None, :], self.centres[None, :, :], out=gaps)
+        np.multiply(gaps, gaps, out=gaps)
+        kernel = gaps.sum(axis=2)
+        kernel += 1.0
+        np.divide(1.0, kernel, out=kernel)
+        q = kernel / kernel.sum(axis=1, keepdims=True)
+        loss = 0.0
+        if with_loss:
+            loss = float((target * (np.log(np.maximum(target, 1e-12)) - np.log(q + 1e-9))).sum() / n)
+        pull = np.subtract(target, q, out=q)
+        pull *= kernel
+        slope = np.multiply(pull.sum(axis=1, keepdims=True), z, out=slopes[-1])
+        slope -= pull @ self.centres
+        slope *= 2.0 / n
+        np.matmul(pull.T, z, out=self.centre_grad)
+        self.centre_grad -= pull.sum(axis=0)[:, None] * self.centres
+        self.centre_grad *= -2.0 / n
+        for layer in reversed(range(depth)):
+            if self.network._rectified(layer):
+                slope *= np.greater(values[layer + 1], 0, out=above[layer])
+            np.matmul(values[layer].T, slope, out=self.grads[2 * layer])
+            slope.sum(axis=0, out=self.grads[2 * layer + 1])
+            if layer:
+                slope = np.matmul(slope, parts[2 * layer].T, out=slopes[layer - 1])
+        self.adam.step(self.active, self.slope)
+        return loss
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1.0 + np.tanh(0.5 * x))
@@ -222,10 +301,22 @@ class Adam:
 
     def __init__(self, size: int, rate: float) -> None:
         self.rate, self.m, self.v, self.t = rate, np.zeros(size), np.zeros(size), 0
+        self.spare, self.fixed = np.empty(size), np.empty(size)
 
     def step(self, flat: np.ndarray, grad: np.ndarray) -> None:
         self.t += 1
-        self.m += 0.1 * (grad - self.m)
-        self.v += 0.001 * (grad * grad - self.v)
-        fixed = np.sqrt(self.v / (1 - 0.999**self.t)) + 1e-8
-        flat -= self.rate * (self.m / (1 - 0.9**self.t)) / fixed
+        spare, fixed = self.spare, self.fixed
+        np.subtract(grad, self.m, out=spare)
+        spare *= 0.1
+        self.m += spare
+        np.multiply(grad, grad, out=spare)
+        spare -= self.v
+        spare *= 0.001
+        self.v += spare
+        np.divide(self.v, 1 - 0.999**self.t, out=fixed)
+        np.sqrt(fixed, out=fixed)
+        fixed += 1e-8
+        np.divide(self.m, 1 - 0.9**self.t, out=spare)
+        spare *= self.rate
+        spare /= fixed
+        flat -= spare

@@ -67,6 +67,12 @@ def average(rows: DataFrame, shards: int) -> tuple[np.ndarray, float, float]:
     return result["w"].toArray(), float(result["loss"]), float(result["n"])
 
 
+def in_order(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+    """The batches of a shard as one, by the first column."""
+    table = pa.Table.from_batches(parts)
+    return table.sort_by(table.column_names[0]).combine_chunks().to_batches()[0]
+
+
 def train_round(
     shards: DataFrame,
     weights: np.ndarray,
@@ -81,9 +87,7 @@ def train_round(
         rng = np.random.default_rng([seed, shard])
         parts = [batch for batch in batches if batch.num_rows]
         if parts:
-            table = pa.Table.from_batches(parts)
-            table = table.sort_by(table.column_names[0]).combine_chunks()
-            local, loss, seen = learn(sent.value.copy(), table.to_batches()[0], rng)
+            local, loss, seen = learn(sent.value.copy(), in_order(parts), rng)
             yield pa.RecordBatch.from_pydict(
                 {
                     "shard": pa.array([shard], pa.int32()),

@@ -4,8 +4,8 @@ from fixtures import COLUMNS, blank_letters, letters
 from pyspark.sql import functions as F
 
 from nascent.learning import classify, clustering, sequences
-from nascent.learning.kernels import ClusteringModel, DenseAutoencoder, SequenceAutoencoder, sharpened
-from nascent.learning.trainer import average, make_shards
+from nascent.learning.kernels import Adam, ClusteringModel, DenseAutoencoder, SequenceAutoencoder, sharpened
+from nascent.learning.trainer import average, make_shards, minibatches
 from nascent.operators import scoring
 from nascent.plans import end_to_end
 from nascent.session import settle
@@ -36,6 +36,22 @@ def test_gradients_match_finite_differences():
     check_gradient(lambda w: recurrent.loss_and_gradient(w, seq), recurrent.initial(2), rng, 150)
 
 
+def test_lean_steps_equal_the_plain_ones_to_the_last_bit():
+    rng = np.random.default_rng(4)
+    network = DenseAutoencoder(9, (8, 6), 5)
+    model = ClusteringModel(network, 3)
+    x, flat = rng.normal(size=(101, 9)), np.concatenate([network.initial(1), rng.normal(size=15)])
+    q = model.assign(flat, x)
+    p = sharpened(q, q.sum(axis=0))
+    plain, adam, lean = flat.copy(), Adam(flat.size, 1e-2), model.tuner(flat, 1e-2)
+    for epoch in range(4):
+        for rows in minibatches(len(x), 16, np.random.default_rng(epoch)):
+            loss, grad = model.loss_and_gradient(plain, x[rows], p[rows])
+            adam.step(plain, grad)
+            assert lean.step(x, p, rows, True) == loss
+    assert np.array_equal(lean.weights(), plain) and not np.array_equal(plain, flat)
+
+
 CORNERS = [(0, 3), (2, 7), (5, 9), (1, 11)]
 
 
@@ -88,6 +104,25 @@ def test_bundles_are_found(spark):
     assert facts["epochs"] <= SETTINGS.max_epochs
 
 
+@pytest.mark.parametrize("steps", [200_000, 30])
+def test_one_shard_tunes_without_a_job_per_round(spark, monkeypatch, steps):
+    """The same weights as by rounds, in jobs that follow the steps instead of the rounds."""
+    network = DenseAutoencoder(12, SETTINGS.hidden, SETTINGS.latent)
+    model, rng = ClusteringModel(network, 4), np.random.default_rng(3)
+    start = np.concatenate([network.initial(2), rng.normal(size=16)])
+    shard = make_shards(bundles(spark), "complaint_id", 1)
+    context = spark.sparkContext
+    monkeypatch.setattr(clustering, "JOB_STEPS", steps)
+    context.setJobGroup(f"alone {steps}", "tuning")
+    tuned, facts = clustering.fine_tune(shard, model, start, SETTINGS, 35)
+    jobs = len(context.statusTracker().getJobIdsForGroup(f"alone {steps}"))
+    context.setJobGroup("other", "other")
+    by_rounds, same = clustering._tune_in_rounds(shard, model, start, SETTINGS, 35, "vector")
+    assert np.array_equal(tuned, by_rounds) and facts == same and facts["epochs"] > 10
+    # Five steps an epoch, ten epochs between two refreshes: four intervals at most.
+    assert jobs == 1 if steps > 1_000 else 1 < jobs <= 5
+
+
 @pytest.mark.parametrize("size", [7, 10_000])
 def test_training_does_not_depend_on_arrow_batches(spark, size):
     network = DenseAutoencoder(12, (8,), 3)
