@@ -62,12 +62,15 @@ class Tree:
 
     def nodes(self, bins: np.ndarray, levels: int) -> np.ndarray:
         """The node of every row and class after that many levels."""
-        rows, classes = np.arange(len(bins))[:, None], np.arange(len(self.value))[None, :]
-        node = np.zeros((len(bins), len(self.value)), dtype=np.int64)
-        for level in range(levels):
-            at = 2**level - 1 + node
-            node = 2 * node + (bins[rows, self.feature[classes, at]] > self.cut[classes, at])
-        return node
+        found = np.zeros((len(self.value), len(bins)), dtype=np.int64)
+        flat, starts = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        for feature, cut, node in zip(self.feature, self.cut, found, strict=True):
+            for level in range(levels):
+                at = node + (2**level - 1)
+                right = flat.take(starts + feature.take(at)) > cut.take(at)
+                node *= 2
+                node += right
+        return found.T
 
     def scores(self, bins: np.ndarray) -> np.ndarray:
         depth = int(np.log2(self.value.shape[1]))
@@ -120,6 +123,28 @@ def in_sample(keys: np.ndarray, number: int, settings: BoostSettings) -> np.ndar
     return mixed / 2.0**64 < settings.subsample
 
 
+def histograms(
+    columns: np.ndarray, node: np.ndarray, taken: np.ndarray, wanted: np.ndarray, values: tuple[np.ndarray, ...], bins: int
+) -> np.ndarray:
+    """Sums of ``values`` by wanted node, feature and bin (together) and value.
+
+    A feature at a time, so that its bins and sums stay in the processor's cache. Rows of other
+    nodes are left out if they are many, else they go to a place behind the wanted ones.
+    """
+    if 2 * taken.sum() < len(taken):
+        columns, node, values = columns[:, taken], node[taken], tuple(v[taken] for v in values)
+    place = np.full(int(node.max()) + 1, len(wanted))
+    place[wanted] = np.arange(len(wanted))
+    start, size = place[node] * bins, (len(wanted) + 1) * bins
+    values = [np.ascontiguousarray(v) for v in values]
+    sums, where = np.empty((len(wanted), len(columns), bins, len(values))), np.empty_like(start)
+    for feature, column in enumerate(columns):
+        np.add(start, column, out=where)
+        for i, value in enumerate(values):
+            sums[:, feature, :, i] = np.bincount(where, value, size).reshape(-1, bins)[:-1]
+    return sums.reshape(len(wanted), -1, len(values))
+
+
 def best_split(sums: np.ndarray, settings: BoostSettings) -> tuple[int, int, float, np.ndarray, np.ndarray]:
     """``(feature, cut, gain, left sums, all sums)`` of a histogram by feature, bin and derivative."""
     total = sums[0].sum(axis=0)
@@ -169,20 +194,16 @@ def _level(shards: DataFrame, count: int, pending: list[Tree], tree: Tree, open_
             scores = scores + grown.scores(cells)
         first, second = derivatives(scores, table.column("y").to_numpy())
         nodes = tree.nodes(cells, level)
-        flat = cells + np.arange(features)[None, :] * bins
+        columns = np.ascontiguousarray(cells.T, dtype=np.int64)
         shard = table.column("shard")[0].as_py()
-        size = features * bins
         for label in range(len(open_)):
-            taken = open_[label][nodes[:, label]]
-            wanted = np.flatnonzero(np.bincount(nodes[taken, label], minlength=open_.shape[1]))
+            node = np.ascontiguousarray(nodes[:, label])
+            taken = open_[label][node]
+            wanted = np.flatnonzero(np.bincount(node[taken], minlength=open_.shape[1]))
             if not len(wanted):
                 continue
-            where = (nodes[taken, label][:, None] * size + flat[taken]).ravel()
-            sums = [
-                np.bincount(where, np.repeat(values[taken, label], features), open_.shape[1] * size).reshape(-1, size)
-                for values in (first, second)
-            ]
-            yield _histograms(shard, label, [(node, np.stack([s[node] for s in sums], axis=1)) for node in wanted])
+            sums = histograms(columns, node, taken, wanted, (first[:, label], second[:, label]), bins)
+            yield _histograms(shard, label, list(zip(wanted, sums, strict=True)))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, label, node, sums in _added(batches, features):

@@ -1,5 +1,7 @@
 """Boosted trees against a plain version, over shards, and on odd rows."""
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -76,6 +78,26 @@ def test_trees_do_not_depend_on_shards_or_refreshing(spark, monkeypatch):
         assert np.allclose(a.scores(cells), b.scores(cells), atol=1e-12)
 
 
+def test_histograms_are_plain_sums_without_a_number_per_row_and_feature():
+    rng = np.random.default_rng(8)
+    rows, features, bins = 20_000, 40, 8
+    cells, node = rng.integers(0, bins, (features, rows)), rng.integers(0, 4, rows)
+    values = tuple(np.round(rng.normal(size=rows) * boosting.ROUNDING) / boosting.ROUNDING for _ in range(2))
+    for open_ in ([True, True, False, True], [False, True, False, False]):
+        taken, wanted = np.array(open_)[node], np.flatnonzero(open_)
+        tracemalloc.start()
+        found = boosting.histograms(cells, node, taken, wanted, values, bins)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < cells.nbytes / 2
+        for i, one in enumerate(wanted):
+            want = np.zeros((features, bins, 2))
+            for f in range(features):
+                for v in range(2):
+                    np.add.at(want[f, :, v], cells[f, node == one], values[v][node == one])
+            assert np.array_equal(found[i], want.reshape(-1, 2))
+
+
 def test_every_round_draws_its_share_by_id():
     keys = np.arange(20_000) * 7_919 - 50_000
     settings = boosting.BoostSettings(subsample=0.8)
