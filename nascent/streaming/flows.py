@@ -10,11 +10,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from nascent.functions import text
 from nascent.learning import clustering
@@ -96,7 +94,6 @@ def current_volume(spark: SparkSession, folder: str, keys: list[str]) -> DataFra
 # --- live novelty ---------------------------------------------------------------------------
 
 _NUMBERED = "Emergent Cluster #"
-_KEY = "_set string, _kind string"
 _SEPARATOR = "\u0001"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -162,43 +159,20 @@ def place_texts(stream: DataFrame, folder: str, threshold: float = novelty.NOVEL
     return _start(stream, handle, folder)
 
 
-class _Cluster(StatefulProcessor):
-    """State of one cluster of novel texts: its first text, that one's keywords, and how many."""
-
-    def __init__(self, id_type: str):
-        self._schema = f"first {id_type}, texts long, keywords array<string>"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self._state = handle.getValueState("cluster", self._schema)
-
-    def handleInputRows(self, key, rows, timerValues):
-        first, texts, keywords = self._state.get() if self._state.exists() else (None, 0, None)
-        for frame in rows:
-            for new in frame.itertuples(index=False):
-                if first is None or new.first < first:
-                    first, keywords = new.first, [str(word) for word in new.keywords]
-                texts += int(new.texts)
-        first = first if isinstance(first, str) else int(first)
-        self._state.update((first, texts, list(keywords)))
-        yield pd.DataFrame({"_set": [key[0]], "_kind": [key[1]], "first": [first], "texts": [texts], "keywords": [list(keywords)]})
-
-    def close(self) -> None:
-        pass
-
-
 def grow_clusters(spark: SparkSession, folder: str) -> StreamingQuery:
     """Open and grow clusters of novel texts, one state for each set of keywords and kind.
 
-    Only the clusters that a batch touches are written. The state lives in the checkpoint
-    below ``folder``, so a run that starts again goes on from it. RocksDB holds it, whatever
-    the session's own choice is.
+    A state has the first text's id, its batch and keywords, and how many texts there are. It
+    is kept and merged on the JVM, without a call to Python for each cluster. Only the clusters
+    that a batch touches are written. The state lives in the checkpoint below ``folder``, so a
+    run that starts again goes on from it. RocksDB holds it, whatever the session's own choice is.
     """
     placed = spark.read.parquet(f"{folder}/novel")
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in placed.drop(BATCH).schema)
-    id_type = placed.schema["first"].dataType.simpleString()
-    novel = spark.readStream.schema(f"{fields}, {BATCH} long").parquet(f"{folder}/novel").drop(BATCH)
-    out = f"{_KEY}, first {id_type}, texts long, keywords array<string>"
-    grown = novel.groupBy("_set", "_kind").transformWithStateInPandas(_Cluster(id_type), out, "Update", "None")
+    novel = spark.readStream.schema(f"{fields}, {BATCH} long").parquet(f"{folder}/novel")
+    head = F.min(F.struct("first", BATCH, "keywords")).alias("_head")
+    grown = novel.groupBy("_set", "_kind").agg(head, F.sum("texts").alias("texts"))
+    grown = grown.select("_set", "_kind", "_head.first", "texts", "_head.keywords")
 
     def handle(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/grown/{BATCH}={number}")

@@ -146,6 +146,23 @@ def test_one_or_many_batches_and_restarts_give_the_same_clusters(spark, tmp_path
     assert places == [(2, 2), (3, 2), (4, 3), (5, 2), (6, 1), (7, 0), (8, 4), (9, 2)]
 
 
+def test_many_clusters_grow_without_python_for_each(spark, tmp_path):
+    folder, columns = str(tmp_path / "live"), "_set string, _kind string, first long, texts long, keywords array<string>"
+    # The second batch meets half of the clusters again, some by an earlier text, some by the same one.
+    for number, known in enumerate((range(2000), range(1000, 3000))):
+        rows = [(f"a\u0001w{i}", "Emergent Cluster #", i - number * (i % 2), 2, [("a", "b")[number], f"w{i}"]) for i in known]
+        spark.createDataFrame(rows, columns).repartition(3).write.parquet(f"{folder}/novel/batch={number}")
+        query = flows.grow_clusters(spark, folder)
+        query.awaitTermination()
+        used = {op["operatorName"] for progress in query.recentProgress for op in progress["stateOperators"]}
+        assert used == {"stateStoreSave"}
+    grown = [(r.batch, int(r["keywords"][1][1:]), r["first"], r.texts, r["keywords"][0]) for r in spark.read.parquet(f"{folder}/grown").collect()]
+    # Only what a batch touches is written; the first text by id tells the keywords, of equal ids that of the earlier batch.
+    again = [(1, i, i - i % 2, 4, ("a", "b")[i % 2]) for i in range(1000, 2000)]
+    fresh = [(1, i, i - i % 2, 2, "b") for i in range(2000, 3000)]
+    assert sorted(grown) == [(0, i, i, 2, "a") for i in range(2000)] + again + fresh
+
+
 def test_a_batch_tried_again_counts_once(spark, tmp_path):
     known = spark.createDataFrame([(0, "Mortgage", 5, ["escrow"])], "id int, label string, count long, keywords array<string>")
     columns = f"complaint_id long, {NARRATIVE} string, category string"
