@@ -4,6 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from nascent.functions import text
 from nascent.operators import casework, dashboard, novelty, terms
 from nascent.operators.containment import contained
 from nascent.operators.panel import NARRATIVE
@@ -117,6 +118,28 @@ def test_novelty_without_clusters_or_texts(spark):
     assert novelty.top_assignments(*novelty_input(spark, [(1, "plain text", "")], [])).count() == 0
 
 
+def test_words_of_a_text_are_those_of_all_its_words(spark):
+    """Reading only as far as the words that count gives what all words of the text give."""
+    rng = random.Random(7)
+    parts = ["ai", "voice", "crypto", "said", "\U0001d400", "\U0001f600", "é", "_", "7", "phone", "account", "Wallets", "longer", "abcde", "wort", "İstanbul", "-", "\n", "\u3000", "渡し船"]
+    bodies = ["".join(rng.choice(parts) + rng.choice(["", " ", " ", "."]) for _ in range(rng.randrange(16))) for _ in range(600)]
+    bodies += [None, "", "ai", "x" * 300_000, "Phone " * 50_000 + "ferry", "\U0001d400ai \U0001f600ai", "first second third fourth fifth"]
+    low = F.lower("body")
+    read = spark.createDataFrame([(b,) for b in bodies], "body string").select(
+        "body", F.coalesce(novelty._emerging(low), F.lit(False)).alias("emerging"), novelty._picked(low).alias("picked"),
+        F.regexp_extract_all(low, F.lit(text.WORD), F.lit(0)).alias("tokens"), text.latin_words(F.col("body")).alias("words"),
+    )
+    seen = set()
+    for row in read.collect():
+        assert row.emerging == bool(set(row.tokens or []) & set(novelty.EMERGING_TERMS)), row.body
+        assert (row.picked or []) == [w for w in row.words or [] if len(w) > 4 and w not in novelty.SPAWN_STOP_WORDS][:4], row.body
+        seen.add((row.emerging, len(row.picked or [])))
+    assert len(seen) == 10
+    # Only the head of a long text is read.
+    long = spark.range(1).select(F.concat(F.lit("first second third fourth "), F.repeat(F.lit("more "), 9)).alias("body"))
+    assert long.select(F.regexp_substr("body", F.lit(novelty._HEAD))).first()[0] == "first second third fourth"
+
+
 def test_patterns_inside_texts(spark):
     rng = random.Random(3)
     texts = [(i % 40, "".join(rng.choices("abcd \n😀", k=rng.randrange(60)))) for i in range(50)] + [(99, None), (98, ""), (97, "abab" * 3000 + "dcba")]
@@ -201,6 +224,23 @@ def test_keywords_and_labels_by_brute_force(spark, monkeypatch):
         assert {(r.grp, r.term, r["rank"]) for r in got.collect()} == want
 
 
+def test_rare_terms_are_counted_where_they_meet(spark):
+    """The same weights as by the joined vocabulary, which is not sorted any more."""
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), t, rng.randrange(1, 5)) for i in range(80) for t in {f"same beginning {rng.randrange(1 + i)}" for _ in range(6)}]
+    words = spark.createDataFrame(rows, "complaint_id long, grp string, term string, tf long")
+    with_idf = lambda found: found.withColumn("idf", 1 / F.col("df"))
+    for on in (["term"], ["grp", "term"]):
+        vocabulary = with_idf(words.dropna(subset=on).groupBy(*on).agg(F.count("*").alias("df")))
+        columns = ["complaint_id", "grp", "term", "tf", "w"]
+        sized = lambda found: with_idf(found.dropna(subset=on))  # noqa: B023, E731
+        for least in (1, 4, 1000):
+            got = terms._all_weighted(words, vocabulary, on, least, sized)
+            want = terms._weighted(words, vocabulary, on, least)
+            assert sorted(map(repr, got.select(columns).collect())) == sorted(map(repr, want.select(columns).collect()))
+            assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_large_sets_of_patterns_keep_texts_of_a_key_apart(spark):
     texts = spark.createDataFrame([(1, "abcdxxxx"), (1, "yyyyefgh"), (2, "abcdefgh"), (2, "abcdefgh")], "k int, t string")
     patterns = spark.createDataFrame([("abcdefgh",), ("xyyy",), ("dxx",)], "p string")
