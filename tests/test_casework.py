@@ -2,6 +2,7 @@ import math
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from nascent.functions import text
@@ -224,6 +225,18 @@ def test_keywords_and_labels_by_brute_force(spark, monkeypatch):
         assert {(r.grp, r.term, r["rank"]) for r in got.collect()} == want
 
 
+@pytest.mark.parametrize("together", [1, 4, 1 << 20])
+def test_pairs_are_counted_like_tokens(spark, monkeypatch, together):
+    monkeypatch.setattr(terms, "COUNTED_TOKENS", together)
+    bodies = [None, "", "one", "one two", "two one two one", "é é é", "a b a b c", "b"]
+    docs = spark.createDataFrame(list(enumerate(bodies)), "complaint_id long, body string").coalesce(1)
+    tokens = F.filter(F.split("body", " "), lambda t: t != "")
+    got = terms.counted_rows(docs, tokens, ["complaint_id"], pairs=True).orderBy("complaint_id").collect()
+    want = docs.select("complaint_id", text.term_counts(text.with_bigrams(tokens)).alias("_t")).orderBy("complaint_id").collect()
+    assert got == want
+    assert terms.counted_rows(docs.limit(0), tokens, ["complaint_id"], pairs=True).count() == 0
+
+
 def test_rare_terms_are_counted_where_they_meet(spark):
     """The same weights as by the joined vocabulary, which is not sorted any more."""
     rng = random.Random(3)
